@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregrid.llm import line_dedup, quality_bayes, quality_rules
+from loregrid.llm import line_dedup, ngram_join, quality_bayes, quality_rules, suffix_dedup
 from loregrid.llm.common import documents
 
 
@@ -14,13 +14,26 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bayes.quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op7_quality_classifier, op10_quality_rules)}
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE.format(docs="documents", n_chars="d.n_chars"), "op10_quality_rules": quality_rules.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_ngram_jaccard_join, op7_quality_classifier, op8_suffix_array_dedup, op10_quality_rules)}
+ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE.format(docs="documents", n_chars="d.n_chars"),
+    "op3_ngram_jaccard_join": ngram_join.ORACLE,
+    "op8_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}
