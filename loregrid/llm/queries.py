@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregrid.llm import line_dedup, ngram_join, quality_bayes, quality_rules, suffix_dedup
+from loregrid.llm import line_dedup, ngram_join, quality_bayes, quality_rules, sentencepiece_sampling, suffix_dedup
 from loregrid.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(documents(spark, sf_dir))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.sentencepiece_encode(documents(spark, sf_dir))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir))
 
@@ -30,7 +34,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_ngram_jaccard_join, op7_quality_classifier, op8_suffix_array_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_ngram_jaccard_join, op7_quality_classifier, op8_suffix_array_dedup, op10_quality_rules)}
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE.format(docs="documents", n_chars="d.n_chars"),
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
