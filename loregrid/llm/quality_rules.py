@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,31 +13,29 @@ from loregrid.llm.common import free_name
 END = "[.!?…:;\"'”’»)][\"'”’»)]*[ \\t\\r]*$"
 NAVIGATION = "[|»›•>→][^|»›•>→]*[|»›•>→]"
 BOILERPLATE = (
-    "(?i)(all rights reserved|licensed under|is licensed|released under|copyright|privacy policy|cookie|terms of (use|service)"
-    "|subscribe|sign (in|up)|log ?in|click here|read more|javascript|newsletter|lorem ipsum)"
-)
+    "all rights reserved", "licensed under", "is licensed", "released under", "copyright", "privacy policy", "cookie", "terms of use", "terms of service",
+    "subscribe", "sign in", "sign up", "log in", "login", "click here", "read more", "javascript", "newsletter", "lorem ipsum",
+)
 SYMBOLS = "[*$%#&!?~^=_+<>{}]{2,}"
 SHOUT = "^[^a-zà-öø-ÿ]*[A-ZÀ-ÖØ-Þ][^a-zà-öø-ÿ]*$"
 #: A line is a crowd of symbols from one run of them in so many words, and repetitive below this share of distinct words.
 WORDS_PER_SYMBOL_RUN, LEAST_DISTINCT, FROM_WORDS, SHOUT_FROM = 4, 0.25, 8, 12
 
 
-def _rlike(c: Column, pattern: str) -> Column:
-    return c.rlike(pattern)
-
+def line_fails(line: Column, words: Column) -> Column:
+    """The first rule that a line breaks, '' if none: punctuation, navigation, boilerplate, symbols, shouting, repetition. Blank lines break none.
 
-def line_fails(line: Column) -> Column:
-    """The first rule that a line breaks, '' if none: punctuation, navigation, boilerplate, symbols, shouting, repetition. Blank lines break none."""
-    words = F.filter(F.split(line, "[ \\t\\r]+"), lambda w: w != "")
-    n = F.size(words)
+    words are the line's parts between spaces, without empty ones.
+    """
+    n, low = F.size(words), F.lower(line)
     return (
-        F.when(~_rlike(line, "[^ \\t\\r]"), "")
-        .when(_rlike(line, NAVIGATION), "navigation")
-        .when(_rlike(line, BOILERPLATE), "boilerplate")
+        F.when(~line.rlike("[^ \\t\\r]"), "")
+        .when(line.rlike(NAVIGATION), "navigation")
+        .when(reduce(or_, (low.contains(x) for x in BOILERPLATE)), "boilerplate")
         .when(F.regexp_count(line, F.lit(SYMBOLS)) * WORDS_PER_SYMBOL_RUN >= n, "symbols")
-        .when((F.length(line) >= SHOUT_FROM) & _rlike(line, SHOUT), "shouting")
+        .when((F.length(line) >= SHOUT_FROM) & line.rlike(SHOUT), "shouting")
         .when((n >= FROM_WORDS) & (F.size(F.array_distinct(words)) < LEAST_DISTINCT * n), "repetition")
-        .when(~_rlike(line, END), "punctuation")
+        .when(~line.rlike(END), "punctuation")
         .otherwise("")
     )
 
@@ -49,8 +50,11 @@ def quality_rules(df: DataFrame, text: str = "text", max_loss: float = 0.5) -> D
     """
     j, total, failed, lost = (free_name(df, x) for x in ("lg_judged", "n_lines", "n_failed", "lost"))
     parts = F.split(F.col(text), "\n", -1)
-    judged = F.transform(parts, lambda x: F.struct(x.alias("line"), line_fails(x).alias("rule"), F.length(F.regexp_replace(x, "[ \\t\\r]+", "")).alias("n")))
-    out = df.where(F.col(text).isNotNull()).withColumn(j, judged)
+    worded = F.transform(parts, lambda x: F.struct(x.alias("line"), F.filter(F.split(x, " ", -1), lambda w: w != "").alias("words")))
+    chars_of = lambda words: F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
+    judged = F.transform(worded, lambda x: F.struct(x["line"], line_fails(x["line"], x["words"]).alias("rule"), chars_of(x["words"]).alias("n")))
+    # One row in, one out: a generator, unlike a projection, is not computed again for every filter and column behind it.
+    out = df.where(F.col(text).isNotNull()).select("*", F.explode(F.array(judged)).alias(j))
     bad = F.filter(j, lambda x: x["rule"] != "")
     chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
     out = out.withColumn(total, F.size(j)).withColumn(failed, F.size(bad)).withColumn("lg_all", chars(F.col(j))).withColumn("lg_bad", chars(bad))
@@ -66,11 +70,11 @@ def _quote(pattern: str) -> str:
 
 ORACLE = f"""
 WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS line FROM documents),
-worded AS (SELECT *, list_filter(string_split_regex(line, '[ \\t\\r]+'), lambda w: w <> '') AS words FROM lines),
-judged AS (SELECT *, length(regexp_replace(line, '[ \\t\\r]+', '', 'g')) AS n, CASE
+worded AS (SELECT *, list_filter(string_split(line, ' '), lambda w: w <> '') AS words FROM lines),
+judged AS (SELECT *, length(replace(line, ' ', '')) AS n, CASE
   WHEN NOT regexp_matches(line, '[^ \\t\\r]') THEN ''
   WHEN regexp_matches(line, {_quote(NAVIGATION)}) THEN 'navigation'
-  WHEN regexp_matches(line, {_quote(BOILERPLATE)}) THEN 'boilerplate'
+  WHEN {' OR '.join(f'contains(lower(line), {_quote(x)})' for x in BOILERPLATE)} THEN 'boilerplate'
   WHEN len(regexp_extract_all(line, {_quote(SYMBOLS)})) * {WORDS_PER_SYMBOL_RUN} >= len(words) THEN 'symbols'
   WHEN length(line) >= {SHOUT_FROM} AND regexp_matches(line, {_quote(SHOUT)}) THEN 'shouting'
   WHEN len(words) >= {FROM_WORDS} AND len(list_distinct(words)) < {LEAST_DISTINCT} * len(words) THEN 'repetition'
