@@ -1,9 +1,11 @@
 """All pairs of documents whose sets of word n-grams have at least a given Jaccard similarity.
 
-1. A count sketch over all n-grams of the corpus gives one order for everybody, rare n-grams first.
-2. Each document sends its prefix in that order: two sets that reach the threshold must share an n-gram of their
-   prefixes. Prefixes travel packed, by shard of the hash space. Where documents of compatible lengths meet on an
-   n-gram they are linked, and the links' components say which documents have to be together.
+1. All n-grams go, packed, to shards of the hash space, which count in how many documents each one is. Those in a single
+   document can't be shared; the others go back, packed, to blocks of documents with their frequency.
+2. So each document has its n-grams in one order for everybody, rare first, the unshared ones in front. Two sets that
+   reach the threshold must share an n-gram of their prefixes in that order; a document whose prefix is all unshared has
+   no partner. Prefixes go to shards again; documents of compatible lengths that meet there are linked, and the
+   links' components say which documents have to be together.
 3. The sets of linked documents (one of each group of equal sets) go to their component, once. There they are joined on
    prefix n-grams, rare first, behind length, positional and suffix filters, and each surviving pair is verified once.
 """
@@ -23,7 +25,7 @@ from loregrid.llm.components import connected_components
 N, THRESHOLD = 5, 0.4
 #: A component with more sets is joined block against block, each block of about so many sets.
 BLOCK = 2048
-SEGMENT, ENTRIES_PER_SHARD, FLUSH = 1 << 14, 1 << 21, 1 << 21
+ENTRIES_PER_SHARD, FLUSH = 1 << 21, 3 << 20
 _MASK40 = np.uint64((1 << 40) - 1)
 
 
@@ -50,108 +52,132 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
-def _sketch_task(n: int, cells: int):
-    def run(batches):
-        total = np.zeros(cells, dtype=np.int64)
-        for batch in batches:
-            for _, _, data, offset in text_slices(batch.column(0)):
-                _, h = sets_of(data, offset, n)
-                total += np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        for s in range(0, cells, SEGMENT):
-            part = total[s : s + SEGMENT]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // SEGMENT], pa.int32()), pa.array([int(part.sum())]), pa.array([np.minimum(part, 2**32 - 1).astype(np.uint32).tobytes()])], names=["seg", "n", "counts"])
-
-    return run
+def _pack(shard: np.ndarray, key: np.ndarray, size: np.ndarray, h: np.ndarray, level: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row for each shard: its documents (key, set size, number of n-grams here), five bytes of each n-gram, and a level byte if there is one. Rows come in order of documents."""
+    order = np.argsort(shard, kind="stable")
+    key, size, h, shard = key[order], size[order], h[order], shard[order]
+    edge = np.flatnonzero(np.diff(shard)) + 1
+    packs, docs = [], []
+    for s, e in zip([0, *edge], [*edge, len(h)]):
+        k, z = key[s:e], size[s:e]
+        new = np.append(0, np.flatnonzero((k[1:] != k[:-1]) | (z[1:] != z[:-1])) + 1)
+        pack = np.diff(k[new], prepend=0).tobytes() + z[new].astype(np.int32).tobytes() + np.diff(np.append(new, e - s)).astype(np.int32).tobytes()
+        pack += np.ascontiguousarray((h[s:e] & _MASK40).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+        packs.append(pack if level is None else pack + level[order[s:e]].tobytes())
+        docs.append(len(new))
+    at = shard[np.append(0, edge)] if len(h) else shard
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(docs if len(h) else [], pa.int32()), pa.array(packs if len(h) else [], pa.binary())], names=["shard", "docs", "pack"])
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), dtype=np.uint32).astype(np.int64) for x in table.column("counts"))
-    level = np.round(4 * np.log2(1 + total)).clip(0, 255).astype(np.uint8)
-    return pa.table({"seg": table.column("seg")[:1], "n": pa.array([int(total.sum())]), "level": pa.array([level.tobytes()])})
+PACKED = "shard int, docs int, pack binary"
 
 
-def sketch(texts: DataFrame, n: int, cells: int) -> tuple[np.ndarray, int]:
-    """Per cell of the hash space a level that grows with the log of its count, over all texts; and the number of n-grams. Of fixed size."""
-    parts = texts.mapInArrow(_sketch_task(n, cells), "seg int, n long, counts binary").groupBy("seg").applyInArrow(_add, "seg int, n long, level binary").collect()
-    level = np.zeros(cells, dtype=np.uint8)
-    for r in parts:
-        level[r["seg"] * SEGMENT : r["seg"] * SEGMENT + min(SEGMENT, cells)] = np.frombuffer(r["level"], dtype=np.uint8)
-    return level, sum(r["n"] for r in parts)
-
-
-def _signature(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each text's set."""
-    sums = []
-    for salt in (0x1234567, 0x89ABCDEF01):
-        c = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(mix(h ^ np.uint64(salt)), out=c[1:])
-        first = np.searchsorted(doc, np.arange(n + 1))
-        sums.append((c[first[1:]] - c[first[:-1]]).view(np.int64))
-    return sums[0], sums[1]
+def _unpack(table: pa.Table, leveled: bool = False):
+    keys, sizes, hashes, levels = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for m, pack in zip(table.column("docs").to_pylist(), table.column("pack").to_pylist()):
+        count = np.frombuffer(pack, dtype=np.int32, count=m, offset=12 * m)
+        n = int(count.sum())
+        keys.append(np.repeat(np.cumsum(np.frombuffer(pack, dtype=np.int64, count=m)), count))
+        sizes.append(np.repeat(np.frombuffer(pack, dtype=np.int32, count=m, offset=8 * m), count))
+        wide = np.zeros((n, 8), dtype=np.uint8)
+        wide[:, :5] = np.frombuffer(pack, dtype=np.uint8, count=5 * n, offset=16 * m).reshape(-1, 5)
+        hashes.append(wide.view(np.uint64).ravel())
+        if leveled:
+            levels.append(np.frombuffer(pack, dtype=np.uint8, offset=16 * m + 5 * n))
+    return np.concatenate(keys), np.concatenate(sizes), np.concatenate(hashes), np.concatenate(levels)
 
 
-def _prefix_task(n: int, threshold: float, shards: int, level):
-    """Rows of two kinds: a document's signature; and a shard's pack of prefix n-grams with the documents that have them."""
-
-    def flush(parts):
-        key, size, h = (np.concatenate(x) for x in zip(*parts))
-        shard = ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        key, size, h, shard = key[order], size[order], h[order], shard[order]
-        edge = np.flatnonzero(np.diff(shard)) + 1
-        for s, e in zip([0, *edge], [*edge, len(h)]):
-            k = key[s:e]
-            new = np.append(0, np.flatnonzero(np.diff(k)) + 1)
-            pack = np.diff(k[new], prepend=0).tobytes() + size[s:e][new].astype(np.int32).tobytes() + np.diff(np.append(new, e - s)).astype(np.int32).tobytes()
-            five = np.ascontiguousarray((h[s:e] & _MASK40).view(np.uint8).reshape(-1, 8)[:, :5])
-            yield int(shard[s]), len(new), pack + five.tobytes()
-
-    def batch_of(rows):
-        shard, docs, pack = zip(*rows)
-        m = len(rows)
-        none = pa.nulls(m, pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(shard, pa.int32()), pa.array(docs, pa.int32()), pa.array(pack, pa.binary())], names=["k", "s1", "s2", "size", "shard", "docs", "pack"])
+def _scatter_task(n: int, shards: int):
+    """All n-grams of all texts, packed by shard."""
 
     def run(batches):
         parts, held = [], 0
-        levels = level.value
-        cells = np.uint64(len(levels) - 1)
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offset in text_slices(batch.column(1)):
                 doc, h = sets_of(data, offset, n)
-                size = np.bincount(doc, minlength=b - a)
-                s1, s2 = _signature(doc, h, b - a)
-                some = np.flatnonzero(size)
-                if len(some):
-                    none = pa.nulls(len(some), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b][some]), pa.array(s1[some]), pa.array(s2[some]), pa.array(size[some]), none, none, pa.nulls(len(some), pa.binary())], names=["k", "s1", "s2", "size", "shard", "docs", "pack"])
-                order = np.lexsort((h, levels[(h & cells).astype(np.int64)], doc))
-                first = np.concatenate([[0], np.cumsum(size)[:-1]])
-                inside = np.arange(len(h)) - first[doc] < prefix_length(size, threshold)[doc]
-                d, g = doc[inside], h[order][inside]
-                parts.append((keys[a:b][d], size[d], g))
-                held += len(g)
+                parts.append((keys[a:b][doc], np.bincount(doc, minlength=b - a)[doc], h))
+                held += len(h)
                 if held >= FLUSH:
-                    yield batch_of(list(flush(parts)))
+                    key, size, h = (np.concatenate(x) for x in zip(*parts))
+                    yield _pack(((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int32), key, size, h)
                     parts, held = [], 0
         if held:
-            yield batch_of(list(flush(parts)))
+            key, size, h = (np.concatenate(x) for x in zip(*parts))
+            yield _pack(((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int32), key, size, h)
 
     return run
 
 
-def _unpack(docs: list[int], packs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, sizes, hashes = [], [], []
-    for m, pack in zip(docs, packs):
-        count = np.frombuffer(pack, dtype=np.int32, count=m, offset=12 * m)
-        keys.append(np.repeat(np.cumsum(np.frombuffer(pack, dtype=np.int64, count=m)), count))
-        sizes.append(np.repeat(np.frombuffer(pack, dtype=np.int32, count=m, offset=8 * m), count))
-        wide = np.zeros((int(count.sum()), 8), dtype=np.uint8)
-        wide[:, :5] = np.frombuffer(pack, dtype=np.uint8, offset=16 * m).reshape(-1, 5)
-        hashes.append(wide.view(np.uint64).ravel())
-    return np.concatenate(keys), np.concatenate(sizes), np.concatenate(hashes)
+def _count(blocks: int):
+    """A shard's n-grams that several rows have, with a level that grows with the log of their number, packed by block of documents."""
+
+    def of(table: pa.Table) -> pa.Table:
+        key, size, h, _ = _unpack(table)
+        shard = np.uint64(table.column("shard")[0].as_py())
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        first = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s))
+        df = np.empty(len(h), dtype=np.int64)
+        df[order] = np.repeat(np.diff(first), np.diff(first))
+        several = df > 1
+        key, size, h, df = key[several], size[several], h[several], df[several]
+        level = np.round(8 * np.log2(df)).clip(0, 255).astype(np.uint8)
+        block = (mix(key.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+        out = _pack(block, key, size, h, level)
+        return pa.table({"shard": out.column(0), "of": pa.array(np.full(out.num_rows, shard, dtype=np.int32)), "docs": out.column(1), "pack": out.column(2)})
+
+    return of
+
+
+def _order(threshold: float):
+    """A block's documents that can have partners: their shared n-grams, rare first, and how many of them are in the prefix."""
+
+    def of(table: pa.Table) -> pa.Table:
+        key, size, h, level = _unpack(table, True)
+        counts = [int(np.frombuffer(p, dtype=np.int32, count=m, offset=12 * m).sum()) for m, p in zip(table.column("docs").to_pylist(), table.column("pack").to_pylist())]
+        h = h | (np.repeat(table.column("of").to_numpy(), counts).astype(np.uint64) << np.uint64(40))
+        order = np.lexsort((h, level, size, key))
+        key, size, h = key[order], size[order].astype(np.int64), h[order]
+        once = np.ones(len(key), dtype=bool)
+        once[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (h[1:] != h[:-1])
+        key, size, h = key[once], size[once], h[once]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1])
+        first = np.append(np.flatnonzero(new), len(key))
+        k, shared = key[new], np.diff(first)
+        z = np.maximum(size[new], shared)
+        take = np.minimum(prefix_length(z, threshold) - (z - shared), shared)
+        doc = np.cumsum(new) - 1
+        s1, s2 = _signature(doc, h, len(k))
+        alone = shared < z  # it has n-grams of its own, so no other set equals it
+        s1, s2 = np.where(alone, k, s1), np.where(alone, -1, s2)
+        use = np.flatnonzero(take > 0)
+        sets = [h[first[i] : first[i + 1]].tobytes() for i in use.tolist()]
+        return pa.table({"k": k[use], "size": z[use], "take": take[use], "s1": s1[use], "s2": s2[use], "set": pa.array(sets, pa.binary())})
+
+    return of
+
+
+def _signature(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each document's set."""
+    sums = []
+    first = np.searchsorted(doc, np.arange(n + 1))
+    for salt in (0x1234567, 0x89ABCDEF01):
+        c = np.zeros(len(h) + 1, dtype=np.uint64)
+        np.cumsum(mix(mix(h ^ np.uint64(salt)) + np.uint64(salt)), out=c[1:])
+        sums.append((c[first[1:]] - c[first[:-1]]).view(np.int64))
+    return sums[0], sums[1]
+
+
+def _prefix_task(batches):
+    """The prefixes of documents, packed by shard."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, size, take = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        h = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64, count=int(t)) for x, t in zip(batch.column(3), take)])
+        yield _pack((h >> np.uint64(40)).astype(np.int32), np.repeat(key, take), np.repeat(size, take), h)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +202,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(threshold: float):
     def of(table: pa.Table) -> pa.Table:
-        key, size, h = _unpack(table.column("docs").to_pylist(), table.column("pack").to_pylist())
+        key, size, h, _ = _unpack(table)
         order = np.argsort((h << np.uint64(24)) | np.minimum(size, (1 << 24) - 1).astype(np.uint64), kind="stable")
         key, size, h = key[order], size[order], h[order]
         start = np.ones(len(h), dtype=bool)
@@ -189,48 +215,28 @@ def _links(threshold: float):
     return of
 
 
-def _set_task(n: int):
-    """The n-gram sets of linked documents; a row whose set is not the one that was linked is left out."""
-
-    def run(batches):
-        for batch in batches:
-            k, s1, s2, comp, blocks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4, 5))
-            out = []
-            for a, b, data, offset in text_slices(batch.column(1)):
-                doc, h = sets_of(data, offset, n)
-                x, y = _signature(doc, h, b - a)
-                first = np.searchsorted(doc, np.arange(b - a + 1))
-                for i in np.flatnonzero((x == s1[a:b]) & (y == s2[a:b])).tolist():
-                    out.append((comp[a + i], blocks[a + i], k[a + i], h[first[i] : first[i + 1]].tobytes()))
-            if out:
-                c, m, k, s = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(m, pa.int32()), pa.array(k, pa.int64()), pa.array(s, pa.binary())], names=["comp", "blocks", "k", "set"])
-
-    return run
-
-
 def _suffix_profile(tokens: list[np.ndarray], bins: int = 16) -> np.ndarray:
     """How a set's tokens spread over fixed ranges of the order: the pivots of the suffix filter."""
     return np.stack([np.bincount(((t * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.int64), minlength=bins) for t in tokens])
 
 
-def join_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def join_sets(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j, overlap) with Jaccard >= threshold, i from left and j from right (boolean), each unordered pair once.
 
-    Prefix tokens are taken rare first; the first one a pair shares decides by its positions (nothing rarer is shared),
+    size may be above a set's length: what is missing is shared with nobody, and comes first in the order. Prefix tokens are taken rare first; the first one a pair shares decides by its positions (nothing rarer is shared),
     then fixed-pivot suffix filtering bounds the Hamming distance of the sets.
     """
     m = len(sets)
-    size = np.array([len(s) for s in sets], dtype=np.int64)
+    length = np.array([len(s) for s in sets], dtype=np.int64)
     values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), dtype=np.int64)
     rank[np.lexsort((values, df))] = np.arange(len(values))
-    owner = np.repeat(np.arange(m), size)
+    owner = np.repeat(np.arange(m), length)
     r = rank[inverse]
     order = np.lexsort((r, owner))
     r = r[order]
-    first = np.concatenate([[0], np.cumsum(size)])
-    position = np.arange(len(r)) - first[owner]
+    first = np.concatenate([[0], np.cumsum(length)])
+    position = np.arange(len(r)) - first[owner] + (size - length)[owner]
     inside = (position < prefix_length(size, threshold)[owner]) & (df[np.argsort(rank)][r] > 1)
     tok, own, pos = r[inside], owner[inside], position[inside]
     order = np.lexsort((own, tok))
@@ -252,13 +258,12 @@ def join_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thres
                 open_[at] = False
     i, j = np.nonzero(np.triu(maybe))
     if len(i):
-        tokens = [s for s in sets]
-        profile = _suffix_profile(tokens)
+        profile = _suffix_profile(sets)
         keep = np.zeros(len(i), dtype=bool)
         for s in range(0, len(i), 1 << 16):
             x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
             apart = np.abs(profile[x] - profile[y]).sum(axis=1)
-            keep[s : s + (1 << 16)] = (size[x] + size[y] - apart) // 2 >= need[x, y]  # suffix filter
+            keep[s : s + (1 << 16)] = (length[x] + length[y] - apart) // 2 >= need[x, y]  # suffix filter
         i, j = i[keep], j[keep]
     if not len(i):
         return i, j, i
@@ -272,7 +277,7 @@ def join_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thres
         back = np.full(m, -1)
         back[rows] = np.arange(len(rows))
         total = np.zeros((len(rows), len(rows)), dtype=np.float32)
-        who, col = back[np.repeat(np.arange(m), size)], column[inverse]
+        who, col = back[np.repeat(np.arange(m), length)], column[inverse]
         take = shared & (who >= 0)
         who, col = who[take], col[take]
         order = np.argsort(col, kind="stable")
@@ -293,53 +298,50 @@ def join_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thres
 def _join_task(threshold: float):
     def of(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        k = table.column("k").to_numpy()
-        block = table.column("block").to_numpy()
-        order = np.argsort(k, kind="stable")
+        order = np.lexsort((table.column("size").to_numpy(), table.column("k").to_numpy()))
+        k, block, size = (table.column(c).to_numpy()[order] for c in ("k", "block", "size"))
         packs = table.column("set")
         sets = [np.frombuffer(packs[int(i)].as_py(), dtype=np.uint64) for i in order]
-        k, block = k[order], block[order]
-        i, j, overlap = join_sets(sets, block == x, block == y, threshold)
-        size = np.array([len(s) for s in sets])
-        union = size[i] + size[j] - overlap if len(i) else overlap
-        return pa.table({"a": pa.array(k[i], pa.int64()), "b": pa.array(k[j], pa.int64()), "overlap": pa.array(overlap, pa.int64()), "jaccard": pa.array(overlap / np.maximum(union, 1), pa.float64())})
+        i, j, overlap = join_sets(sets, size, block == x, block == y, threshold)
+        jaccard = overlap / np.maximum(size[i] + size[j] - overlap, 1)
+        return pa.table({"a": pa.array(k[i], pa.int64()), "b": pa.array(k[j], pa.int64()), "jaccard": pa.array(jaccard, pa.float64())})
 
     return of
 
 
-def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, cells: int = 1 << 21) -> DataFrame:
+def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_a, doc_b, jaccard) of documents whose sets of word n-grams have a Jaccard similarity of at least threshold.
 
     Words are runs of anything but ASCII white space, ASCII letters in lower case; doc_a < doc_b. Documents with equal
     sets are given as a star: each one with the least of them, at similarity 1. That least one stands for all of them in
-    the pairs of unequal sets, which are all there: every other pair follows from these. Exact but for 64-bit hashes.
+    the pairs of unequal sets, which are all there: every other pair follows from these. Exact but for hashes of more than 40 bits.
     Defined cases: a text of fewer than n words has its whole word sequence as its one n-gram; null, empty and blank
-    texts have no n-grams and are in no pair; rows with a null key take no part; rows with one key are looked at
-    separately but never paired with each other, and a pair of keys is given once, with its highest similarity; an
-    empty table gives an empty result; other columns don't matter.
+    texts have no n-grams and are in no pair; rows with a null key take no part; rows with one key are never
+    paired with each other (those with equally many n-grams are pooled, others looked at separately) and a pair of keys
+    is given once, with its highest similarity; an empty table gives an empty result; other columns don't matter.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    spark = df.sparkSession
     docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    level, grams = sketch(docs.select("t"), n, cells)
-    shards = max(1, math.ceil(grams * (1 - threshold) / ENTRIES_PER_SHARD))
-    sent = cut(docs.mapInArrow(_prefix_task(n, threshold, shards, spark.sparkContext.broadcast(level)), "k long, s1 long, s2 long, size long, shard int, docs int, pack binary"))
-    links = sent.where("shard IS NOT NULL").select("shard", "docs", "pack").groupBy("shard").applyInArrow(_links(threshold), "a long, b long")
+    chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
+    shards = max(1, math.ceil(chars / 6 / ENTRIES_PER_SHARD))
+    packs = docs.mapInArrow(_scatter_task(n, shards), PACKED)
+    counted = packs.groupBy("shard").applyInArrow(_count(shards), "shard int, of int, docs int, pack binary")
+    held = cut(counted.groupBy("shard").applyInArrow(_order(threshold), "k long, size long, take long, s1 long, s2 long, set binary"))
+    links = held.select("k", "size", "take", "set").mapInArrow(_prefix_task, PACKED).groupBy("shard").applyInArrow(_links(threshold), "a long, b long")
     comps = connected_components(links)
 
-    signed = sent.where("k IS NOT NULL").select("k", "s1", "s2")
-    least = signed.groupBy("s1", "s2").agg(F.min("k").alias("rep"))
-    classes = signed.join(comps.withColumnRenamed("node", "k"), "k").join(least, ["s1", "s2"]).distinct()
+    signed = held.select("k", "size", "s1", "s2")
+    least = signed.groupBy("size", "s1", "s2").agg(F.min("k").alias("rep"))
+    classes = cut(signed.join(comps.withColumnRenamed("node", "k"), "k").join(least, ["size", "s1", "s2"]).distinct())
     star = classes.where("k <> rep").select(F.col("rep").alias("doc_a"), F.col("k").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    reps = cut(classes.where("k = rep").select("k", "s1", "s2", F.col("component").alias("comp")))
+    reps = classes.where("k = rep").select("k", "size", "s1", "s2", F.col("component").alias("comp"))
     count = reps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    wanted = reps.join(count, "comp")
-    found = docs.join(small(wanted, 48, reps.count()), "k").select("k", "t", "s1", "s2", "comp", "blocks").mapInArrow(_set_task(n), "comp long, blocks int, k long, set binary")
+    found = held.select("k", "size", "s1", "s2", "set").join(reps.join(count, "comp"), ["k", "size", "s1", "s2"])
     placed = found.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells_ = placed.select("*", other.alias("o")).select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "set")
-    pairs = cells_.groupBy("comp", "x", "y").applyInArrow(_join_task(threshold), "a long, b long, overlap long, jaccard double")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    tiles = placed.select("*", other).select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "size", "set")
+    pairs = tiles.groupBy("comp", "x", "y").applyInArrow(_join_task(threshold), "a long, b long, jaccard double")
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
     return pairs.unionByName(star).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
