@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loregrid.llm import line_dedup, ngram_join, quality_bayes, quality_rules, sentencepiece_sampling, suffix_dedup
+from loregrid.llm import ann, language_id, line_dedup, mixing, ngram_join, pii, quality_bayes, quality_rules, sentencepiece_sampling, suffix_dedup
 from loregrid.llm.common import documents
 
 
@@ -22,6 +22,18 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bayes.quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -30,11 +42,15 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_ngram_jaccard_join, op7_quality_classifier, op8_suffix_array_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_ngram_jaccard_join, op4_nearest_neighbours, op5_mix_sources, op6_pii, op7_quality_classifier, op8_suffix_array_dedup, op9_language_id, op10_quality_rules)}
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE.format(docs="documents", n_chars="d.n_chars"),
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
