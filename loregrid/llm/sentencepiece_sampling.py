@@ -21,7 +21,9 @@ from loregrid.llm.common import _BYTES, free_name, mix, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer runs without a space are cut (between characters) before the lattice is built.
 MAX_RUN = 512
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: The lattices of so many distinct runs are kept from slice to slice of a task.
+KEPT_RUNS = 120_000
 _U = np.uint64
 
 
@@ -142,69 +144,83 @@ class Lattice:
 def lattice(data: np.ndarray, first: np.ndarray, pieces: Pieces, alpha: float) -> Lattice:
     """Forward filtering: every node's log sum over the paths to it, and the chances of the edges that enter it."""
     table, ends = _trie(pieces)
-    score = np.array(pieces.score) * alpha
     n, runs = len(data), len(first) - 1
     # node of a position p of run r: p + r, so that every run has a node more than bytes
-    run = np.repeat(np.arange(runs), np.diff(first))
-    limit = first[run + 1]
-    at, node = np.arange(n), np.zeros(n, dtype=np.int32)
-    begin, stop, which = [], [], []
+    run = np.repeat(np.arange(runs, dtype=np.int32), np.diff(first))
+    first = first.astype(np.int32)
+    at, node = np.arange(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+    left = first[run + 1] - at
+    begin, size_of, which = [], [], []
     depth = 0
     while len(at):
         node = table[node, data[at + depth]]
-        live = node >= 0
+        live = np.flatnonzero(node >= 0)
         at, node = at[live], node[live]
         depth += 1
-        hit = ends[node] >= 0
+        end = ends[node]
+        hit = np.flatnonzero(end >= 0)
         begin.append(at[hit])
-        stop.append(at[hit] + depth)
-        which.append(ends[node[hit]])
-        more = at + depth < limit[at]
+        size_of.append(np.full(len(hit), depth, dtype=np.int32))
+        which.append(end[hit])
+        more = np.flatnonzero(left[at] > depth)
         at, node = at[more], node[more]
-    b, e, w = np.concatenate(begin), np.concatenate(stop), np.concatenate(which).astype(np.int32)
-    s = score[w]
+    b, size, w = np.concatenate(begin), np.concatenate(size_of), np.concatenate(which)
+    del begin, size_of, which, left
     # byte pieces, where a character has no piece of its own
     lead = (data & 0xC0) != 0x80
     lead[first[:-1]] = True
     head = np.flatnonzero(lead)
-    size = np.diff(np.append(head, n))
-    spans = np.zeros(n, dtype=np.int64)
-    spans[head] = size
+    wide = np.diff(np.append(head, n))
+    spans = np.zeros(n, dtype=np.int32)
+    spans[head] = wide
     known = np.zeros(n, dtype=bool)
-    known[b[(e - b) == spans[b]]] = True
-    lost = np.flatnonzero(np.repeat(~known[head], size))
-    b, e = np.concatenate([b, lost]), np.concatenate([e, lost + 1])
+    known[b[size == spans[b]]] = True
+    lost = np.flatnonzero(np.repeat(~known[head], wide)).astype(np.int32)
+    b, size = np.concatenate([b, lost]), np.concatenate([size, np.ones(len(lost), dtype=np.int32)])
     w = np.concatenate([w, np.array(pieces.byte, dtype=np.int32)[data[lost]]])
-    s = np.concatenate([s, np.full(len(lost), pieces.unknown * alpha)])
+    score = np.array(pieces.score, dtype=np.float64) * alpha
+    score[list(pieces.byte)] = pieces.unknown * alpha
+    # edges in order of the position in the run at which they end, then of the run
     r = run[b]
-    step = e - first[r]
-    order = np.lexsort((e, step))
-    b, e, w, s, r, step = (x[order] for x in (b, e, w, s, r, step))
-    source, target = b + r, e + r
+    step = b + size - first[r]
+    order = np.argsort(step.astype(np.int64) * (n + 1) + b + size, kind="stable").astype(np.int32)
+    b, size, w, r, step = (x[order] for x in (b, size, w, r, step))
+    source = b + r
+    target = source + size
+    del b, size, r, order
+    edge = np.append(np.flatnonzero(np.diff(step, prepend=-1)), len(step))
+    del step
     total = np.full(n + runs, -np.inf)
     total[first[:-1] + np.arange(runs)] = 0
-    chance = np.empty(len(b))
-    edge = np.append(np.flatnonzero(np.diff(step, prepend=-1)), len(step))
+    chance = np.empty(len(source), dtype=np.float32)
     for i in range(len(edge) - 1):
         x = slice(edge[i], edge[i + 1])
         t = target[x]
-        v = total[source[x]] + s[x]
+        v = total[source[x]] + score[w[x]]
         new = np.flatnonzero(np.diff(t, prepend=-1))
         most = np.maximum.reduceat(v, new)
         width = np.diff(np.append(new, len(t)))
         with np.errstate(invalid="ignore"):
             p = np.exp(v - np.repeat(most, width))
         p[~np.isfinite(p)] = 0
-        whole = np.add.reduceat(p, new)
-        with np.errstate(divide="ignore"):
-            total[t[new]] = np.where(np.isfinite(most), most + np.log(np.maximum(whole, 1e-300)), -np.inf)
-        c = np.cumsum(p / np.repeat(np.maximum(whole, 1e-300), width))
+        whole = np.maximum(np.add.reduceat(p, new), 1e-300)
+        total[t[new]] = np.where(np.isfinite(most), most + np.log(whole), -np.inf)
+        c = np.cumsum(p / np.repeat(whole, width))
         chance[x] = c - np.repeat(np.concatenate([[0], c[new[1:] - 1]]), width)
-    order = np.argsort(target, kind="stable")
-    source, target, w, chance = source[order], target[order], w[order], chance[order]
-    enter = np.searchsorted(target, np.arange(n + runs + 1))
+    order = np.argsort(target, kind="stable").astype(np.int32)
+    source, w, chance = source[order], w[order], chance[order]
+    enter = np.zeros(n + runs + 1, dtype=np.int32)
+    np.cumsum(np.bincount(target, minlength=n + runs), out=enter[1:])
     chance[enter[1:][np.diff(enter) > 0] - 1] = 2.0  # the last edge of a node takes what rounding leaves
-    return Lattice(enter, source, w, chance, first[:-1] + np.arange(runs), first[1:] + np.arange(runs))
+    nodes = np.arange(runs, dtype=np.int32)
+    return Lattice(enter, source, w, chance, first[:-1] + nodes, first[1:] + nodes)
+
+
+def joined(a: Lattice, b: Lattice) -> Lattice:
+    """Both lattices in one; b's runs come after a's."""
+    nodes, edges = np.int32(len(a.first) - 1), np.int32(len(a.source))
+    return Lattice(np.concatenate([a.first[:-1], b.first + edges]), np.concatenate([a.source, b.source + nodes]), np.concatenate([a.piece, b.piece]),
+                   np.concatenate([a.chance, b.chance]), np.concatenate([a.origin, b.origin + nodes]), np.concatenate([a.end, b.end + nodes]))
 
 
 def _uniform(state: np.ndarray) -> np.ndarray:
@@ -238,8 +254,8 @@ def sample(lat: Lattice, which: np.ndarray, state: np.ndarray) -> tuple[np.ndarr
     return out, count
 
 
-def encode_slice(data: np.ndarray, offset: np.ndarray, keys: np.ndarray, pieces: Pieces, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, number of ids of each text). A text that isn't empty gets a space in front first, as the model expects."""
+def encode_slice(data: np.ndarray, offset: np.ndarray, keys: np.ndarray, pieces: Pieces, alpha: float, seed: int, kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each text); kept holds lattices for later slices. A text that isn't empty gets a space in front first, as the model expects."""
     n = len(offset) - 1
     some = np.diff(offset) > 0
     size = np.diff(offset) + some
@@ -251,12 +267,27 @@ def encode_slice(data: np.ndarray, offset: np.ndarray, keys: np.ndarray, pieces:
         return np.zeros(0, dtype=np.int32), np.zeros(n, dtype=np.int64)
     start, doc = runs_of(data, offset)
     length = np.diff(np.append(start, len(data)))
-    _, one, inverse = np.unique(_hashes(data, start), return_index=True, return_inverse=True)
-    text, first = _gather(data, start[one], length[one])
-    lat = lattice(text, first, pieces, alpha)
+    values, one, inverse = np.unique(_hashes(data, start), return_index=True, return_inverse=True)
+    kept = {} if kept is None else kept
+    known = kept.get("hash", np.zeros(0, dtype=np.uint64))
+    which, new = np.zeros(len(values), dtype=np.int64), np.ones(len(values), dtype=bool)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        new = known[at] != values
+        which[~new] = kept["run"][at[~new]]
+    lat = kept.get("lattice")
+    if new.any():
+        text, first = _gather(data, start[one[new]], length[one[new]])
+        which[new] = len(known) + np.arange(int(new.sum()))
+        fresh = lattice(text, first, pieces, alpha)
+        lat = fresh if lat is None else joined(lat, fresh)
+        if len(lat.end) <= KEPT_RUNS:
+            h, run = np.concatenate([known, values[new]]), np.concatenate([kept.get("run", np.zeros(0, dtype=np.int64)), which[new]])
+            order = np.argsort(h)
+            kept.update(hash=h[order], run=run[order], lattice=lat)
     base = mix(keys.astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) ^ _U(seed & (2**64 - 1)))
     state = mix(base[doc] + (start - offset[doc]).astype(np.uint64))
-    ids, count = sample(lat, inverse, state)
+    ids, count = sample(lat, which[inverse], state)
     return ids, np.bincount(doc, weights=count, minlength=n).astype(np.int64)
 
 
@@ -292,12 +323,12 @@ def sentencepiece_encode(df: DataFrame, key: str = "doc_id", text: str = "text",
     schema = T.StructType([*fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.BooleanType())])
 
     def run(batches):
-        p = pieces.value
+        p, kept = pieces.value, {}
         for batch in batches:
             keys = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             nulls = batch.column(at).is_null()
             for a, b, data, offset in text_slices(batch.column(at), SLICE):
-                ids, count = encode_slice(data, offset, keys[a:b], p, alpha, seed)
+                ids, count = encode_slice(data, offset, keys[a:b], p, alpha, seed, kept)
                 back, size = decode_ids(ids, count, p)
                 same = size == np.diff(offset)
                 if same.all():
