@@ -18,19 +18,27 @@ OVERSAMPLE, ENTITY_BOOST, HIT_BOOST = 3, 0.15, 0.1
 
 
 def postings(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, tf, dl): one row for each distinct term of a chunk. Counted inside the chunk; only counts leave a task."""
+    """(id, term, tf, dl): one row for each distinct term of a chunk, for an index table."""
     words = chunks.select(F.col(key).alias("id"), X.tokens(F.col(text)).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     return words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
+def vocabulary(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, dl): in how many chunks a term is. The row with a null term counts the chunks, and dl their tokens. One scan, combined before the shuffle."""
+    words = chunks.select(X.tokens(F.col(text)).alias("w"))
+    whole = F.struct(F.lit(None).cast("string").alias("term"), F.size("w").cast("long").alias("dl"))
+    each = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl")))
+    return words.select(F.inline(F.concat(F.array(whole), each))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
+
+
+def corpus_stats(words: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length in tokens."""
-    return chunks.select(F.size(X.tokens(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return words.where("term IS NULL").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
 
 
-def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
+def idf(words: DataFrame) -> DataFrame:
     """(term, idf), negative values replaced by FLOOR times the mean over the vocabulary."""
-    raw = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))
+    raw = words.where("term IS NOT NULL").crossJoin(F.broadcast(corpus_stats(words)))
     raw = raw.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
@@ -39,15 +47,18 @@ def idf(post: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, query: str, key: str = "id", text: str = "text") -> DataFrame:
     """(id, score) of all chunks that hold a query term, divided by the corpus maximum if that is positive.
 
-    Only the query's terms leave the scan; the vocabulary (for the mean idf) is counted from term frequencies alone.
+    A chunk is scored where it is read: only (id, score) leaves the scan, and the few query terms' weights go to it.
     """
-    spark = chunks.sparkSession
-    terms = spark.range(1).select(F.explode(X.tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    post, stats = postings(chunks, key, text), corpus_stats(chunks, text)
-    hits = post.join(F.broadcast(terms), "term").join(F.broadcast(idf(post, stats).join(F.broadcast(terms.select("term")), "term", "left_semi")), "term")
-    length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
-    scores = hits.crossJoin(F.broadcast(stats)).groupBy("id").agg(F.sum(part).alias("raw"))
+    q = X.tokens(F.lit(query))
+    asked = chunks.sparkSession.range(1).select(F.explode(F.array_distinct(q)).alias("term"))
+    words = vocabulary(chunks, text)
+    weights = idf(words).join(F.broadcast(asked), "term", "left_semi").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
+    held = chunks.select(F.col(key).alias("id"), X.tokens(F.col(text)).alias("w")).where(F.arrays_overlap("w", q))
+    held = held.crossJoin(F.broadcast(corpus_stats(words).crossJoin(weights)))
+    length = K1 * (1 - B + B * F.size("w") / F.col("avgdl"))
+    times = lambda a, t: F.size(F.filter(a, lambda x: x == t)).cast("double")
+    part = lambda t, tf: times(q, t) * F.coalesce(F.col("weights")[t], F.lit(0.0)) * tf * (K1 + 1) / (tf + length)
+    scores = held.select("id", F.aggregate(F.array_distinct(q), F.lit(0.0), lambda s, t: s + part(t, times(F.col("w"), t))).alias("raw"))
     top = scores.agg(F.max("raw").alias("top"))
     return scores.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(F.col("raw")).alias("score"))
 
