@@ -100,10 +100,15 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", drop_empt
     sent = _lines(df, key, text).select(F.xxhash64("line").alias("h")).mapInArrow(_task_hashes, "h long, often boolean")
     filters = cut(sent.select(shard, "h", "often").groupBy("shard").applyInArrow(_build, "shard int, m long, bits array<long>"))
     size = filters.agg(F.coalesce(F.sum(F.size("bits") * 8), F.lit(0))).first()[0]
-    probe = F.broadcast(filters) if size <= BROADCAST_LIMIT else filters
-
-    lines = _lines(df, key, text).select("k", "p", "line", F.xxhash64("line").alias("h")).select("k", "p", "line", "h", shard)
-    suspects = lines.join(probe, "shard").where(_probe(F.col("h"), F.col("m"), F.col("bits"))).select("k", "p", "line")
+    hashed = _lines(df, key, text).select("k", "p", "line", F.xxhash64("line").alias("h")).select("k", "p", "line", "h", shard)
+    seen = _probe(F.col("h"), F.col("m"), F.col("bits"))
+    if size <= BROADCAST_LIMIT:
+        suspects = hashed.join(F.broadcast(filters), "shard").where(seen).select("k", "p", "line")
+    else:  # filters stay where they are: only places and hashes go to them, and the texts meet their suspected places
+        places = hashed.select("k", "p", "h", "shard").join(filters, "shard").where(seen).groupBy("k").agg(F.collect_set("p").alias("places"))
+        texts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+        parts = texts.join(places, "k").select("k", "places", F.posexplode(F.split("t", "\n", -1)).alias("p", "line"))
+        suspects = parts.where(F.array_contains("places", F.col("p"))).select("k", "p", "line")
     # The text itself is the grouping key: a hash collision or a false positive ends as a group of its own.
     first = suspects.groupBy("line").agg(F.min(F.struct("k", "p")).alias("f"), F.count(F.lit(1)).alias("c"))
     marks = suspects.select("k", "p", F.lit(True).alias("s")).unionByName(first.select("f.k", "f.p", F.lit(False).alias("s")))
@@ -111,7 +116,8 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", drop_empt
     drops = lists.select("k", F.array_except("s", "f").alias("drop")).where(F.size("drop") > 0)
 
     d, total, lost = free_name(df, "lg_drop"), free_name(df, "n_lines"), free_name(df, "n_dropped")
-    joined = df.join(drops.select(F.col("k").alias("lg_k"), F.col("drop").alias(d)), F.col(key) == F.col("lg_k"), "left").drop("lg_k")
+    at = free_name(df, "lg_k")
+    joined = df.join(drops.select(F.col("k").alias(at), F.col("drop").alias(d)), F.col(key) == F.col(at), "left").drop(at)
     parts = F.split(F.col(text), "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col(d), i))
     out = joined.withColumn(total, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts))).withColumn(lost, F.coalesce(F.size(d), F.lit(0)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregrid.llm.common import Words, cut, mix, small, text_slices
+from loregrid.llm.common import Words, cut, free_name, mix, small, text_slices
 from loregrid.llm.components import connected_components
 
 N, THRESHOLD = 5, 0.4
@@ -348,9 +348,10 @@ def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """df without the documents that ngram_join links, directly or through others, to one with a lower key. Rows with a null key stay."""
-    gone = connected_components(ngram_join(df, key, text, **options), "doc_a", "doc_b").where("node <> component").select(F.col("node").alias("lg_gone"))
+    name = free_name(df, "lg_gone")
+    gone = connected_components(ngram_join(df, key, text, **options), "doc_a", "doc_b").where("node <> component").select(F.col("node").alias(name))
     gone = cut(gone)
-    return df.join(small(gone, 16), F.col(key) == F.col("lg_gone"), "left_anti")
+    return df.join(small(gone, 16), F.col(key).cast("long") == F.col(name), "left_anti")
 
 
 ORACLE = f"""

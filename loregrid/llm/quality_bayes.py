@@ -177,9 +177,11 @@ def quality_classifier(df: DataFrame, labels: DataFrame, key: str = "doc_id", te
     blank = ~F.coalesce(F.col(text).rlike(r"\S"), F.lit(False))
     light = _with(df.select(host, path, text), text, "lg_e", "double", lambda data, offset: model.logit(features(data, offset)))
     sites = cut(site_posteriors(light.select(host, path, (1 / (1 + F.exp(-F.col("lg_e")))).alias("lg_p")), host, path, "lg_p"))
-    out = scored.join(small(sites, 160), F.col(host).eqNullSafe(F.col("lg_host")) & F.col(path).eqNullSafe(F.col("lg_path")), "left")
-    others = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), (F.col("k2") * F.col("hm") + F.col("s") - chance) / (F.col("k2") + F.col("n") - 1)))
-    whole = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("mu")))
+    own = {x: free_name(scored, f"lg_site_{x}") for x in sites.columns}
+    of = {x: F.col(n) for x, n in own.items()}
+    out = scored.join(small(sites.withColumnsRenamed(own), 160), F.col(host).eqNullSafe(of["lg_host"]) & F.col(path).eqNullSafe(of["lg_path"]), "left")
+    others = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), (of["k2"] * of["hm"] + of["s"] - chance) / (of["k2"] + of["n"] - 1)))
+    whole = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), of["mu"]))
     odds = F.col(e) + site_weight * (F.log(others / (1 - others)) - F.log(whole / (1 - whole)))
     out = out.withColumn(site, others).withColumn(post, F.when(blank, 0.0).otherwise(1 / (1 + F.exp(-odds)))).withColumn(keep, ~blank & (F.col(post) >= threshold))
     out = out.select(*df.columns, e, site, post, keep)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loregrid.llm.common import free_name
 
 END = "[.!?…:;\"'”’»)][\"'”’»)]*[ \\t\\r]*$"
+SOLID = "[^ \\t\\r]"
 NAVIGATION = "[|»›•>→][^|»›•>→]*[|»›•>→]"
 BOILERPLATE = (
     "all rights reserved", "licensed under", "is licensed", "released under", "copyright", "privacy policy", "cookie", "terms of use", "terms of service",
@@ -29,7 +30,7 @@ def line_fails(line: Column, words: Column) -> Column:
     """
     n, low = F.size(words), F.lower(line)
     return (
-        F.when(~line.rlike("[^ \\t\\r]"), "")
+        F.when(~line.rlike(SOLID), "")
         .when(line.rlike(NAVIGATION), "navigation")
         .when(reduce(or_, (low.contains(x) for x in BOILERPLATE)), "boilerplate")
         .when(F.regexp_count(line, F.lit(SYMBOLS)) * WORDS_PER_SYMBOL_RUN >= n, "symbols")
@@ -48,18 +49,18 @@ def quality_rules(df: DataFrame, text: str = "text", max_loss: float = 0.5) -> D
     text exactly at max_loss stays; equal rows are judged alike and all stay or go; an empty table gives an empty one;
     other columns, nulls in them included, pass through.
     """
-    j, total, failed, lost = (free_name(df, x) for x in ("lg_judged", "n_lines", "n_failed", "lost"))
+    j, all_, bad_, total, failed, lost = (free_name(df, x) for x in ("lg_judged", "lg_all", "lg_bad", "n_lines", "n_failed", "lost"))
     parts = F.split(F.col(text), "\n", -1)
     worded = F.transform(parts, lambda x: F.struct(x.alias("line"), F.filter(F.split(x, " ", -1), lambda w: w != "").alias("words")))
     chars_of = lambda words: F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w))
-    judged = F.transform(worded, lambda x: F.struct(x["line"], line_fails(x["line"], x["words"]).alias("rule"), chars_of(x["words"]).alias("n")))
+    judged = F.transform(worded, lambda x: F.struct(x["line"], line_fails(x["line"], x["words"]).alias("rule"), F.when(x["line"].rlike(SOLID), chars_of(x["words"])).otherwise(0).alias("n")))
     # One row in, one out: a generator, unlike a projection, is not computed again for every filter and column behind it.
     out = df.where(F.col(text).isNotNull()).select("*", F.explode(F.array(judged)).alias(j))
     bad = F.filter(j, lambda x: x["rule"] != "")
     chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["n"])
-    out = out.withColumn(total, F.size(j)).withColumn(failed, F.size(bad)).withColumn("lg_all", chars(F.col(j))).withColumn("lg_bad", chars(bad))
-    out = out.where((F.col("lg_all") > 0) & (F.col("lg_bad") < F.col("lg_all")) & (F.col("lg_bad") <= F.lit(max_loss) * F.col("lg_all")))
-    out = out.withColumn(lost, F.round(F.col("lg_bad") / F.col("lg_all"), 6))
+    out = out.withColumn(total, F.size(j)).withColumn(failed, F.size(bad)).withColumn(all_, chars(F.col(j))).withColumn(bad_, chars(bad))
+    out = out.where((F.col(all_) > 0) & (F.col(bad_) < F.col(all_)) & (F.col(bad_) <= F.lit(max_loss) * F.col(all_)))
+    out = out.withColumn(lost, F.round(F.col(bad_) / F.col(all_), 6))
     out = out.withColumn(text, F.array_join(F.transform(F.filter(j, lambda x: x["rule"] == ""), lambda x: x["line"]), "\n"))
     return out.select(*df.columns, total, failed, lost)
 
@@ -71,8 +72,8 @@ def _quote(pattern: str) -> str:
 ORACLE = f"""
 WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS p, unnest(string_split(text, chr(10))) AS line FROM documents),
 worded AS (SELECT *, list_filter(string_split(line, ' '), lambda w: w <> '') AS words FROM lines),
-judged AS (SELECT *, length(replace(line, ' ', '')) AS n, CASE
-  WHEN NOT regexp_matches(line, '[^ \\t\\r]') THEN ''
+judged AS (SELECT *, CASE WHEN regexp_matches(line, {_quote(SOLID)}) THEN length(replace(line, ' ', '')) ELSE 0 END AS n, CASE
+  WHEN NOT regexp_matches(line, {_quote(SOLID)}) THEN ''
   WHEN regexp_matches(line, {_quote(NAVIGATION)}) THEN 'navigation'
   WHEN {' OR '.join(f'contains(lower(line), {_quote(x)})' for x in BOILERPLATE)} THEN 'boilerplate'
   WHEN len(regexp_extract_all(line, {_quote(SYMBOLS)})) * {WORDS_PER_SYMBOL_RUN} >= len(words) THEN 'symbols'

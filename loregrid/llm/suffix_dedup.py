@@ -294,8 +294,9 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     tied = found.join(several.hint("shuffle_hash"), "h", "left_semi").groupBy("k").agg(F.collect_set("p").alias("tied"))
     around = docs.join(tied, "k").mapInArrow(_segment_task(length), "h long, k long, p int, lead int, words binary")
     runs = around.repartition("h").sortWithinPartitions("h").mapInArrow(_repeat_task(length), "k long, s int, e int")
-    lists = runs.groupBy("k").agg(F.collect_list("s").alias("lg_s"), F.collect_list("e").alias("lg_e")).withColumnRenamed("k", "lg_k")
-    joined = keyed.join(lists, F.col(key).cast("long") == F.col("lg_k"), "left").drop("lg_k")
+    own = [free_name(df, x) for x in ("lg_k", "lg_s", "lg_e")]
+    lists = runs.groupBy("k").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")).toDF(*own)
+    joined = keyed.join(lists, F.col(key).cast("long") == F.col(own[0]), "left").drop(own[0])
 
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(gone, T.IntegerType())])
