@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loregrid.functions import text as X
+from loregrid.operators.graph import cut
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 OVERSAMPLE, ENTITY_BOOST, HIT_BOOST = 3, 0.15, 0.1
@@ -44,32 +45,42 @@ def idf(words: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
-def bm25(chunks: DataFrame, query: str, key: str = "id", text: str = "text") -> DataFrame:
-    """(id, score) of all chunks that hold a query term, divided by the corpus maximum if that is positive.
-
-    A chunk is scored where it is read: only (id, score) leaves the scan, and the few query terms' weights go to it.
-    """
+def raw_scores(chunks: DataFrame, query: str, words: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, raw): BM25 of the chunks that hold a query term. They are scored where they are read, with the query's few weights."""
     q = X.tokens(F.lit(query))
     asked = chunks.sparkSession.range(1).select(F.explode(F.array_distinct(q)).alias("term"))
-    words = vocabulary(chunks, text)
     weights = idf(words).join(F.broadcast(asked), "term", "left_semi").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
-    held = chunks.select(F.col(key).alias("id"), X.tokens(F.col(text)).alias("w")).where(F.arrays_overlap("w", q))
+    held = chunks.select(F.col(key).alias("id"), X.tokens(F.col(text)).alias("w"))
+    held = held.select("id", F.size("w").alias("dl"), F.filter("w", lambda t: F.array_contains(q, t)).alias("w")).where(F.size("w") > 0)
     held = held.crossJoin(F.broadcast(corpus_stats(words).crossJoin(weights)))
-    length = K1 * (1 - B + B * F.size("w") / F.col("avgdl"))
+    length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     times = lambda a, t: F.size(F.filter(a, lambda x: x == t)).cast("double")
     part = lambda t, tf: times(q, t) * F.coalesce(F.col("weights")[t], F.lit(0.0)) * tf * (K1 + 1) / (tf + length)
-    scores = held.select("id", F.aggregate(F.array_distinct(q), F.lit(0.0), lambda s, t: s + part(t, times(F.col("w"), t))).alias("raw"))
-    top = scores.agg(F.max("raw").alias("top"))
-    return scores.crossJoin(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(F.col("raw")).alias("score"))
+    return held.select("id", F.aggregate(F.array_distinct(q), F.lit(0.0), lambda s, t: s + part(t, times(F.col("w"), t))).alias("raw"))
+
+
+def bm25(chunks: DataFrame, query: str, key: str = "id", text: str = "text", words: DataFrame | None = None) -> DataFrame:
+    """(id, score) of all chunks that hold a query term, divided by the corpus maximum if that is positive.
+
+    words: the chunks' vocabulary, where it is kept as a table; else it is counted first. Two scans of the texts in all.
+    """
+    scores = cut(raw_scores(chunks, query, cut(vocabulary(chunks, text)) if words is None else words, key, text))
+    most = scores.agg(F.max("raw").alias("top"))
+    return scores.crossJoin(F.broadcast(most)).select("id", F.when(F.col("top") > 0, F.col("raw") / F.col("top")).otherwise(F.col("raw")).alias("score"))
 
 
 def top(scores: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
     return scores.orderBy(F.desc(score), key).limit(k)
 
 
-def bm25_top(chunks: DataFrame, query: str, k: int, where: Column | None = None, key: str = "id", text: str = "text") -> DataFrame:
-    """The k best chunks with a positive score; `where` is applied after that choice, so fewer may be left."""
-    best = top(bm25(chunks, query, key, text).where("score > 0"), k)
+def bm25_top(chunks: DataFrame, query: str, k: int, where: Column | None = None, key: str = "id", text: str = "text", words: DataFrame | None = None) -> DataFrame:
+    """The k best chunks with a positive score; `where` is applied after that choice, so fewer may be left.
+
+    The corpus maximum is the first of the k, so nothing but these is needed to divide by it.
+    """
+    raw = raw_scores(chunks, query, cut(vocabulary(chunks, text)) if words is None else words, key, text)
+    best = top(raw.where("raw > 0"), k, "raw")
+    best = best.select("id", (F.col("raw") / F.max("raw").over(Window.partitionBy(F.lit(0)))).alias("score"))
     if where is None:
         return best
     return chunks.where(where).join(F.broadcast(best), chunks[key] == best["id"]).select(best["id"], "score")
@@ -163,11 +174,12 @@ def aliases_of(module: str, aliases: dict[str, list[str]]) -> list[str]:
 
 def search(chunks: DataFrame, query: str, embed: Callable[[str], list[float]], top_k: int = 5, include_context: bool = False, module: str | None = None, doc_type: str | None = None,
            aliases: dict[str, list[str]] | None = None, rules: DataFrame | None = None, rewrite: Callable[[str], str] | None = None, reranker: Callable[[str, DataFrame], DataFrame] | None = None,
-           multi_hop: bool = False, modules: list[str] | None = None) -> DataFrame:
+           multi_hop: bool = False, modules: list[str] | None = None, words: DataFrame | None = None) -> DataFrame:
     """The top_k chunks for a query.
 
     Vector recall honours module and doc_type before its limit, lexical recall after it. embed turns a text into a
-    vector, rewrite changes the query for recall, and reranker gives (id, reranker_score) of candidates.
+    vector, rewrite changes the query for recall, and reranker gives (id, reranker_score) of candidates; words is the
+    chunks' vocabulary, where it is kept as a table.
     """
     spark: SparkSession = chunks.sparkSession
     plan = spark.range(1).select(X.sub_queries(F.lit(query)).alias("parts"), X.entities(F.lit(query), modules).alias("entities"), X.weights(X.query_type(F.lit(query))).alias("w")).first()
@@ -177,10 +189,10 @@ def search(chunks: DataFrame, query: str, embed: Callable[[str], list[float]], t
     if doc_type:
         where = where & (F.col("doc_type") == doc_type)
     k = OVERSAMPLE * top_k
-    parts = []
+    parts, words = [], cut(vocabulary(chunks)) if words is None else words
     for part in plan["parts"]:
         asked = rewrite(part) if rewrite else part
-        parts.append(fuse(vector_top(chunks, embed(asked), k, where), bm25_top(chunks, asked, k, where), plan["w"]["v"], plan["w"]["b"]))
+        parts.append(fuse(vector_top(chunks, embed(asked), k, where), bm25_top(chunks, asked, k, where, words=words), plan["w"]["v"], plan["w"]["b"]))
     candidates = chunks.join(F.broadcast(merge_parts(parts)), "id")
     candidates = boosted(candidates, F.array(*map(F.lit, plan["entities"])).cast("array<string>"))
     best = rerank(candidates, reranker(query, candidates) if reranker else None, top_k)

@@ -53,6 +53,11 @@ class KnowledgeBase:
     def chunks(self) -> DataFrame:
         return self.tables.read("chunks", CHUNKS)
 
+    @property
+    def vocabulary(self) -> DataFrame | None:
+        """Counted when chunks are written, so that a search only scores."""
+        return self.tables.read("vocabulary") if self.tables.version("vocabulary") else None
+
     @property
     def facts(self) -> DataFrame:
         return self.tables.read("facts", FACTS)
@@ -98,7 +103,7 @@ class KnowledgeBase:
             best = searching.vector_top(table, self.embed_query(query), top_k, where)
             return self.facts.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
         alias = {module: names} if module else None
-        return searching.search(self.chunks, query, self.embed_query, top_k, include_context, module, doc_type, alias, self.rules.where(F.col("status").isin("active", "conflict")), self.rewrite if rewrite else None, self.reranker, multi_hop)
+        return searching.search(self.chunks, query, self.embed_query, top_k, include_context, module, doc_type, alias, self.rules.where(F.col("status").isin("active", "conflict")), self.rewrite if rewrite else None, self.reranker, multi_hop, words=self.vocabulary)
 
     def modules(self) -> DataFrame:
         return overview.modules(self.chunks)
@@ -140,6 +145,7 @@ class KnowledgeBase:
             made = graph.cut(chunk_documents(good.withColumn("mtime", F.col("seconds").cast("timestamp")), self.embed))
         with self._timed("batch_index"):
             self.tables.replace_sources("chunks", made, touched)
+            self.tables.write("vocabulary", searching.vocabulary(self.chunks))
         report = {f"files_{r['change']}": r["n"] for r in diff.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()} | {"chunks": made.count()}
         if not skip_facts:
             with self._timed("fact_extraction"):
@@ -194,6 +200,7 @@ class KnowledgeBase:
             rules, facts = canon.purge(self.rules, self.facts, gone)
             rules, facts = graph.cut(rules), graph.cut(facts)
             self.tables.write("chunks", self.chunks.join(gone, "source", "left_anti"))
+            self.tables.write("vocabulary", searching.vocabulary(self.chunks))
             self.tables.write("facts", facts)
             self._write_rules(rules, "cleanup")
             self.tables.write("index_meta", self.meta.join(gone.withColumnRenamed("source", "path"), "path", "left_anti"))
