@@ -22,6 +22,8 @@ RELATION_WORDS = "依赖 调用 关联 关系 哪些模块 什么模块 影响 
 EXPLORE_WORDS = "相关 关于 涉及 有关 包含 有哪些 哪些文档"
 COMPARISONS = "对比 区别 vs VS 比较 还是 和 与"
 SEPARATORS = "； ; 另外 还有 另一个 以及"
+REFERRING, REFERRED = "调用 参考 关联 对接 依赖 参见 详见", "系统 模块 功能 服务"
+TRANSLATION_TABLE = r"\|\s*ID\s*\|" + ".*" + "CN（简体中文）"
 STOPWORDS = "的 了 在 是 和 与 有 为 等 及 或"
 BOUNDARY_WORDS = "上限 下限 不超过 至少 超时 最多 最少 最高 最低"
 MANDATORY_WORDS = "必须 禁止 不允许 不得 强制 校验 验证"
@@ -87,7 +89,7 @@ def normalize_newlines(c: Column) -> Column:
 
 
 def dedup_predicate(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)[\s，。、：:；;！!？?\-—]+", "")
+    return F.regexp_replace(c, r"(?U)[-—?？!！;；:：、。，\s]+", "")
 
 
 def rule_predicate(c: Column) -> Column:
@@ -140,8 +142,9 @@ def tags(path: Column) -> Column:
 
 def cross_refs(c: Column) -> Column:
     """Names of systems and modules that a text refers to, at most 20 characters long, sorted."""
-    verbs = F.regexp_extract_all(c, F.lit(r"(?Ud)(?:调用|参考|关联|对接|依赖|参见|详见)\s*[「\"]*(.+?(?:系统|模块|功能|服务))[」\"]*"), 1)
-    nouns = F.regexp_extract_all(c, F.lit(r"([一-龥]{2,8}(?:系统|模块))(?:的|，|。|、|）|\))"), 1)
+    one = lambda names: f"(?:{names.replace(' ', '|')})"
+    verbs = F.regexp_extract_all(c, F.lit(f'(?Ud){one(REFERRING)}\\s*[「"]*(.+?{one(REFERRED)})'), 1)
+    nouns = F.regexp_extract_all(c, F.lit(f"([一-龥]{{2,8}}{one('系统 模块')})[的，。、）)]"), 1)
     return F.array_sort(F.filter(F.array_distinct(F.transform(F.concat(verbs, nouns), strip)), lambda x: F.length(x) <= 20))
 
 
@@ -165,7 +168,7 @@ def converted_path(path: Column) -> Column:
 
 
 def safe_name(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r'(?U)[\\/:*?"<>|\s]+', "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(c, r'(?U)[\s|<>"?*:/\\]+', "_"), "^_+|_+$", "")
 
 
 # --- Markdown
@@ -196,7 +199,7 @@ def sections(c: Column, level: int = 2) -> Column:
 def translated_section(title: Column, content: Column) -> Column:
     """Sections that hold translation tables: by heading, or by a table header in the first ten lines."""
     top = F.slice(F.split(content, "\n"), 1, 10)
-    return F.coalesce(title.rlike("(?i)多语言|i18n|国际化"), F.lit(False)) | F.exists(top, lambda x: x.rlike(r"(?U)\|\s*ID\s*\|.*CN（简体中文）"))
+    return F.coalesce(title.rlike("(?i)多语言|i18n|国际化"), F.lit(False)) | F.exists(top, lambda x: x.rlike("(?U)" + TRANSLATION_TABLE))
 
 
 def low_quality(c: Column) -> Column:
@@ -214,11 +217,14 @@ def unfenced(c: Column) -> Column:
 # --- queries
 
 
+LETTER = "[A-Za-z]"
+CODES = (r"[A-Z]\d{2,4}", "[A-Za-z0-9]"), ("[A-Z]{2,5}" + r"_\d{2,5}", r"\w")
+
+
 def entities(c: Column, modules: list[str] | None = None) -> Column:
     """Codes (P01, SKL_001) and quoted phrases of a query, then the known modules in it; without repeats, in order."""
     found = [
-        F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z])[A-Z]\d{2,4}(?![A-Za-z0-9])"), 0),
-        F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z])[A-Z]{2,5}_\d{2,5}(?![A-Za-z0-9_])"), 0),
+        *(F.regexp_extract_all(c, F.lit(f"(?<!{LETTER}){code}(?!{after})"), 0) for code, after in CODES),
         F.regexp_extract_all(c, F.lit(r'"([^"]+)"'), 1),
         F.regexp_extract_all(c, F.lit("“([^”]+)”"), 1),
     ]

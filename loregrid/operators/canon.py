@@ -27,6 +27,8 @@ CATEGORIES = ("deprecated_old", "cross_doc_contradiction", "semantic_overlap", "
 _STRIP = re.compile(r"[\s，。、：:]+")
 _NUMBER = re.compile(r"[\d.,\s]+")
 
+Name = str | None
+
 
 def ordinal(c: Column) -> Column:
     return F.regexp_extract(c, r"canon_(\d+)$", 1).try_cast("long")
@@ -67,7 +69,7 @@ def _held() -> Column:
     return X.text(F.col("subject")).contains(F.col("p_subject")) & ((F.col("p_predicate") == "") | X.text(F.col("predicate")).contains(F.col("p_predicate")))
 
 
-def similar(old_subject: str, old_predicate: str, subject: str, predicate: str) -> bool:
+def similar(old_subject: str, old_predicate: str, subject: str, predicate) -> bool:
     """Whether a fact is about what a rule is about: the same words, or nested subjects with equal or synonymous predicates."""
     if (old_subject, old_predicate) == (subject, predicate):
         return True
@@ -117,7 +119,7 @@ def fold(rows: list[dict]) -> Iterator[dict]:
         yield dict(k, outcome="rule", conflict_key=None, conflict_born=None)
 
 
-def merge(rules: DataFrame, facts: DataFrame, suppressions: DataFrame | None = None, aliases: DataFrame | None = None, now: str | None = None, small: bool = False) -> tuple[DataFrame, DataFrame]:
+def merge(rules: DataFrame, facts: DataFrame, suppressions: DataFrame | None = None, aliases: DataFrame | None = None, now: Name = None, small=False) -> tuple[DataFrame, DataFrame]:
     """(the rules after merging, report rows: ordinal, outcome) of facts in order of their ordinal (unique, with priority).
 
     Facts meet rules only if one subject holds the other, so clusters of nested subjects are folded apart from each
@@ -169,7 +171,7 @@ def report_counts(report: DataFrame) -> DataFrame:
 # --- reading
 
 
-def select_rules(rules: DataFrame, modules: list[str] | None = None, kind: str | None = None, priority: str | None = None, status: str | None = None) -> DataFrame:
+def select_rules(rules: DataFrame, modules: list[str] | None = None, kind: Name = None, priority: Name = None, status: Name = None) -> DataFrame:
     want = [F.col("module").isin(*modules)] if modules else []
     want += [F.col(c) == v for c, v in (("type", kind), ("priority", priority), ("status", status)) if v]
     return rules.where(X.all_of(*want))
@@ -220,7 +222,7 @@ def _must_have(rules: DataFrame, id: str) -> None:
         raise ValueError(f"there is no rule {id}")
 
 
-def propagate(rules: DataFrame, changed: str, now: str | None = None) -> DataFrame:
+def propagate(rules: DataFrame, changed: str, now: Name = None) -> DataFrame:
     """Active dependents of a rule want review; one step only."""
     near = F.broadcast(rules.where(F.col("id") == changed).select(F.explode("dependents").alias("id")).distinct())
     hit = rules.join(near.withColumn("lg_hit", F.lit(True)), "id", "left")
@@ -228,7 +230,7 @@ def propagate(rules: DataFrame, changed: str, now: str | None = None) -> DataFra
     return hit.withColumn("updated_at", F.when(due, _stamp(now)).otherwise(F.col("updated_at"))).withColumn("status", F.when(due, "needs_review").otherwise(F.col("status"))).drop("lg_hit")
 
 
-def add_rule(rules: DataFrame, rule: DataFrame, now: str | None = None) -> DataFrame:
+def add_rule(rules: DataFrame, rule: DataFrame, now: Name = None) -> DataFrame:
     """rules with one more row (a table of the columns from type to confidence), under the next id."""
     none = F.array().cast("array<string>")
     new = rule.crossJoin(F.broadcast(last_number(rules))).select(rule_id(F.col("last") + 1).alias("id"), *rule.columns, F.lit("active").alias("status"), none.alias("depends_on"), none.alias("dependents"),
@@ -236,7 +238,7 @@ def add_rule(rules: DataFrame, rule: DataFrame, now: str | None = None) -> DataF
     return rules.unionByName(new)
 
 
-def set_value(rules: DataFrame, id: str, value: Column | str, reason: str = "", now: str | None = None, status: str | None = None) -> DataFrame:
+def set_value(rules: DataFrame, id: str, value: Column | str, reason="", now: Name = None, status: Name = None) -> DataFrame:
     """rules with a new value for one, its old one in its history, and its dependents to be reviewed."""
     _must_have(rules, id)
     new = F.lit(value) if isinstance(value, str) else value
@@ -248,7 +250,7 @@ def set_value(rules: DataFrame, id: str, value: Column | str, reason: str = "",
     return propagate(out, id, now)
 
 
-def deprecate(rules: DataFrame, id: str, suppressions: DataFrame, now: str | None = None, suppress: bool = True) -> tuple[DataFrame, DataFrame]:
+def deprecate(rules: DataFrame, id: str, suppressions: DataFrame, now: Name = None, suppress=True) -> tuple[DataFrame, DataFrame]:
     """(rules with one deprecated, suppressions with its subject and predicate)."""
     _must_have(rules, id)
     at = F.col("id") == id
@@ -256,13 +258,13 @@ def deprecate(rules: DataFrame, id: str, suppressions: DataFrame, now: str | Non
     return out, add_suppressions(suppressions, rules.where(at).select("subject", "predicate", F.lit("deprecated").alias("reason")), now) if suppress else suppressions
 
 
-def add_suppressions(suppressions: DataFrame, new: DataFrame, now: str | None = None) -> DataFrame:
+def add_suppressions(suppressions: DataFrame, new: DataFrame, now: Name = None) -> DataFrame:
     """suppressions with new patterns (subject, predicate, reason); one that is there stays as it was."""
     fresh = new.dropDuplicates(["subject", "predicate"]).join(suppressions.select("subject", "predicate"), ["subject", "predicate"], "left_anti")
     return suppressions.unionByName(fresh.withColumn("added_at", _stamp(now)))
 
 
-def resolve(rules: DataFrame, id: str, action: str, value: str | None = None, now: str | None = None) -> DataFrame:
+def resolve(rules: DataFrame, id: str, action: str, value: Name = None, now: Name = None) -> DataFrame:
     """A conflict settled: keep_old, accept_new (the value of the last pending rule) or set_value. All pending rules against it go."""
     _must_have(rules, id)
     pending = rules.where((F.col("conflict_with") == id) & (F.col("status") == "pending"))
@@ -300,7 +302,7 @@ def inferred_dependencies(rules: DataFrame, small: bool = False) -> DataFrame:
     return met.where(~F.array_contains("depends_on", F.col("parent"))).select("child", "parent").distinct()
 
 
-def purge(rules: DataFrame, facts: DataFrame, sources: DataFrame, now: str | None = None) -> tuple[DataFrame, DataFrame]:
+def purge(rules: DataFrame, facts: DataFrame, sources: DataFrame, now: Name = None) -> tuple[DataFrame, DataFrame]:
     """(rules, facts) without what changed sources said: their facts go, their active rules are deprecated. Nothing is suppressed."""
     hit = rules.join(F.broadcast(sources.select(F.col("source").alias("lg_s")).distinct()), F.col("source") == F.col("lg_s"), "left")
     due = F.col("lg_s").isNotNull() & (F.col("status") == "active")
@@ -308,7 +310,7 @@ def purge(rules: DataFrame, facts: DataFrame, sources: DataFrame, now: str | Non
     return out, facts.join(F.broadcast(sources.select("source").distinct()), "source", "left_anti")
 
 
-def log_rows(before: DataFrame, after: DataFrame, trigger: str, now: str | None = None) -> DataFrame:
+def log_rows(before: DataFrame, after: DataFrame, trigger: str, now: Name = None) -> DataFrame:
     """Changelog rows (timestamp, action, rule_id, subject, detail, trigger, old_value, new_value) of what differs between two states."""
     b = before.select(F.col("id").alias("b_id"), F.col("status").alias("b_status"), F.col("value").alias("b_value"), F.col("subject").alias("b_subject"))
     j = after.join(b, F.col("id") == F.col("b_id"), "full_outer")
@@ -323,7 +325,7 @@ def log_rows(before: DataFrame, after: DataFrame, trigger: str, now: str | None
     return j.select(_stamp(now).alias("timestamp"), "action", F.coalesce("id", "b_id").alias("rule_id"), F.coalesce("subject", "b_subject").alias("subject"), detail.alias("detail"), F.lit(trigger).alias("trigger"), F.col("b_value").alias("old_value"), F.col("value").alias("new_value"))
 
 
-def export_lines(rules: DataFrame, log: DataFrame | None = None, module: str | None = None, entries: int = 20) -> DataFrame:
+def export_lines(rules: DataFrame, log: DataFrame | None = None, module: Name = None, entries=20) -> DataFrame:
     """(part, line_no, line): the rule base as Markdown: modules, types in them, rules by number; then the last log entries."""
     shown = rules if module is None else rules.where(F.col("module") == module)
     mark = F.when(F.col("status") == "active", "").otherwise(F.concat(F.lit(" ["), F.col("status"), F.lit("]")))

@@ -67,7 +67,7 @@ def _thin(body: str) -> bool:
 
 
 def _translations(title: str, content: str) -> bool:
-    return bool(re.search("多语言|i18n|国际化", title, re.I)) or any(re.search(r"\|\s*ID\s*\|.*CN（简体中文）", x) for x in content.split("\n")[:10])
+    return bool(re.search("多语言|i18n|国际化", title, re.I)) or any(re.search(X.TRANSLATION_TABLE, x) for x in content.split("\n")[:10])
 
 
 def chunks_of(body: str) -> list[tuple[str, str, str]]:

@@ -14,6 +14,8 @@ from loregrid.operators.graph import cut
 K1, B, FLOOR = 1.5, 0.75, 0.25
 OVERSAMPLE, ENTITY_BOOST, HIT_BOOST = 3, 0.15, 0.1
 
+Name = str | None
+
 
 # --- lexical
 
@@ -59,7 +61,7 @@ def raw_scores(chunks: DataFrame, query: str, words: DataFrame, key: str, text:
     return held.select("id", F.aggregate(F.array_distinct(q), F.lit(0.0), lambda s, t: s + part(t, times(F.col("w"), t))).alias("raw"))
 
 
-def bm25(chunks: DataFrame, query: str, key: str = "id", text: str = "text", words: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, query: str, key="id", text="text", words: DataFrame | None = None) -> DataFrame:
     """(id, score) of all chunks that hold a query term, divided by the corpus maximum if that is positive.
 
     words: the chunks' vocabulary, where it is kept as a table; else it is counted first. Two scans of the texts in all.
@@ -73,7 +75,7 @@ def top(scores: DataFrame, k: int, score: str = "score", key: str = "id") -> Dat
     return scores.orderBy(F.desc(score), key).limit(k)
 
 
-def bm25_top(chunks: DataFrame, query: str, k: int, where: Column | None = None, key: str = "id", text: str = "text", words: DataFrame | None = None) -> DataFrame:
+def bm25_top(chunks: DataFrame, query: str, k: int, where: Column | None = None, key="id", text="text", words: DataFrame | None = None) -> DataFrame:
     """The k best chunks with a positive score; `where` is applied after that choice, so fewer may be left.
 
     The corpus maximum is the first of the k, so nothing but these is needed to divide by it.
@@ -89,7 +91,7 @@ def bm25_top(chunks: DataFrame, query: str, k: int, where: Column | None = None,
 # --- vectors
 
 
-def vector_top(chunks: DataFrame, query: list[float], k: int, where: Column | None = None, key: str = "id", vector: str = "embedding") -> DataFrame:
+def vector_top(chunks: DataFrame, query: list[float], k: int, where: Column | None = None, key="id", vector="embedding") -> DataFrame:
     """The k chunks nearest by cosine among those that pass `where`, scored (1 + cosine) / 2 to 4 places."""
     q = F.array(*(F.lit(float(x)) for x in query))
     source = chunks if where is None else chunks.where(where)
@@ -158,7 +160,7 @@ def with_rules(results: DataFrame, rules: DataFrame) -> DataFrame:
     return results.join(refs, results["id"] == refs["c_id"], "left").drop("c_id")
 
 
-def related_modules(results: DataFrame, exclude: str | None = None) -> DataFrame:
+def related_modules(results: DataFrame, exclude: Name = None) -> DataFrame:
     """One row, related_modules: the sorted cross references of results, without the module asked for."""
     refs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("cross_refs"))))
     return results.agg((F.array_remove(refs, exclude) if exclude else refs).alias("related_modules"))
@@ -172,9 +174,9 @@ def aliases_of(module: str, aliases: dict[str, list[str]]) -> list[str]:
     return [module]
 
 
-def search(chunks: DataFrame, query: str, embed: Callable[[str], list[float]], top_k: int = 5, include_context: bool = False, module: str | None = None, doc_type: str | None = None,
+def search(chunks: DataFrame, query: str, embed: Callable[[str], list[float]], top_k=5, include_context=False, module: Name = None, doc_type: Name = None,
            aliases: dict[str, list[str]] | None = None, rules: DataFrame | None = None, rewrite: Callable[[str], str] | None = None, reranker: Callable[[str, DataFrame], DataFrame] | None = None,
-           multi_hop: bool = False, modules: list[str] | None = None, words: DataFrame | None = None) -> DataFrame:
+           multi_hop=False, modules: list[str] | None = None, words: DataFrame | None = None) -> DataFrame:
     """The top_k chunks for a query.
 
     Vector recall honours module and doc_type before its limit, lexical recall after it. embed turns a text into a

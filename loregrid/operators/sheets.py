@@ -23,9 +23,10 @@ TABLES = ("data_table", "config_table", "enum_table")
 SHEETS = "source string, sheet_index int, name string, type string, content string, markdown string, row_count int, estimated_tokens int, images array<struct<index:int,row:int,col:int,data:binary>>, error string"
 
 Merge = tuple[int, int, int, int]
+Rows, Places = list[list[str]], list[int]
 
 
-def clean(rows: list[list[str]]) -> tuple[list[list[str]], list[int], list[int]]:
+def clean(rows: Rows) -> tuple[Rows, Places, Places]:
     """(rows, columns kept, rows kept): without empty columns, with at most one blank row in a run, none at either end."""
     width = max(map(len, rows), default=0)
     cols = [c for c in range(width) if any(c < len(r) and r[c] for r in rows)]
@@ -36,7 +37,7 @@ def clean(rows: list[list[str]]) -> tuple[list[list[str]], list[int], list[int]]
     return [[rows[i][c] if c < len(rows[i]) else "" for c in cols] for i in kept], cols, kept
 
 
-def moved_merges(merges: list[Merge], cols: list[int], rows: list[int]) -> list[Merge]:
+def moved_merges(merges: list[Merge], cols: Places, rows: Places) -> list[Merge]:
     """Merged ranges in the places of what was kept; those without any of it are gone."""
     col_at, row_at = {c: i for i, c in enumerate(cols)}, {r: i for i, r in enumerate(rows)}
     out = []
@@ -69,7 +70,7 @@ def is_number(s: str) -> bool:
     return True
 
 
-def sheet_type(name: str, rows: list[list[str]]) -> str:
+def sheet_type(name: str, rows: Rows) -> str:
     """By the name, else by the shape of cleaned rows."""
     for kind, words in NAMED:
         if any(w in name.lower() for w in words.split()):
@@ -80,7 +81,7 @@ def sheet_type(name: str, rows: list[list[str]]) -> str:
     total, width = len(filled), max(map(len, rows))
     if width <= 3 and total >= 3 and sum(bool(r[0]) and not is_number(r[0]) for r in rows if r) > 0.7 * total:
         return "config_table"
-    body = [r for r in rows[1:] if any(r)]
+    body = list(filter(any, rows[1:]))
     head = [c for c in rows[0] if c]
     if width >= 2 and total >= 3 and body and head and not any(map(is_number, head)) and sum(is_number(r[0]) for r in body) > 0.7 * len(body):
         return "enum_table"
@@ -94,7 +95,7 @@ def sheet_type(name: str, rows: list[list[str]]) -> str:
     return "data_table" if times > total / 2 and size >= 3 else "document"
 
 
-def picture_marks(rows: list[list[str]], kept: list[int], pictures: list[Picture], name: str) -> dict[int, list[str]]:
+def picture_marks(rows: Rows, kept: Places, pictures: list[Picture], name: str) -> dict[int, list[str]]:
     """Marks to be placed behind cleaned rows: the last filled one at or above a picture's anchor, or -1 if all are below."""
     marks: dict[int, list[str]] = {}
     for p in sorted(pictures, key=lambda p: (p.row, p.index)) if kept else []:
@@ -103,7 +104,7 @@ def picture_marks(rows: list[list[str]], kept: list[int], pictures: list[Picture
     return marks
 
 
-def as_table(rows: list[list[str]], merges: list[Merge], marks: dict[int, list[str]]) -> str:
+def as_table(rows: Rows, merges: list[Merge], marks: dict[int, list[str]]) -> str:
     """A Markdown table; the first filled row is its head."""
     lines = [(i, collapsed(i, r, merges)) for i, r in enumerate(rows) if any(r)]
     width = max((len(r) for _, r in lines), default=0)
@@ -119,7 +120,7 @@ def as_table(rows: list[list[str]], merges: list[Merge], marks: dict[int, list[s
     return "\n".join(out)
 
 
-def as_outline(rows: list[list[str]], cols: list[int], merges: list[Merge], marks: dict[int, list[str]]) -> str:
+def as_outline(rows: Rows, cols: Places, merges: list[Merge], marks: dict[int, list[str]]) -> str:
     """Lines indented by how far to the right their first cell stands, among the columns in use."""
     used = sorted({cols[i] for r in rows for i, c in enumerate(r) if c})
     if not used:

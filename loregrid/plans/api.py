@@ -25,6 +25,8 @@ META = "path string, mtime double, size long, indexed_at timestamp"
 SUPPRESSIONS = "subject string, predicate string, reason string, added_at timestamp"
 LOG = "timestamp timestamp, action string, rule_id string, subject string, detail string, trigger string, old_value string, new_value string"
 
+Name = str | None
+
 
 class KnowledgeBase:
     """Documents below settings.md_dir, tables below settings.data_dir.
@@ -34,7 +36,7 @@ class KnowledgeBase:
     """
 
     def __init__(self, spark: SparkSession, settings: files.Settings, embed=None, embed_query: Callable[[str], list[float]] | None = None, rewrite=None, reranker=None,
-                 extract: Callable[[DataFrame], DataFrame] = fact_ops.extract, dedup: str = "content", alias_file: str | None = None) -> None:
+                 extract: Callable[[DataFrame], DataFrame] = fact_ops.extract, dedup="content", alias_file: Name = None) -> None:
         self.spark, self.settings, self.tables = spark, settings, Tables(spark, settings.data_dir)
         self.embed, self.embed_query = embed or models.embedder(), embed_query or models.query_embedder()
         self.rewrite, self.reranker, self.extract, self.dedup = rewrite, reranker, extract, dedup
@@ -94,7 +96,7 @@ class KnowledgeBase:
 
     # --- search, lists
 
-    def search(self, query: str, target: str = "docs", top_k: int = 5, include_context: bool = False, module: str | None = None, doc_type: str | None = None, fact_type: str | None = None, rewrite: bool = False, multi_hop: bool = False) -> DataFrame:
+    def search(self, query: str, target="docs", top_k=5, include_context=False, module: Name = None, doc_type: Name = None, fact_type: Name = None, rewrite=False, multi_hop=False) -> DataFrame:
         top_k = min(max(top_k, 1), 20)
         names = self.names_of(module) if module else None
         if target == "facts":
@@ -108,7 +110,7 @@ class KnowledgeBase:
     def modules(self) -> DataFrame:
         return overview.modules(self.chunks)
 
-    def suggest(self, partial: str, most: int = 10) -> DataFrame:
+    def suggest(self, partial: str, most=10) -> DataFrame:
         return overview.suggest(self.chunks, partial, most)
 
     def document(self, path: str) -> DataFrame:
@@ -116,7 +118,7 @@ class KnowledgeBase:
 
     # --- index
 
-    def index(self, mode: str = "incremental", path: str | None = None, skip_facts: bool = False, clear_canon: bool = False, confirm: bool = False) -> dict:
+    def index(self, mode="incremental", path: Name = None, skip_facts=False, clear_canon=False, confirm=False) -> dict:
         """incremental: what changed; full: everything anew; single: one path; cleanup: orphans (removed only with confirm)."""
         self.timings = {}
         if mode == "cleanup":
@@ -222,13 +224,13 @@ class KnowledgeBase:
         named = overview.normalized(self.chunks.select("module"), self.aliases)
         return graph.relations(graph.module_refs(self.chunks, self.aliases), named)
 
-    def related_designs(self, module: str, depth: int = 1) -> DataFrame:
+    def related_designs(self, module: str, depth=1) -> DataFrame:
         one = overview.normalized(self.spark.createDataFrame([(module,)], "module string"), self.aliases).first()["module"]
         return graph.related_designs(self.relations(), overview.normalized(self.facts, self.aliases), one, depth)
 
     # --- checks
 
-    def check(self, content: str, module: str | None = None, mode: str = "full") -> dict:
+    def check(self, content: str, module: Name = None, mode="full") -> dict:
         """full: compliance and consistency; or one of them; quick: related facts only."""
         if mode not in ("full", "compliance", "consistency", "quick"):
             raise ValueError(f"unknown mode {mode}")
@@ -251,13 +253,13 @@ class KnowledgeBase:
             bad += out["conflicts"].count()
         return out | {"status": "conflicts_found" if bad else "ok"}
 
-    def audit(self, module: str | None = None, top_k: int = 20) -> DataFrame:
+    def audit(self, module: Name = None, top_k=20) -> DataFrame:
         table = self.facts.where(F.col("module").isin(*self.names_of(module))) if module else self.facts
         return fact_ops.audit_conflicts(table, top_k)
 
     # --- rules
 
-    def canon(self, action: str = "get", module: str | None = None, status: str | None = None, priority: str | None = None, rule_id: str | None = None, new_value: str | None = None, reason: str = "", top_k: int = 50) -> DataFrame:
+    def canon(self, action="get", module: Name = None, status: Name = None, priority: Name = None, rule_id: Name = None, new_value: Name = None, reason="", top_k=50) -> DataFrame:
         """get, status, export, classify give tables; sync, resolve_conflict, update_value and deprecate change the rule base and give it."""
         names = self.names_of(module) if module else None
         if action == "get":
@@ -301,7 +303,7 @@ class KnowledgeBase:
         md = files.markdown(self.spark, self.settings.md_dir).select(F.col("source").alias("path"), "mtime")
         return changes.processing_status(sources, md, self.meta.select("path", "mtime"))
 
-    def overview(self, view: str = "stats", module: str | None = None, days: int = 7) -> DataFrame:
+    def overview(self, view="stats", module: Name = None, days=7) -> DataFrame:
         if view == "stats":
             return overview.stats(self.chunks).crossJoin(self.facts.agg(F.count(F.lit(1)).alias("facts"))).crossJoin(self.rules.agg(F.count_if(F.col("status") == "active").alias("active_rules"), F.count_if(F.col("status") == "conflict").alias("conflict_rules"), F.count_if(F.col("status") == "deprecated").alias("deprecated_rules")))
         if view == "changes":
@@ -310,14 +312,14 @@ class KnowledgeBase:
             return changes.gaps(self.status(), module)
         raise ValueError(f"unknown view {view}")
 
-    def draft_assist(self, topic: str, style: str | None = None, module: str | None = None) -> dict:
+    def draft_assist(self, topic: str, style: Name = None, module: Name = None) -> dict:
         """Ten results on a topic, the rules that bind it, and guidance (the first ten critical rules)."""
         rules = canon.select_rules(self.rules, self.names_of(module) if module else None, status="active")
         first = rules.where("priority = 'critical'").orderBy("id").limit(10).collect()
-        lines = [f"Topic: {topic}", *([f"Style: {style}"] if style else []), *(f"Keep to: {r['subject']} {r['predicate']} {r['value']}" for r in first)]
+        lines = [f"Topic: {topic}", *([f"Style: {style}"] if style else []), *("Keep to: " + " ".join((r["subject"], r["predicate"], r["value"])) for r in first)]
         return {"results": self.search(topic, top_k=10, module=module), "rules": rules, "guidance": "\n".join(lines)}
 
-    def remap(self, new: str, old: str | None = None, dry_run: bool = True) -> dict:
+    def remap(self, new: str, old: Name = None, dry_run=True) -> dict:
         """Another path prefix in the index's records, chunks and facts: counts only with dry_run. All new versions are staged before any is written."""
         old = old if old is not None else changes.common_prefix(self.meta.select("path"))
         plan = {name: changes.remapped(table, old, new, column) for name, table, column in (("index_meta", self.meta, "path"), ("chunks", self.chunks, "source"), ("facts", self.facts, "source"))}

@@ -12,6 +12,10 @@ def _rows(df: DataFrame, most: int) -> tuple[list, bool]:
     return rows[:most], len(rows) > most
 
 
+def _said(r) -> str:
+    return " ".join(r[c] for c in ("subject", "predicate", "value"))
+
+
 def _section(title: str, lines: Iterable[str], more: bool = False, empty: str = "(none)") -> str:
     body = list(lines)
     return "\n".join([f"## {title}", "", *(body or [empty]), *(["..."] if more else [])])
@@ -25,14 +29,14 @@ def search_results(query: str, df: DataFrame, most: int = 20) -> str:
         context = r["context"] if "context" in df.columns else None
         for side in ("prev", "next"):
             out += [f"> {side}: {t}" for t in (context[side] if context else [])]
-        out += [f"- rule {c['id']} ({c['status']}): {c['subject']} {c['predicate']} {c['value']}" for c in (r["canon_refs"] or [] if "canon_refs" in df.columns else [])]
+        out += [f"- rule {c['id']} ({c['status']}): {_said(c)}" for c in (r["canon_refs"] or [] if "canon_refs" in df.columns else [])]
         out.append("")
     return _section(f"Results for {query}", out, more)
 
 
 def facts(title: str, df: DataFrame, most: int = 20) -> str:
     rows, more = _rows(df, most)
-    return _section(title, (f"- [{r['type']}] {r['subject']} {r['predicate']} {r['value']} ({r['confidence']:.2f}; {r['source']})" for r in rows), more)
+    return _section(title, (f"- [{r['type']}] {_said(r)} ({r['confidence']:.2f}; {r['source']})" for r in rows), more)
 
 
 def modules(df: DataFrame, most: int = 1000) -> str:
@@ -52,7 +56,7 @@ def cleanup(df: DataFrame, dry_run: bool, most: int = 20) -> str:
 
 def rules(df: DataFrame, most: int = 100) -> str:
     rows, more = _rows(df.orderBy("module", "id"), most)
-    return _section("Rules", (f"- {r['id']} [{r['status']}, {r['priority']}] {r['module']}: {r['subject']} {r['predicate']} {r['value']}" for r in rows), more)
+    return _section("Rules", (f"- {r['id']} [{r['status']}, {r['priority']}] {r['module']}: {_said(r)}" for r in rows), more)
 
 
 def conflicts(df: DataFrame, most: int = 50) -> str:
@@ -98,7 +102,7 @@ def related(module: str, df: DataFrame, most: int = 50) -> str:
     out = []
     for r in rows:
         out.append(f"- {r['module']}, {r['hops']} steps away, {r['facts_count']} facts")
-        out += [f"  - {f['subject']} {f['predicate']} {f['value']}" for f in r["key_facts"]]
+        out += [f"  - {_said(f)}" for f in r["key_facts"]]
     return _section(f"Around {module}", out, more)
 
 
@@ -113,7 +117,7 @@ def check(result: dict) -> str:
 
 def audit(df: DataFrame, most: int = 50) -> str:
     rows, more = _rows(df, most)
-    return _section("Contradictions", (f"- {r['subject']} {r['predicate']}: " + "; ".join(f"{s['value']} ({s['source']})" for s in r["statements"]) for r in rows), more)
+    return _section("Contradictions", ("- " + " ".join(r[:2]) + ": " + "; ".join(f"{s['value']} ({s['source']})" for s in r["statements"]) for r in rows), more)
 
 
 def preview(path: str, counts: DataFrame, df: DataFrame, most: int = 50) -> str:
