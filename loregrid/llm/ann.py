@@ -23,7 +23,8 @@ K, ITERATIONS = 10, 6
 CELL, MOST_CODEWORDS = 16, 256
 #: The number of candidates is set so that SAMPLE queries, answered exactly as well, find this share of their neighbours.
 RECALL, SAMPLE = 0.95, 128
-SHARD_ENTRIES, QUERIES_PER_PART = 1 << 16, 1 << 12
+#: Entries are copied once for every part of the queries that come to their shard; a part is ranked in slices.
+SHARD_ENTRIES, QUERIES_PER_PART, QUERIES_PER_SLICE = 1 << 16, 1 << 15, 1 << 11
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +173,23 @@ def calibrate(entries: DataFrame, books: list[np.ndarray], filled: np.ndarray, h
     return wanted, float(np.mean(cells)) * wanted
 
 
+def pack_cells(cells: np.ndarray) -> bytes:
+    """A set of cells: a byte that tells the form, then the numbers, or the first of them and a bit for each from there on, whichever is shorter."""
+    cells = np.sort(cells)
+    if 4 * len(cells) <= (int(cells[-1]) - int(cells[0])) // 8 + 5:
+        return b"n" + cells.astype(np.int32).tobytes()
+    bits = np.zeros(int(cells[-1]) - int(cells[0]) + 1, dtype=bool)
+    bits[cells - cells[0]] = True
+    return b"b" + cells[:1].astype(np.int32).tobytes() + np.packbits(bits).tobytes()
+
+
+def unpack_cells(data: bytes) -> np.ndarray:
+    if data[:1] == b"n":
+        return np.frombuffer(data, dtype=np.int32, offset=1)
+    first = np.frombuffer(data, dtype=np.int32, count=1, offset=1)[0]
+    return (np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=5))) + first).astype(np.int32)
+
+
 def _route(shared, half: int, shards: int, wanted: int):
     """Each query once for every shard that it visits, with the cells there."""
 
@@ -191,7 +209,7 @@ def _route(shared, half: int, shards: int, wanted: int):
                     for m in np.unique(home).tolist():
                         row.append(i)
                         shard.append(m)
-                        cells.append(visit[home == m].tobytes())
+                        cells.append(pack_cells(visit[home == m]))
                 take = pa.array(at[row])
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(cells, pa.binary())], names=["shard", "k", "v", "cells"])
 
@@ -241,9 +259,14 @@ def _rank(k: int):
         _, entries = _matrix(held.column("v").combine_chunks())
         _, queries = _matrix(asked.column("v").combine_chunks())
         keys, mine = held.column("k").to_numpy(), asked.column("k").to_numpy()
-        visits = [np.frombuffer(x.as_py(), dtype=np.int32) for x in asked.column("cells")]
-        q, i, d = nearest_of(keys, entries, held.column("cell").to_numpy(), mine, queries, visits, k)
-        return pa.table({"k": mine[q], "neighbor": keys[i], "d": d})
+        cell, packs, out = held.column("cell").to_numpy(), asked.column("cells"), []
+        for s in range(0, len(mine), QUERIES_PER_SLICE):
+            part = slice(s, s + QUERIES_PER_SLICE)
+            visits = [unpack_cells(x.as_py()) for x in packs[part]]
+            q, i, d = nearest_of(keys, entries, cell, mine[part], queries[part], visits, k)
+            out.append((mine[part][q], keys[i], d))
+        who, what, far = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"k": who, "neighbor": what, "d": far})
 
     return of
 
@@ -257,7 +280,8 @@ def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedd
     empty result; other columns don't matter.
     """
     spark = df.sparkSession
-    v = F.col(vector).cast("array<double>")
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    v = F.col(vector).cast(kind)
     good = df.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0)).select(F.col(key).cast("long").alias("k"), v.alias("v"))
     good = good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     dims = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("d")).first()
@@ -270,13 +294,13 @@ def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedd
     size = int(max(1, min(MOST_CODEWORDS, round((n / CELL) ** 0.5))))
     books = codebooks(vectors, size, dims["d"])
     sc = spark.sparkContext
-    entries = cut(vectors.mapInArrow(_encode(sc.broadcast(books), half), "k long, v array<double>, cell int"))
+    entries = cut(vectors.mapInArrow(_encode(sc.broadcast(books), half), f"k long, v {kind}, cell int"))
     filled = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
     for r in entries.groupBy("cell").count().collect():  # at most MOST_CODEWORDS ** 2 rows
         filled[r["cell"]] = r["count"]
     shards = int(max(1, min(len(books[0]), -(-n // SHARD_ENTRIES))))
     wanted, cells = calibrate(entries, books, filled, half, k, recall, sample)
-    asked = vectors.mapInArrow(_route(sc.broadcast((books, filled)), half, shards, wanted), "shard int, k long, v array<double>, cells binary")
+    asked = vectors.mapInArrow(_route(sc.broadcast((books, filled)), half, shards, wanted), f"shard int, k long, v {kind}, cells binary")
     # queries that meet in a shard, if each visits so many cells, all in different shards at worst
     parts = max(1, math.ceil(n * min(1.0, cells / shards) / QUERIES_PER_PART))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)))

@@ -127,7 +127,7 @@ def deep_shallow(rows: list[tuple], shallow: int = SHALLOW) -> Iterator[list[int
             yield from blind_trie(rows, group)
 
 
-def repeats(key: list[int], at: list[int], lead: list[int], words: list[bytes], length: int) -> tuple[list[int], list[int], list[int]]:
+def repeats(key: list[int], at: list[int], lead: list[int], words: list[bytes], length: int) -> tuple[list, list, list]:
     """Of one bucket's anchors (key, anchor's word number, words in front of it, 32-bit words): (key, from, to) of windows that occurred before.
 
     A window is a repeat if an equal one begins earlier, by (key, word number), and does not overlap it.

@@ -269,3 +269,11 @@ def test_segments_equal_all_segmentations():
 def test_pii_by_hand(spark, text, want):
     r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [(e["type"], text[e["start"] : e["end"]]) for e in r["entities"]] == want
+
+
+def test_packed_cells():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 10, 500):
+        for top in (n, 10 * n, 65_000):
+            cells = rng.choice(max(n, top), n, replace=False).astype(np.int32)
+            assert ann.unpack_cells(ann.pack_cells(cells)).tolist() == sorted(cells.tolist())
