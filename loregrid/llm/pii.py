@@ -291,7 +291,9 @@ def stretches(data: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int,
     last = np.zeros(len(first), dtype=np.int64)
     np.maximum.at(last, member, np.flatnonzero(use))
     out = []
-    for i in np.flatnonzero((weight >= 7) | (other > 0)).tolist():
+    size = w.end[last] - w.start[first]
+    # no stricter than segments(): an address such as 8.8.8.8 has four digits
+    for i in np.flatnonzero((other > 0) | (size >= 16) | (weight >= 4) & (size >= 7)).tolist():
         a, b = int(first[i]), int(last[i])
         d = int(w.doc[a])
         start = int(w.start[max(int(w.first[d]), a - 2)])

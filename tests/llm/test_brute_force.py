@@ -271,6 +271,13 @@ def test_pii_by_hand(spark, text, want):
     assert [(e["type"], text[e["start"] : e["end"]]) for e in r["entities"]] == want
 
 
+@pytest.mark.parametrize("ip", ["8.8.8.8", "10.0.0.1", "127.0.0.1", "192.0.2.1", "10.0.0.12"])
+def test_pii_short_addresses(spark, ip):
+    """Of four to six digits, among ordinary words."""
+    r = pii.find_pii(spark.createDataFrame([(1, f"they ask {ip}, or wait")], "doc_id long, text string")).first()
+    assert r["text"] == "they ask [IP], or wait" and r["n_entities"] == 1
+
+
 def test_packed_cells():
     rng = np.random.default_rng(2)
     for n in (1, 2, 10, 500):
