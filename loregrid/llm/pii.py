@@ -21,6 +21,7 @@ from loregrid.llm.common import Words, free_name, text_slices
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
 MAX_ATOMS = 24
+LONG = 15  # bytes of the shortest key
 EXAMPLES, EPOCHS = 1200, 24
 
 _ATOM = re.compile(r"[^\W_]+|\s+|.", re.S)
@@ -113,7 +114,7 @@ def segments(text: str, before: str) -> tuple[list[tuple[int, int]], list[tuple[
             if not word[j - 1]:
                 continue
             s = text[atoms[i][0] : atoms[j - 1][1]]
-            if len(s) < 7 or s.count("(") != s.count(")") or not ("@" in s or len(s) >= 16 or sum("0" <= c <= "9" for c in s) >= 4):
+            if len(s) < 7 or s.count("(") != s.count(")") or not ("@" in s or len(s) >= LONG or sum("0" <= c <= "9" for c in s) >= 4):
                 continue
             right = j < m and not spaces[j] and (word[j] or text[atoms[j][0]] in "@._%+-" and j + 1 < m and word[j + 1])
             head = (before + " " + text[: atoms[i][0]].lower())[-24:]
@@ -184,7 +185,8 @@ def example(rng: np.random.Generator) -> tuple[str, str, list[tuple[int, int, st
         return s if rng.random() < 0.6 or len(s) != 16 else pick(" ", "-").join(s[i : i + 4] for i in range(0, 16, 4))
 
     def iban():
-        body, country = "".join(pick(*"0123456789") for _ in range(18)), pick("DE", "FR", "GB", "ES")
+        capital = lambda n: "".join(pick(*"ABCDEFGHIKLMNOPRSTUVWZ") for _ in range(n))
+        country, body = pick(("DE", d(18)), ("FR", d(23)), ("ES", d(20)), ("GB", capital(4) + d(14)), ("NL", capital(4) + d(10)), ("IE", capital(4) + d(14)), ("MT", capital(4) + d(13) + capital(7) + d(3) + capital(1)))
         check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
         s = f"{country}{check:02d}{body}"
         return s if rng.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
@@ -199,7 +201,7 @@ def example(rng: np.random.Generator) -> tuple[str, str, list[tuple[int, int, st
         if kind == "CARD":
             return card()
         if kind == "SECRET":
-            return pick("".join(pick(*"0123456789abcdef") for _ in range(pick(32, 40, 64))), "AKIA" + "".join(pick(*"ABCDEFGHIJ234567") for _ in range(16)), "ghp_" + "".join(pick(*"abcdefABCDEF0123456789") for _ in range(36)), "sk-" + "".join(pick(*"abcdefABCDEF0123456789") for _ in range(24)))
+            return pick("".join(pick(*"0123456789abcdef") for _ in range(pick(32, 40, 64))), "AKIA" + "".join(pick(*"ABCDEFGHIJ234567") for _ in range(16)), "ghp_" + "".join(pick(*"abcdefABCDEF0123456789") for _ in range(36)), "sk-" + "".join(pick(*"abcdefABCDEF0123456789") for _ in range(24)), pick("ghp_" + (word() * 20)[:36], "sk-" + (word() * 12)[:24], "xoxb-" + (word() * 12)[: rng.integers(10, 24)]))
         if kind == "SSN":
             return f"{d(3)}-{d(2)}-{d(4)}"
         return iban()
@@ -270,7 +272,10 @@ for _c in b"_-+/=":
 
 
 def stretches(data: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int, str]]:
-    """(text, first byte, end byte, what stands before) of runs of words in which an entity is possible."""
+    """(text, first byte, end byte, what stands before) of runs of words in which an entity is possible.
+
+    Words with digits or an at sign, long words, and the capital groups that follow the head of an IBAN.
+    """
     w = Words(data, offset, lower=False)
     if not len(w.start):
         return []
@@ -278,10 +283,22 @@ def stretches(data: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int,
     total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     span = lambda c: c[w.end] - c[w.start]
     digits, at, letters = span(total(kind == 1)), span(total(kind == 2)), span(total(kind == 3))
-    long = (letters + digits >= 16) & (digits > 0)
+    upper = (data >= 65) & (data <= 90)
+    small = (data >= 97) & (data <= 122) | (data >= 128)
+    long = (letters + digits >= LONG) & (span(total(upper | small)) > 0)
     use = (digits > 0) | (at > 0) | long
     if not use.any():
         return []
+    begins = np.zeros(len(data), dtype=bool)  # two capitals and two digits
+    begins[:-3] = upper[:-3] & upper[1:-2] & (kind[2:-1] == 1) & (kind[3:] == 1)
+    begun = total(begins)
+    at_head = begun[np.maximum(w.end - 3, w.start)] > begun[w.start]
+    group = (span(total(upper | (kind == 1))) > 0) & (span(total(small)) == 0)
+    place = np.flatnonzero(at_head)
+    for _ in range(8):  # as many groups as an IBAN has behind its head
+        place = place[place + 1 < len(use)] + 1
+        place = place[group[place] & (w.doc[place] == w.doc[place - 1])]
+        use[place] = True
     head = use.copy()
     head[1:] &= ~use[:-1] | (w.doc[1:] != w.doc[:-1])
     first = np.flatnonzero(head)
@@ -293,7 +310,7 @@ def stretches(data: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int,
     out = []
     size = w.end[last] - w.start[first]
     # no stricter than segments(): an address such as 8.8.8.8 has four digits
-    for i in np.flatnonzero((other > 0) | (size >= 16) | (weight >= 4) & (size >= 7)).tolist():
+    for i in np.flatnonzero((other > 0) | (size >= LONG) | (weight >= 4) & (size >= 7)).tolist():
         a, b = int(first[i]), int(last[i])
         d = int(w.doc[a])
         start = int(w.start[max(int(w.first[d]), a - 2)])

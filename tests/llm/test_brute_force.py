@@ -278,6 +278,21 @@ def test_pii_short_addresses(spark, ip):
     assert r["text"] == "they ask [IP], or wait" and r["n_entities"] == 1
 
 
+@pytest.mark.parametrize(("entity", "kind"), [
+    ("GB29 NWBK 6016 1331 9268 19", "IBAN"),
+    ("NL91 ABNA 0417 1643 00", "IBAN"),
+    ("IE29 AIBK 9311 5212 3456 78", "IBAN"),
+    ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", "IBAN"),
+    ("sk-abcdefghijklmnopqrstuvwx", "SECRET"),
+    ("xoxb-abcdefghij", "SECRET"),
+    ("ghp_abcdefghijklmnopqrstuvwxyzabcdefghij", "SECRET"),
+])
+def test_pii_with_words_of_letters(spark, entity, kind):
+    """Bank codes and keys without a digit."""
+    r = pii.find_pii(spark.createDataFrame([(1, f"pay it to {entity} NOW or wait")], "doc_id long, text string")).first()
+    assert r["text"] == f"pay it to [{kind}] NOW or wait"
+
+
 def test_packed_cells():
     rng = np.random.default_rng(2)
     for n in (1, 2, 10, 500):
