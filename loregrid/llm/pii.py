@@ -1,14 +1,17 @@
 """Personal data and secrets, found by a semi-Markov conditional random field.
 
 Stretches of words that could hold an entity are picked out by character classes over whole texts. In each, every
-segment of at most MAX_ATOMS atoms is a candidate; features of the whole segment (its shape, check digits, what stands
-before it, whether it breaks off in the middle of something) score it for each type, and dynamic programming over
-segments chooses boundaries and types together. Weights are fitted to generated examples by conditional likelihood.
+segment of at most MAX_ATOMS atoms is a candidate, and so is every whole address or key, however long; features of
+the whole segment (its shape, check digits, what stands before it, whether it breaks off in the middle of something)
+score it for each type, and dynamic programming over segments of the whole stretch chooses boundaries and types
+together. Weights are fitted to generated examples by conditional likelihood.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +25,7 @@ from loregrid.llm.common import Words, free_name, text_slices
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
 MAX_ATOMS = 24
 LONG = 15  # bytes of the shortest key
+STEP = 1024  # atoms whose candidates are held at once
 EXAMPLES, EPOCHS = 1200, 24
 
 _ATOM = re.compile(r"[^\W_]+|\s+|.", re.S)
@@ -33,7 +37,7 @@ _CARD = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19}")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,4})?")
 _HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
-_KEY = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk[-_]\w{16,}([-_]\w+)*|xox[abp]-[\w-]{10,}|AIza[\w-]{30,}|eyJ[\w-]+\.[\w-]+\.[\w-]+")
+_KEY = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk[-_]\w{16,}(-\w+)*|xox[abp]-[\w-]{10,}|AIza[\w-]{30,}|eyJ[\w-]+\.[\w-]+\.[\w-]+")
 _CONTEXT = (
     re.compile(r"token|secret|key|passw|credential|auth|bearer"),
     re.compile(r"phone|tel|call|mobile|fax|contact"),
@@ -43,6 +47,7 @@ _CONTEXT = (
     re.compile(r"iban|account|bank"),
 )
 _EDGE = "+("
+_JOINERS = "_.+%-"
 N_FEATURES = 32
 
 
@@ -99,28 +104,47 @@ def features(s: str, before: str, left: bool, right: bool) -> np.ndarray:
     return f
 
 
-def segments(text: str, before: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
-    """(atoms as character ranges, candidate segments as atom ranges, their features) of a stretch of text."""
+def candidates(text: str, before: str, step: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]]:
+    """(all atoms as character ranges, candidate segments as atom ranges, their features), for step atoms of a stretch at a time."""
     atoms = [m.span() for m in _ATOM.finditer(text)]
     word = [text[a].isalnum() for a, _ in atoms]
     spaces = [text[a].isspace() for a, _ in atoms]
     spans, rows = [], []
     m = len(atoms)
+    far, tried = 0, False  # end of the last address or key; whether an address was looked for in this run of letters, digits and joiners
     for i in range(m):
-        if not (word[i] or text[atoms[i][0]] in _EDGE):
+        if i and i % step == 0:
+            yield atoms, spans, np.array(rows).reshape(len(rows), N_FEATURES)
+            spans, rows = [], []
+        a = atoms[i][0]
+        tried &= word[i] or text[a] in _JOINERS
+        if not (word[i] or text[a] in _EDGE):
             continue
+        head = (before + " " if a < 24 else "") + text[max(0, a - 24) : a].lower()
+        head = head[-24:]
         left = i > 0 and not spaces[i - 1] and (word[i - 1] or text[atoms[i - 1][0]] in "@._%+-" and (i > 1 and word[i - 2] or text[atoms[i - 1][0]] == "+"))
-        for j in range(i + 1, min(m, i + MAX_ATOMS) + 1):
-            if not word[j - 1]:
-                continue
+        ends = [j for j in range(i + 1, min(m, i + MAX_ATOMS) + 1) if word[j - 1]]
+        if word[i] and a >= far:
+            whole = _KEY.match(text, a) or (None if tried else _EMAIL.match(text, a))
+            tried = True
+            if whole:
+                far = whole.end()
+                j = bisect_left(atoms, (far, far))
+                if atoms[j - 1][1] == far and j not in ends:  # longer than others, or with a joiner as its last character
+                    ends.append(j)
+        for j in ends:
             s = text[atoms[i][0] : atoms[j - 1][1]]
             if len(s) < 7 or s.count("(") != s.count(")") or not ("@" in s or len(s) >= LONG or sum("0" <= c <= "9" for c in s) >= 4):
                 continue
             right = j < m and not spaces[j] and (word[j] or text[atoms[j][0]] in "@._%+-" and j + 1 < m and word[j + 1])
-            head = (before + " " + text[: atoms[i][0]].lower())[-24:]
             spans.append((i, j))
             rows.append(features(s, head, left, right))
-    return atoms, spans, np.array(rows).reshape(len(rows), N_FEATURES)
+    yield atoms, spans, np.array(rows).reshape(len(rows), N_FEATURES)
+
+
+def segments(text: str, before: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
+    """(atoms as character ranges, candidate segments as atom ranges, their features) of a stretch of text."""
+    return next(candidates(text, before, len(text) + 1))
 
 
 def decode(m: int, spans: list[tuple[int, int]], score: np.ndarray) -> list[tuple[int, int, int]]:
@@ -257,10 +281,13 @@ def fit(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 7) -> np.nda
 
 def find(text: str, before: str, w: np.ndarray) -> list[tuple[int, int, str]]:
     """Entities of a stretch, as character ranges with types."""
-    atoms, spans, x = segments(text, before)
-    if not spans:
-        return []
-    return [(atoms[i][0], atoms[j - 1][1], TYPES[k]) for i, j, k in decode(len(atoms), spans, x @ w.T)]
+    chosen, scores = [], [np.zeros((0, len(TYPES)))]
+    for atoms, spans, x in candidates(text, before, STEP):
+        score = x @ w.T
+        good = score.max(axis=1, initial=0) > 0  # no best segmentation has others
+        chosen += [spans[r] for r in np.flatnonzero(good)]
+        scores.append(score[good])
+    return [(atoms[i][0], atoms[j - 1][1], TYPES[k]) for i, j, k in decode(len(atoms), chosen, np.concatenate(scores))] if chosen else []
 
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 digit, 2 at sign, 3 letter or joiner
@@ -314,11 +341,7 @@ def stretches(data: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int,
         a, b = int(first[i]), int(last[i])
         d = int(w.doc[a])
         start = int(w.start[max(int(w.first[d]), a - 2)])
-        # a run of a great many numbers is looked at in pieces, cut between words
-        for s in range(a, b + 1, 40):
-            e = min(s + 47, b)
-            begin = start if s == a else int(w.start[max(a, s - 2)])
-            out.append((d, int(w.start[s]), int(w.end[e]), data[begin : int(w.start[s])].tobytes().decode("utf-8", "replace").lower()))
+        out.append((d, int(w.start[a]), int(w.end[b]), data[start : int(w.start[a])].tobytes().decode("utf-8", "replace").lower()))
     return out
 
 
@@ -355,10 +378,7 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
                 for d, s, e, before in places:
                     part = data[s:e].tobytes().decode("utf-8", "replace")
                     base = int(lead[s] - lead[offset[d]])
-                    hits = spots.setdefault(d, [])
-                    for x, y, t in find(part, before, weights):
-                        if not hits or base + x >= hits[-1][1]:  # pieces of a long run overlap
-                            hits.append((base + x, base + y, t))
+                    spots.setdefault(d, []).extend((base + x, base + y, t) for x, y, t in find(part, before, weights))
                 for d, hits in spots.items():
                     if hits:
                         body, out, p = data[offset[d] : offset[d + 1]].tobytes().decode("utf-8", "replace"), [], 0

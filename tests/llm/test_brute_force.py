@@ -293,6 +293,23 @@ def test_pii_with_words_of_letters(spark, entity, kind):
     assert r["text"] == f"pay it to [{kind}] NOW or wait"
 
 
+def test_pii_at_every_place_of_a_long_run(spark):
+    """A number is found whole wherever it stands among a great many others."""
+    rows = [(n, "12.5 " * n + "+33 1 23 45 67 89" + " 12.5" * 60) for n in range(30, 100)]
+    got = {r["doc_id"]: r["text"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: "12.5 " * n + "[PHONE]" + " 12.5" * 60 for n, _ in rows}
+
+
+@pytest.mark.parametrize(("entity", "kind"), [
+    ("eyJhbGciOiJSUzI1NiJ9.eyJzdWIiOiIxIn0." + "aB3-x_Y9-" * 38, "SECRET"),
+    ("sk-" + "a1B2c3D4e5F6g7H8i9" + "-x7" * 30, "SECRET"),
+    ("a.b." * 10 + "jo@mail.example.com", "EMAIL"),
+])
+def test_pii_of_many_atoms(spark, entity, kind):
+    r = pii.find_pii(spark.createDataFrame([(1, f"send {entity} today")], "doc_id long, text string")).first()
+    assert r["text"] == f"send [{kind}] today"
+
+
 def test_packed_cells():
     rng = np.random.default_rng(2)
     for n in (1, 2, 10, 500):
