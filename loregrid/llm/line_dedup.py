@@ -91,8 +91,9 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", drop_empt
     n_lines and n_dropped are added (with underscores in front where df has such names). A document that loses all its
     non-blank lines is dropped with drop_empty, else its text holds what blank lines remain. Defined cases: a null or
     blank text is kept as it is (n_lines 0 for null); a row with a null key takes no part and is kept as it is;
-    rows with the same key are treated alike, as one place, so equal rows all keep the same lines; an empty table gives
-    an empty table; other columns pass through, whatever their names.
+    rows with the same key are one place, so equal rows all keep the same lines, and where their texts differ each loses
+    only lines that are repeats themselves (unless two lines at one place have one 64-bit hash: then both stay); an empty
+    table gives an empty table; other columns pass through, whatever their names.
     """
     n = _lines(df, key, text).count()
     shards = max(1, -(-n // LINES_PER_SHARD))
@@ -103,25 +104,28 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", drop_empt
     hashed = _lines(df, key, text).select("k", "p", "line", F.xxhash64("line").alias("h")).select("k", "p", "line", "h", shard)
     seen = _probe(F.col("h"), F.col("m"), F.col("bits"))
     if size <= BROADCAST_LIMIT:
-        suspects = hashed.join(F.broadcast(filters), "shard").where(seen).select("k", "p", "line")
+        suspects = hashed.join(F.broadcast(filters), "shard").where(seen).select("k", "p", "line", "h")
     else:  # filters stay where they are: only places and hashes go to them, and the texts meet their suspected places
         places = hashed.select("k", "p", "h", "shard").join(filters, "shard").where(seen).groupBy("k").agg(F.collect_set("p").alias("places"))
         texts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
         parts = texts.join(places, "k").select("k", "places", F.posexplode(F.split("t", "\n", -1)).alias("p", "line"))
-        suspects = parts.where(F.array_contains("places", F.col("p"))).select("k", "p", "line")
+        suspects = parts.where(F.array_contains("places", F.col("p"))).select("k", "p", "line", F.xxhash64("line").alias("h"))
     # The text itself is the grouping key: a hash collision or a false positive ends as a group of its own.
-    first = suspects.groupBy("line").agg(F.min(F.struct("k", "p")).alias("f"), F.count(F.lit(1)).alias("c"))
-    marks = suspects.select("k", "p", F.lit(True).alias("s")).unionByName(first.select("f.k", "f.p", F.lit(False).alias("s")))
-    lists = marks.groupBy("k").agg(F.collect_set(F.when(F.col("s"), F.col("p"))).alias("s"), F.collect_set(F.when(~F.col("s"), F.col("p"))).alias("f"))
+    first = suspects.groupBy("line").agg(F.min(F.struct("k", "p", "h")).alias("f"))
+    marks = suspects.select("k", "p", "h", F.lit(True).alias("s")).unionByName(first.select("f.k", "f.p", "f.h", F.lit(False).alias("s")))
+    # The hash tells lines of rows with one key apart.
+    at = F.struct("p", "h")
+    lists = marks.groupBy("k").agg(F.collect_set(F.when(F.col("s"), at)).alias("s"), F.collect_set(F.when(~F.col("s"), at)).alias("f"))
     drops = lists.select("k", F.array_except("s", "f").alias("drop")).where(F.size("drop") > 0)
 
-    d, total, lost = free_name(df, "lg_drop"), free_name(df, "n_lines"), free_name(df, "n_dropped")
+    d, left, total, lost = (free_name(df, x) for x in ("lg_drop", "lg_left", "n_lines", "n_dropped"))
     at = free_name(df, "lg_k")
     joined = df.join(drops.select(F.col("k").alias(at), F.col("drop").alias(d)), F.col(key) == F.col(at), "left").drop(at)
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col(d), i))
-    out = joined.withColumn(total, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts))).withColumn(lost, F.coalesce(F.size(d), F.lit(0)))
-    out = out.withColumn(text, F.when(F.col(d).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col(d), F.struct(i.alias("p"), F.xxhash64(x).alias("h"))))
+    out = joined.withColumn(total, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts))).withColumn(left, F.when(F.col(d).isNotNull() & F.col(text).isNotNull(), kept))
+    out = out.withColumn(lost, F.when(F.col(left).isNull(), 0).otherwise(F.col(total) - F.size(left)))
+    out = out.withColumn(text, F.when(F.col(left).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
     if drop_empty:
         out = out.where((F.col(lost) == 0) | F.col(text).rlike(r"\S"))
     return out.select(*df.columns, total, lost)

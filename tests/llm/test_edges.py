@@ -35,6 +35,15 @@ def test_line_dedup(rows):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_LIMIT, -1])
+def test_line_dedup_of_one_key_with_two_texts(spark, monkeypatch, limit):
+    """Each row loses its own repeats, whether filters are broadcast or not."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LIMIT", limit)
+    df = spark.createDataFrame([(1, "top\nsame"), (2, "one\nsame\nend"), (2, "two\nonly here"), (2, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup(df).collect()}
+    assert got == {(1, "top\nsame", 2, 0), (2, "one\nend", 3, 1), (2, "two\nonly here", 2, 0), (2, None, 0, 0)}
+
+
 def test_line_dedup_with_filters_too_large_to_broadcast(rows, monkeypatch):
     want = line_dedup.line_dedup(rows).select("doc_id", "text", "_n_dropped").collect()
     monkeypatch.setattr(line_dedup, "BROADCAST_LIMIT", -1)
