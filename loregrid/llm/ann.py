@@ -1,9 +1,9 @@
-"""Approximate nearest neighbours of every vector, by an inverted multi-index.
+"""Approximate nearest neighbours, by an inverted multi-index.
 
 The two halves of a vector are quantised separately, so that K codewords a half give K * K cells. A query visits cells
 in order of the summed distances of its halves to the cell's codewords (multi-sequence traversal with a heap) until
-they hold enough entries, which are then ranked by exact distance. Cells are spread over shards by their first
-codeword; a query goes only to the shards that hold cells it visits.
+they hold enough entries, which are then ranked by exact distance. Cells, in order, are cut into shards of about
+SHARD_ENTRIES entries, a larger cell into several; a query goes only to the shards that hold cells it visits.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregrid.llm.common import cut
+from loregrid.llm.common import BROADCAST_LIMIT, cut, mix, whole_key
 
 K, ITERATIONS = 10, 6
-#: Entries a cell should hold on average, and most codewords a half.
-CELL, MOST_CODEWORDS = 16, 256
+#: Entries a cell should hold on average, as long as a table of all cells may be broadcast; from there on cells grow.
+CELL, MOST_CELLS = 16, BROADCAST_LIMIT // 16
+#: The codebooks are fitted to about so many vectors, those whose keys have the lowest hashes.
+FIT_ROWS = 1 << 16
 #: The number of candidates is set so that SAMPLE queries, answered exactly as well, find this share of their neighbours.
 RECALL, SAMPLE = 0.95, 128
 #: Entries are copied once for every part of the queries that come to their shard; a part is ranked in slices.
@@ -41,52 +43,25 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
-def _sums(books, half: int):
-    """One Lloyd step's sums: (half, codeword, number, summed vector) of a task."""
-
-    def run(batches):
-        total = None
-        for batch in batches:
-            _, x = _matrix(batch.column(1))
-            if not len(x):
-                continue
-            if total is None:
-                total = [[np.zeros(len(b)), np.zeros_like(b)] for b in books]
-            for (n, s), b, part in zip(total, books, (x[:, :half], x[:, half:])):
-                code = squared(part, b).argmin(axis=1)
-                n += np.bincount(code, minlength=len(b))
-                order = np.argsort(code, kind="stable")
-                used, first = np.unique(code[order], return_index=True)
-                s[used] += np.add.reduceat(part[order], first, axis=0)
-        for h, (n, s) in enumerate(total or []):
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(list(s[at]), pa.list_(pa.float64()))], names=["h", "code", "n", "s"])
-
-    return run
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    s = np.stack(table.column("s").to_pylist()).sum(axis=0)
-    return pa.table({"h": table.column("h")[:1], "code": table.column("code")[:1], "n": pa.array([float(np.sum(table.column("n")))]), "s": pa.array([s.tolist()], pa.list_(pa.float64()))})
-
-
-def codebooks(vectors: DataFrame, size: int, dims: int, iterations: int = ITERATIONS) -> list[np.ndarray]:
-    """Two codebooks by Lloyd's algorithm over all vectors, begun at the vectors whose keys have the lowest hashes; each in order along its longest axis."""
-    half = max(1, dims // 2)
-    first = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("k"), "k", "v").limit(size).collect()], dtype=np.float64)
-    books = [np.unique(first[:, :half], axis=0), np.unique(first[:, half:], axis=0) if dims > 1 else np.zeros((1, 0))]
-    for _ in range(iterations):
-        moved = [b.copy() for b in books]
-        for r in vectors.mapInArrow(_sums(books, half), "h int, code int, n double, s array<double>").groupBy("h", "code").applyInArrow(_merge, "h int, code int, n double, s array<double>").collect():
-            moved[r["h"]][r["code"]] = np.array(r["s"]) / r["n"]
-        done = all(np.abs(a - b).max(initial=0) < 1e-6 for a, b in zip(books, moved))
-        books = moved
-        if done:
-            break
+def codebooks(x: np.ndarray, size: int, iterations: int = ITERATIONS) -> list[np.ndarray]:
+    """Two codebooks of the rows of x by Lloyd's algorithm, begun at its first rows; each in order along its longest axis."""
+    half = max(1, x.shape[1] // 2)
     out = []
-    for b in books:
-        axis = np.linalg.svd(b - b.mean(0), full_matrices=False)[2][0] if b.shape[1] and len(b) > 1 else np.zeros(b.shape[1])
-        out.append(b[np.argsort(b @ axis, kind="stable")])
+    for part in (x[:, :half], x[:, half:]):
+        book = np.unique(part[:size], axis=0)
+        for _ in range(iterations if part.shape[1] else 0):
+            total, n = np.zeros_like(book), np.zeros(len(book))
+            for s in range(0, len(part), 4096):
+                code = squared(part[s : s + 4096], book).argmin(axis=1)
+                n += np.bincount(code, minlength=len(book))
+                np.add.at(total, code, part[s : s + 4096])
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], book)
+            done = np.abs(moved - book).max(initial=0) < 1e-6
+            book = moved
+            if done:
+                break
+        axis = np.linalg.svd(book - book.mean(0), full_matrices=False)[2][0] if book.shape[1] and len(book) > 1 else np.zeros(book.shape[1])
+        out.append(book[np.argsort(book @ axis, kind="stable")])
     return out
 
 
@@ -190,11 +165,32 @@ def unpack_cells(data: bytes) -> np.ndarray:
     return (np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=5))) + first).astype(np.int32)
 
 
-def _route(shared, half: int, shards: int, wanted: int):
+def shards_of(filled: np.ndarray, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last shard of each cell, if shards take about so many entries of the cells in order."""
+    upto = np.cumsum(filled)
+    return ((upto - filled) // entries).astype(np.int32), (np.maximum(upto - 1, 0) // entries).astype(np.int32)
+
+
+def _place(shared):
+    """Every entry with its shard; those of a cell in several shards are spread by their keys."""
+
+    def run(batches):
+        first, last = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                k, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                width = (last[cell] - first[cell] + 1).astype(np.uint64)
+                shard = first[cell] + (mix(k.view(np.uint64)) % width).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], names=["shard", "k", "v", "cell"])
+
+    return run
+
+
+def _route(shared, half: int, wanted: int):
     """Each query once for every shard that it visits, with the cells there."""
 
     def run(batches):
-        (one, two), filled = shared.value
+        (one, two), filled, first, last = shared.value
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 batch = whole.slice(s, 256)
@@ -205,11 +201,13 @@ def _route(shared, half: int, shards: int, wanted: int):
                 row, shard, cells = [], [], []
                 for i in range(len(at)):
                     visit = np.array(traverse(left[i], right[i], filled, wanted), dtype=np.int32)
-                    home = visit // len(two) * shards // len(one)
-                    for m in np.unique(home).tolist():
+                    width = last[visit] - first[visit] + 1
+                    visit, home = np.repeat(visit, width), np.repeat(first[visit] + width - np.cumsum(width), width) + np.arange(width.sum())
+                    order = np.argsort(home, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
                         row.append(i)
-                        shard.append(m)
-                        cells.append(pack_cells(visit[home == m]))
+                        shard.append(int(home[part[0]]))
+                        cells.append(pack_cells(visit[part]))
                 take = pa.array(at[row])
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(cells, pa.binary())], names=["shard", "k", "v", "cells"])
 
@@ -271,41 +269,53 @@ def _rank(k: int):
     return of
 
 
-def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): every row's k nearest other rows by Euclidean distance, found approximately.
+def _vectors(df: DataFrame, key: str, vector: str, kind: str) -> DataFrame:
+    """(k, v) of the rows that have a key and a vector of finite numbers."""
+    v = F.col(vector).cast(kind)
+    good = df.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0)).select(whole_key(df, key).alias("k"), v.alias("v"))
+    return good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
 
+def nearest_neighbours(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, recall: float = RECALL, sample: int = SAMPLE, queries: DataFrame | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest rows of df, but those with the same key, by Euclidean distance, found approximately.
+
+    Asked are the rows of queries (which has the same two columns), all rows of df if none are given. All rows of df are
+    in the index; its codebooks are fitted to about fit_rows of them. Keys are whole numbers, else a TypeError is raised.
     Defined cases: null vectors, and vectors that are empty, hold nulls or aren't finite, neither ask nor are found;
-    nor do those whose length isn't the commonest (the longer of equals); a null key takes no part; of rows with one key, the
-    least vector counts; ties go to lower keys; with fewer than k other rows all are given; fewer than two rows give an
-    empty result; other columns don't matter.
+    nor do those whose length isn't the commonest in df (the longer of equals); a null key takes no part; of rows with one
+    key, the least vector counts; ties go to lower keys; with fewer than k other rows all are given; without other
+    rows, or without queries, the result is empty; other columns don't matter.
     """
     spark = df.sparkSession
     kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
-    v = F.col(vector).cast(kind)
-    good = df.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0)).select(F.col(key).cast("long").alias("k"), v.alias("v"))
-    good = good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    good = _vectors(df, key, vector, kind)
     dims = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("d")).first()
-    empty = spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
     if dims is None:
-        return empty
-    vectors = cut(good.where(F.size("v") == dims["d"]).groupBy("k").agg(F.min("v").alias("v")))
+        return spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
+    of_one_key = lambda x: x.where(F.size("v") == dims["d"]).groupBy("k").agg(F.min("v").alias("v"))
+    vectors = cut(of_one_key(good))
     n = vectors.count()
     half = max(1, dims["d"] // 2)
-    size = int(max(1, min(MOST_CODEWORDS, round((n / CELL) ** 0.5))))
-    books = codebooks(vectors, size, dims["d"])
+    size = int(max(1, min(MOST_CELLS**0.5, round((n / CELL) ** 0.5))))
+    some = vectors if n <= fit_rows else vectors.where(F.shiftrightunsigned(F.xxhash64("k"), 1) < F.lit(int(fit_rows / n * 2**63)))
+    sample_of = some.select("k", "v", F.xxhash64("k").alias("h")).toArrow().sort_by([("h", "ascending"), ("k", "ascending")])
+    books = codebooks(_matrix(sample_of.column("v").combine_chunks())[1].reshape(-1, dims["d"]), size)
+    del sample_of
     sc = spark.sparkContext
     entries = cut(vectors.mapInArrow(_encode(sc.broadcast(books), half), f"k long, v {kind}, cell int"))
     filled = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
-    for r in entries.groupBy("cell").count().collect():  # at most MOST_CODEWORDS ** 2 rows
-        filled[r["cell"]] = r["count"]
-    shards = int(max(1, min(len(books[0]), -(-n // SHARD_ENTRIES))))
+    for r in entries.groupBy("cell").count().toArrow().to_batches():  # at most MOST_CELLS rows
+        filled[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    first, last = shards_of(filled, SHARD_ENTRIES)
+    shards = int(last.max(initial=0)) + 1
     wanted, cells = calibrate(entries, books, filled, half, k, recall, sample)
-    asked = vectors.mapInArrow(_route(sc.broadcast((books, filled)), half, shards, wanted), f"shard int, k long, v {kind}, cells binary")
+    asking = vectors if queries is None else cut(of_one_key(_vectors(queries, key, vector, kind)))
+    asked = asking.mapInArrow(_route(sc.broadcast((books, filled, first, last)), half, wanted), f"shard int, k long, v {kind}, cells binary")
     # queries that meet in a shard, if each visits so many cells, all in different shards at worst
-    parts = max(1, math.ceil(n * min(1.0, cells / shards) / QUERIES_PER_PART))
+    parts = max(1, math.ceil((n if queries is None else asking.count()) * min(1.0, cells / shards) / QUERIES_PER_PART))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)))
-    shard = F.floor(F.floor(F.col("cell") / len(books[1])) * shards / len(books[0])).cast("int")
-    held = entries.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "k", "v", "cell")
+    held = entries.mapInArrow(_place(sc.broadcast((first, last))), f"shard int, k long, v {kind}, cell int")
+    held = held.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "k", "v", "cell")
     near = asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(_rank(k), "k long, neighbor long, d double")
     best = near.groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "neighbor"))), 1, k).alias("b"))
     out = best.select(F.col("k").alias("vec_id"), F.posexplode("b").alias("rank", "b"))

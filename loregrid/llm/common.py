@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured size is below this; beyond it the join shuffles.
@@ -24,10 +25,12 @@ _U = np.uint64
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder in spark.checkpoint.dir. Where the session names none, a temporary one, in local mode only: executors elsewhere couldn't read it."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loregrid-"))
     return named or sc.getCheckpointDir()
 
@@ -134,6 +137,14 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         a = b
 
 
+def whole_key(df: DataFrame, key: str) -> Column:
+    """The key as a long; a TypeError where it is no whole number."""
+    kind = dict(df.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{key} has to be a whole number, not {kind}")
+    return F.col(key).cast("long")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores in front until df has no such column (upper and lower case count as equal)."""
     taken = {c.lower() for c in df.columns}

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from llm import plain
 from pyspark.sql import functions as F
 
-from loregrid.llm import ann, language_id, line_dedup, mixing, pii, quality_bayes, suffix_dedup
+from loregrid.llm import ann, language_id, line_dedup, mixing, pii, quality_bayes, queries, suffix_dedup
 from loregrid.llm import sentencepiece_sampling as sp
 
 SMALL = "/root/testdata/sf0.001"
@@ -106,19 +106,47 @@ def test_pieces_decode_with_the_library_too(spark, docs):
 # --- neighbours
 
 
-def test_recall(spark):
-    df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
-    rows = df.orderBy("vec_id").collect()
-    x = np.array([r["embedding"] for r in rows], dtype=np.float64)
+def recall_of(df, out, asked):
+    """Share of the true neighbours that out holds; its distances and ranks are checked on the way."""
+    rows = {r["vec_id"]: r["embedding"] for r in df.collect()}
+    keys, x = np.array(list(rows)), np.array(list(rows.values()), dtype=np.float64)
     d = ann.squared(x, x)
     np.fill_diagonal(d, np.inf)
-    got = defaultdict(set)
-    for r in ann.nearest_neighbours(df).collect():
-        got[r["vec_id"]].add(r["neighbor_id"])
-        assert abs(r["distance"] - math.sqrt(d[r["vec_id"], r["neighbor_id"]])) < 1e-4
-    assert all(len(g) == ann.K for g in got.values()) and len(got) == len(rows)
-    hits = sum(len(got[i] & set(np.argsort(d[i], kind="stable")[: ann.K].tolist())) for i in range(len(rows)))
-    assert hits / (ann.K * len(rows)) >= 0.9
+    place = {int(k): i for i, k in enumerate(keys)}
+    got = defaultdict(dict)
+    for r in out.collect():
+        got[r["vec_id"]][r["rank"]] = r["neighbor_id"]
+        assert abs(r["distance"] - math.sqrt(d[place[r["vec_id"]], place[r["neighbor_id"]]])) < 1e-4
+    assert set(got) == asked and all(sorted(g) == list(range(1, ann.K + 1)) for g in got.values())
+    hits = 0
+    for q, g in got.items():
+        row = d[place[q]]
+        far = np.sort(row)[ann.K - 1] + 1e-9
+        hits += sum(row[place[n]] <= far for n in g.values())
+    return hits / (ann.K * len(got))
+
+
+def test_recall(spark):
+    df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    assert recall_of(df, ann.nearest_neighbours(df), {r["vec_id"] for r in df.collect()}) >= 0.9
+
+
+def test_recall_of_the_registered_query(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    out = queries.QUERIES["op4_nearest_neighbours"](spark, "/root/testdata/sf0.1")
+    assert recall_of(df, out, {r["vec_id"] for r in df.where("vec_id % 50 = 0").collect()}) >= 0.9
+
+
+@pytest.mark.parametrize(("cells", "entries"), [(1 << 20, 64), (4, 32), (1, 100)])
+def test_recall_with_a_cell_that_holds_a_third(spark, monkeypatch, cells, entries):
+    """Large cells go to several shards; few codewords and a fit on a sample lose no entry."""
+    monkeypatch.setattr(ann, "MOST_CELLS", cells)
+    monkeypatch.setattr(ann, "SHARD_ENTRIES", entries)
+    df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    same = df.where("vec_id = 7").crossJoin(spark.range(1000, 1250)).select(F.col("id").alias("vec_id"), "embedding", "label")
+    df = df.unionByName(same)
+    out = ann.nearest_neighbours(df, queries=df.where("vec_id % 50 = 0"), fit_rows=200)
+    assert recall_of(df, out, {r["vec_id"] for r in df.where("vec_id % 50 = 0").collect()}) >= 0.9
 
 
 def test_traversal_is_in_order_of_distance():
