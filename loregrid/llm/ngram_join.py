@@ -1,13 +1,16 @@
-"""All pairs of documents whose sets of word n-grams have at least a given Jaccard similarity.
+"""Documents whose sets of word n-grams have at least a given Jaccard similarity: their classes, and how many links each has.
 
-1. All n-grams go, packed, to shards of the hash space, which count in how many documents each one is. Those in a single
-   document can't be shared; the others go back, packed, to blocks of documents with their frequency.
+1. N-grams that very many texts hold are found first, by lossy counts of each task. They come last in the order of all
+   n-grams and are sent straight to their documents. All others go, packed, to shards of the hash space, which count in
+   how many documents each one is. Those in a single document can't be shared; the rest go back, packed, to blocks of
+   documents with their frequency.
 2. So each document has its n-grams in one order for everybody, rare first, the unshared ones in front. Two sets that
    reach the threshold must share an n-gram of their prefixes in that order; a document whose prefix is all unshared has
-   no partner. Prefixes go to shards again; documents of compatible lengths that meet there are linked, and the
-   links' components say which documents have to be together.
-3. The sets of linked documents (one of each group of equal sets) go to their component, once. There they are joined on
+   no partner. Prefixes go to shards again (equal sets of a batch once); documents of compatible lengths that meet there
+   are linked, and the links' components say which documents have to be together.
+3. The sets of linked documents (one of each class of equal sets) go to their component, once. There they are joined on
    prefix n-grams, rare first, behind length, positional and suffix filters, and each surviving pair is verified once.
+   No pair leaves its task: only how many links each set has, and which set stands for those linked to it.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loregrid.llm.common import Words, cut, free_name, mix, small, text_slices
-from loregrid.llm.components import connected_components
+from loregrid.llm.common import BROADCAST_LIMIT, Words, cut, free_name, mix, small, text_slices, whole_key
+from loregrid.llm.components import connected_components, forest
 
 N, THRESHOLD = 5, 0.4
-#: A component with more sets is joined block against block, each block of about so many sets.
-BLOCK = 2048
-ENTRIES_PER_SHARD, FLUSH = 1 << 21, 3 << 20
+#: A component with more sets, or more bytes of them, is joined block against block.
+BLOCK, BLOCK_BYTES = 2048, 64 << 20
+ENTRIES_PER_SHARD, FLUSH = 1 << 21, 1 << 19
+#: N-grams that occur so often at least aren't counted by shard, and how many a task's lossy counts hold.
+HOT, COUNTED = 1 << 17, 1 << 20
 _MASK40 = np.uint64((1 << 40) - 1)
 
 
@@ -58,7 +63,7 @@ def _pack(shard: np.ndarray, key: np.ndarray, size: np.ndarray, h: np.ndarray, l
     key, size, h, shard = key[order], size[order], h[order], shard[order]
     edge = np.flatnonzero(np.diff(shard)) + 1
     packs, docs = [], []
-    for s, e in zip([0, *edge], [*edge, len(h)]):
+    for s, e in zip([0, *edge], [*edge, len(h)]) if len(h) else ():
         k, z = key[s:e], size[s:e]
         new = np.append(0, np.flatnonzero((k[1:] != k[:-1]) | (z[1:] != z[:-1])) + 1)
         pack = np.diff(k[new], prepend=0).tobytes() + z[new].astype(np.int32).tobytes() + np.diff(np.append(new, e - s)).astype(np.int32).tobytes()
@@ -69,7 +74,12 @@ def _pack(shard: np.ndarray, key: np.ndarray, size: np.ndarray, h: np.ndarray, l
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(docs if len(h) else [], pa.int32()), pa.array(packs if len(h) else [], pa.binary())], names=["shard", "docs", "pack"])
 
 
-PACKED = "shard int, docs int, pack binary"
+#: of: the shard that counted the n-grams; -1 where that is still to be done.
+PACKED = "shard int, of int, docs int, pack binary"
+
+
+def _with_of(batch: pa.RecordBatch, of: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, of, dtype=np.int32)), *batch.columns[1:]], names=["shard", "of", "docs", "pack"])
 
 
 def _unpack(table: pa.Table, leveled: bool = False):
@@ -87,8 +97,57 @@ def _unpack(table: pa.Table, leveled: bool = False):
     return np.concatenate(keys), np.concatenate(sizes), np.concatenate(hashes), np.concatenate(levels)
 
 
-def _scatter_task(n: int, shards: int):
-    """All n-grams of all texts, packed by shard."""
+def lossy_sum(held: tuple[np.ndarray, np.ndarray], values: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values with their counts, both added up; of more than limit values the less frequent go."""
+    v = np.concatenate([held[0], values])
+    order = np.argsort(v, kind="stable")
+    v, c = v[order], np.concatenate([held[1], counts])[order]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, dtype=np.int64)
+    v, c = v[first], np.add.reduceat(c, first) if len(v) else c
+    if len(v) > limit:
+        more = c > np.partition(c, len(c) - limit // 2)[len(c) - limit // 2]
+        v, c = v[more], c[more]
+    return v, c
+
+
+def _often_task(n: int, limit: int):
+    """(hash, occurrences) of the n-grams that a task meets often: all that occur in more than one of each 2 MB slice's texts, as far as limit goes."""
+
+    def run(batches):
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for batch in batches:
+            for _, _, data, offset in text_slices(batch.column(0)):
+                v, c = np.unique(Words(data, offset).ngrams(n)[0], return_counts=True)
+                several = c > 1
+                held = lossy_sum(held, v[several], c[several], limit)
+        several = held[1] >= 8
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][several].view(np.int64)), pa.array(held[1][several])], names=["h", "c"])
+
+    return run
+
+
+def hot_ngrams(docs: DataFrame, n: int, entries: float, least: int) -> np.ndarray:
+    """Sorted hashes of the n-grams that occur at least `least` times; more often where so many would be too large to broadcast."""
+    least = max(least, math.ceil(entries * 8 / BROADCAST_LIMIT))
+    found = docs.select("t").mapInArrow(_often_task(n, COUNTED), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    return np.sort(found.select("h").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _scatter_task(n: int, shards: int, shared):
+    """All n-grams of all texts, packed: hot ones by block of documents, by their number among the hot ones, others by shard of the hash space."""
+
+    def packs(parts, hot):
+        key, size, h = (np.concatenate(x) for x in zip(*parts))
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            is_hot = hot[at] == h
+            if is_hot.any():
+                k = key[is_hot]
+                block = (mix(k.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+                yield _with_of(_pack(block, k, size[is_hot], at[is_hot].astype(np.uint64), np.full(len(k), 255, dtype=np.uint8)), shards)
+                key, size, h = key[~is_hot], size[~is_hot], h[~is_hot]
+        if len(h):
+            yield _with_of(_pack(((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int32), key, size, h), -1)
 
     def run(batches):
         parts, held = [], 0
@@ -99,22 +158,24 @@ def _scatter_task(n: int, shards: int):
                 parts.append((keys[a:b][doc], np.bincount(doc, minlength=b - a)[doc], h))
                 held += len(h)
                 if held >= FLUSH:
-                    key, size, h = (np.concatenate(x) for x in zip(*parts))
-                    yield _pack(((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int32), key, size, h)
+                    yield from packs(parts, shared.value)
                     parts, held = [], 0
         if held:
-            key, size, h = (np.concatenate(x) for x in zip(*parts))
-            yield _pack(((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int32), key, size, h)
+            yield from packs(parts, shared.value)
 
     return run
 
 
 def _count(blocks: int):
-    """A shard's n-grams that several rows have, with a level that grows with the log of their number, packed by block of documents."""
+    """A shard's n-grams that several rows have, with a level that grows with the log of their number, packed by block of documents; hot n-grams pass."""
 
     def of(table: pa.Table) -> pa.Table:
+        counted = table.column("of").to_numpy() >= 0
+        ready, table = table.filter(pa.array(counted)), table.filter(pa.array(~counted))
+        if not table.num_rows:
+            return ready
         key, size, h, _ = _unpack(table)
-        shard = np.uint64(table.column("shard")[0].as_py())
+        shard = table.column("shard")[0].as_py()
         order = np.argsort(h, kind="stable")
         s = h[order]
         first = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s))
@@ -122,10 +183,10 @@ def _count(blocks: int):
         df[order] = np.repeat(np.diff(first), np.diff(first))
         several = df > 1
         key, size, h, df = key[several], size[several], h[several], df[several]
-        level = np.round(8 * np.log2(df)).clip(0, 255).astype(np.uint8)
+        level = np.round(8 * np.log2(df)).clip(0, 254).astype(np.uint8)
         block = (mix(key.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
-        out = _pack(block, key, size, h, level)
-        return pa.table({"shard": out.column(0), "of": pa.array(np.full(out.num_rows, shard, dtype=np.int32)), "docs": out.column(1), "pack": out.column(2)})
+        out = pa.Table.from_batches([_with_of(_pack(block, key, size, h, level), shard)])
+        return pa.concat_tables([out, ready.cast(out.schema)])
 
     return of
 
@@ -171,33 +232,18 @@ def _signature(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def _prefix_task(batches):
-    """The prefixes of documents, packed by shard."""
+    """The prefixes of documents, packed by shard; of equal sets in a batch only one's, as they are linked anyway."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, size, take = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        h = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64, count=int(t)) for x, t in zip(batch.column(3), take)])
-        yield _pack((h >> np.uint64(40)).astype(np.int32), np.repeat(key, take), np.repeat(size, take), h)
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of the edges, and for each the least node of its component."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    pairs = np.unique(np.stack([at[: len(a)], at[len(a) :]], axis=1), axis=0)
-    up = list(range(len(nodes)))
-    for x, y in pairs.tolist():
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        while up[y] != y:
-            up[y] = up[up[y]]
-            y = up[y]
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    root = np.array(up, dtype=np.int64)
-    while len(root) and (root[root] != root).any():
-        root = root[root]
-    return nodes, nodes[root]
+        size, s1, s2 = (batch.column(i).to_numpy() for i in (1, 3, 4))
+        order = np.lexsort((s2, s1, size))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(size[order]) != 0) | (np.diff(s1[order]) != 0) | (np.diff(s2[order]) != 0)
+        batch = batch.take(pa.array(np.sort(order[new])))
+        key, size, take = (batch.column(i).to_numpy() for i in range(3))
+        h = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64, count=int(t)) for x, t in zip(batch.column(5), take)])
+        yield _with_of(_pack((h >> np.uint64(40)).astype(np.int32), np.repeat(key, take), np.repeat(size, take), h), -1)
 
 
 def _links(threshold: float):
@@ -224,7 +270,7 @@ def join_sets(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right:
     """Pairs (i, j, overlap) with Jaccard >= threshold, i from left and j from right (boolean), each unordered pair once.
 
     size may be above a set's length: what is missing is shared with nobody, and comes first in the order. Prefix tokens are taken rare first; the first one a pair shares decides by its positions (nothing rarer is shared),
-    then fixed-pivot suffix filtering bounds the Hamming distance of the sets.
+    then fixed-pivot suffix filtering bounds the Hamming distance of the sets. Matrices of all pairs hold a byte or a float; all else goes by rows.
     """
     m = len(sets)
     length = np.array([len(s) for s in sets], dtype=np.int64)
@@ -239,13 +285,16 @@ def join_sets(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right:
     position = np.arange(len(r)) - first[owner] + (size - length)[owner]
     inside = (position < prefix_length(size, threshold)[owner]) & (df[np.argsort(rank)][r] > 1)
     tok, own, pos = r[inside], owner[inside], position[inside]
+    del order, r, position, inside
     order = np.lexsort((own, tok))
     tok, own, pos = tok[order], own[order], pos[order]
-    wanted = (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
-    np.fill_diagonal(wanted, False)
-    wanted &= (np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9)  # length filter
-    need = np.ceil(threshold / (1 + threshold) * (size[:, None] + size[None, :]) - 1e-9).astype(np.int32)
-    open_ = wanted.copy()
+    rows = range(0, m, 256)
+    open_ = np.zeros((m, m), dtype=bool)
+    for s in rows:
+        a, b = size[s : s + 256, None], size[None, :]
+        open_[s : s + 256] = (left[s : s + 256, None] & right[None, :] | right[s : s + 256, None] & left[None, :]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)  # length filter
+    np.fill_diagonal(open_, False)
+    need = lambda a, b: np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9)
     maybe = np.zeros((m, m), dtype=bool)
     edge = np.flatnonzero(np.diff(tok)) + 1
     for s, e in zip([0, *edge], [*edge, len(tok)]):
@@ -254,112 +303,148 @@ def join_sets(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right:
             at = np.ix_(g, g)
             new = open_[at]
             if new.any():
-                maybe[at] |= new & (np.minimum(rest[:, None], rest[None, :]) >= need[at])  # positional filter
+                x, y = np.nonzero(new)
+                good = np.minimum(rest[x], rest[y]) >= need(g[x], g[y])  # positional filter
+                maybe[g[x[good]], g[y[good]]] = True
                 open_[at] = False
-    i, j = np.nonzero(np.triu(maybe))
-    if len(i):
-        profile = _suffix_profile(sets)
-        keep = np.zeros(len(i), dtype=bool)
-        for s in range(0, len(i), 1 << 16):
-            x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            apart = np.abs(profile[x] - profile[y]).sum(axis=1)
-            keep[s : s + (1 << 16)] = (length[x] + length[y] - apart) // 2 >= need[x, y]  # suffix filter
-        i, j = i[keep], j[keep]
-    if not len(i):
-        return i, j, i
+    del open_
+    profile = _suffix_profile(sets)
+    pairs = 0
+    for s in rows:
+        i, j = np.nonzero(np.triu(maybe[s : s + 256], s + 1))
+        if len(i):
+            i = i + s
+            apart = np.concatenate([np.abs(profile[i[p : p + (1 << 16)]] - profile[j[p : p + (1 << 16)]]).sum(axis=1) for p in range(0, len(i), 1 << 16)])
+            good = (length[i] + length[j] - apart) // 2 >= need(i, j)  # suffix filter
+            maybe[i[~good], j[~good]] = False
+            pairs += int(good.sum())
+        maybe[s : s + 256] = np.triu(maybe[s : s + 256], s + 1)
+    none = np.zeros(0, dtype=np.int64)
+    if not pairs:
+        return none, none, none
+    used = np.flatnonzero(maybe.any(axis=0) | maybe.any(axis=1))
     shared = df[inverse] > 1
-    used = np.zeros(m, dtype=bool)
-    used[i] = used[j] = True
-    column = np.cumsum(df > 1) - 1
     width = int((df > 1).sum())
-    rows = np.flatnonzero(used)
-    if len(i) * 25e-6 > 2e-10 * len(rows) ** 2 * width + 1e-9 * len(rows) * width:  # many pairs: all overlaps by matrix products
+    total = None
+    if pairs * 25e-6 > 2e-10 * len(used) ** 2 * width + 1e-9 * len(used) * width:  # many pairs: all overlaps by matrix products
         back = np.full(m, -1)
-        back[rows] = np.arange(len(rows))
-        total = np.zeros((len(rows), len(rows)), dtype=np.float32)
-        who, col = back[np.repeat(np.arange(m), length)], column[inverse]
+        back[used] = np.arange(len(used))
+        total = np.zeros((len(used), len(used)), dtype=np.float32)
+        who, col = back[owner], (np.cumsum(df > 1) - 1)[inverse]
         take = shared & (who >= 0)
         who, col = who[take], col[take]
         order = np.argsort(col, kind="stable")
         who, col = who[order], col[order]
-        step = 2048
+        step = 1024
         for s in range(0, width, step):
             a, b = np.searchsorted(col, [s, s + step])
-            dense = np.zeros((len(rows), min(step, width - s)), dtype=np.float32)
+            dense = np.zeros((len(used), min(step, width - s)), dtype=np.float32)
             dense[who[a:b], col[a:b] - s] = 1
-            total += dense @ dense.T
-        overlap = total[back[i], back[j]].astype(np.int64)
-    else:
-        overlap = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], dtype=np.int64)
-    good = overlap >= threshold * (size[i] + size[j] - overlap) - 1e-9
-    return i[good], j[good], overlap[good]
+            for t in range(0, len(used), 1024):
+                total[t : t + 1024] += dense[t : t + 1024] @ dense.T
+    out = []
+    for s in rows:
+        i, j = np.nonzero(maybe[s : s + 256])
+        if not len(i):
+            continue
+        i = i + s
+        if total is not None:
+            overlap = total[back[i], back[j]].astype(np.int64)
+        else:
+            overlap = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], dtype=np.int64)
+        good = overlap >= threshold * (size[i] + size[j] - overlap) - 1e-9
+        out.append((i[good].astype(np.int32), j[good].astype(np.int32), overlap[good].astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
 
 
 def _join_task(threshold: float):
+    """(key, size, number of documents that it is linked to here, least key of those that it is linked to here, directly or through others) of a tile's sets."""
+
     def of(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         order = np.lexsort((table.column("size").to_numpy(), table.column("k").to_numpy()))
-        k, block, size = (table.column(c).to_numpy()[order] for c in ("k", "block", "size"))
+        k, block, size, w = (table.column(c).to_numpy()[order] for c in ("k", "block", "size", "w"))
         packs = table.column("set")
         sets = [np.frombuffer(packs[int(i)].as_py(), dtype=np.uint64) for i in order]
-        i, j, overlap = join_sets(sets, size, block == x, block == y, threshold)
-        jaccard = overlap / np.maximum(size[i] + size[j] - overlap, 1)
-        return pa.table({"a": pa.array(k[i], pa.int64()), "b": pa.array(k[j], pa.int64()), "jaccard": pa.array(jaccard, pa.float64())})
+        i, j, _ = join_sets(sets, size, block == x, block == y, threshold)
+        links = np.bincount(i, weights=w[j], minlength=len(k)) + np.bincount(j, weights=w[i], minlength=len(k))
+        node, root = forest(k[i], k[j])
+        at = np.flatnonzero(links > 0)
+        return pa.table({"k": k[at], "size": size[at], "n": links[at].astype(np.int64), "root": root[np.searchsorted(node, k[at])] if len(at) else k[at]})
 
     return of
 
 
-def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of documents whose sets of word n-grams have a Jaccard similarity of at least threshold.
+def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(doc_id, class_id, n_links): one row for every key of the table.
 
-    Words are runs of anything but ASCII white space, ASCII letters in lower case; doc_a < doc_b. Documents with equal
-    sets are given as a star: each one with the least of them, at similarity 1. That least one stands for all of them in
-    the pairs of unequal sets, which are all there: every other pair follows from these. Exact but for hashes of more than 40 bits.
+    Two documents are linked if their sets of word n-grams have a Jaccard similarity of at least threshold. n_links is the
+    number of documents that a document is linked to, copies included; class_id is the least key among those linked to
+    it, directly or through others, and itself. Words are runs of anything but ASCII white space, ASCII letters in lower
+    case. Exact but for hashes of 40 bits and more. Keys are whole numbers, else a TypeError is raised.
     Defined cases: a text of fewer than n words has its whole word sequence as its one n-gram; null, empty and blank
-    texts have no n-grams and are in no pair; rows with a null key take no part; rows with one key are never
-    paired with each other (those with equally many n-grams are pooled, others looked at separately) and a pair of keys
-    is given once, with its highest similarity; an empty table gives an empty result; other columns don't matter.
+    texts have no n-grams and no links; rows with a null key take no part; equal rows with one key are one document,
+    and rows with one key and different texts are looked at apart (those with equally many n-grams pooled), their links,
+    to each other too, added up; texts of any length are whole; an empty table gives an empty result; other columns
+    don't matter.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
-    shards = max(1, math.ceil(chars / 6 / ENTRIES_PER_SHARD))
-    packs = docs.mapInArrow(_scatter_task(n, shards), PACKED)
-    counted = packs.groupBy("shard").applyInArrow(_count(shards), "shard int, of int, docs int, pack binary")
+    sc = df.sparkSession.sparkContext
+    keyed = df.where(F.col(key).isNotNull()).select(whole_key(df, key).alias("k"), F.col(text).alias("t"))
+    docs = keyed.where(F.col("t").isNotNull())
+    entries = (docs.agg(F.sum(F.length("t"))).first()[0] or 0) / 6
+    shards = max(1, math.ceil(entries / ENTRIES_PER_SHARD))
+    often = sc.broadcast(hot_ngrams(docs, n, entries, hot))
+    packs = docs.mapInArrow(_scatter_task(n, shards, often), PACKED)
+    counted = packs.groupBy("shard").applyInArrow(_count(shards), PACKED)
     held = cut(counted.groupBy("shard").applyInArrow(_order(threshold), "k long, size long, take long, s1 long, s2 long, set binary"))
-    links = held.select("k", "size", "take", "set").mapInArrow(_prefix_task, PACKED).groupBy("shard").applyInArrow(_links(threshold), "a long, b long")
-    comps = connected_components(links)
-
     signed = held.select("k", "size", "s1", "s2")
-    least = signed.groupBy("size", "s1", "s2").agg(F.min("k").alias("rep"))
-    classes = cut(signed.join(comps.withColumnRenamed("node", "k"), "k").join(least, ["size", "s1", "s2"]).distinct())
-    star = classes.where("k <> rep").select(F.col("rep").alias("doc_a"), F.col("k").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    reps = classes.where("k = rep").select("k", "size", "s1", "s2", F.col("component").alias("comp"))
-    count = reps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    least = signed.groupBy("size", "s1", "s2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("w"))
+    copies = signed.join(least.where("w > 1"), ["size", "s1", "s2"]).select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    links = held.select("k", "size", "take", "s1", "s2", "set").mapInArrow(_prefix_task, PACKED).groupBy("shard").applyInArrow(_links(threshold), "a long, b long")
+    comps = connected_components(links.unionByName(copies))
+
+    classes = cut(signed.join(comps.withColumnRenamed("node", "k"), "k").join(least, ["size", "s1", "s2"]))
+    reps = classes.where("k = rep").select("k", "size", "s1", "s2", "w", F.col("component").alias("comp"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
+    count = reps.groupBy("comp").agg(parts.alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     found = held.select("k", "size", "s1", "s2", "set").join(reps.join(count, "comp"), ["k", "size", "s1", "s2"])
     placed = found.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    tiles = placed.select("*", other).select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "size", "set")
-    pairs = tiles.groupBy("comp", "x", "y").applyInArrow(_join_task(threshold), "a long, b long, jaccard double")
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
-    return pairs.unionByName(star).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    tiles = placed.select("*", other).select("comp", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "k", "size", "w", "set")
+    linked = cut(tiles.groupBy("comp", "x", "y").applyInArrow(_join_task(threshold), "k long, size long, n long, root long"))
+
+    star = classes.where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    near = connected_components(star.unionByName(linked.select(F.col("k").alias("a"), F.col("root").alias("b"))))
+    of_reps = linked.groupBy(F.col("k").alias("rep"), "size").agg(F.sum("n").alias("n"))
+    own = classes.join(of_reps, ["rep", "size"], "left").groupBy("k").agg(F.sum(F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n"))
+    out = keyed.select("k").distinct().join(own, "k", "left").join(near.withColumnRenamed("node", "k"), "k", "left")
+    return out.select(F.col("k").alias("doc_id"), F.coalesce("component", "k").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """df without the documents that ngram_join links, directly or through others, to one with a lower key. Rows with a null key stay."""
+    """df with one document, that with the least key, of each of ngram_join's classes.
+
+    Defined cases: rows with a null key stay, and so do null, empty and blank texts, which are linked to none; rows with
+    the least key of a class all stay; an empty table gives an empty table; other columns pass through, whatever their
+    names.
+    """
     name = free_name(df, "lg_gone")
-    gone = connected_components(ngram_join(df, key, text, **options), "doc_a", "doc_b").where("node <> component").select(F.col("node").alias(name))
-    gone = cut(gone)
+    gone = cut(ngram_join(df, key, text, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(name)))
     return df.join(small(gone, 16), F.col(key).cast("long") == F.col(name), "left_anti")
 
 
 ORACLE = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\v\\f\\r]+') AS w FROM documents),
 g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) END)) AS g FROM w WHERE len(w) > 0),
 r AS (SELECT g, min(doc_id) AS rep, list(doc_id) AS members FROM g GROUP BY g),
 e AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM r),
-o AS (SELECT a.rep AS doc_a, b.rep AS doc_b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2)
-SELECT doc_a, doc_b, o / (n + m - o) AS jaccard FROM o WHERE o >= {THRESHOLD} * (n + m - o) - 1e-9
-UNION ALL SELECT rep, m, 1.0 FROM (SELECT rep, unnest(members) AS m FROM r) WHERE rep <> m
+o AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM o WHERE o >= {THRESHOLD} * (n + m - o) - 1e-9),
+reach AS (SELECT rep AS node, rep AS root FROM r UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.node WHERE reach.root < l.b),
+c AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+n AS (SELECT l.a, sum(len(r.members)) AS n FROM l JOIN r ON r.rep = l.b GROUP BY 1),
+m AS (SELECT unnest(r.members) AS doc_id, c.class_id, len(r.members) - 1 + coalesce(n.n, 0) AS n_links FROM r JOIN c ON c.node = r.rep LEFT JOIN n ON n.a = r.rep)
+SELECT d.doc_id, coalesce(m.class_id, d.doc_id) AS class_id, CAST(coalesce(m.n_links, 0) AS BIGINT) AS n_links FROM documents d LEFT JOIN m USING (doc_id)
 """

@@ -60,19 +60,19 @@ def gram_set(text, n=5):
     return frozenset([tuple(w)] if len(w) < n else [tuple(w[i : i + n]) for i in range(len(w) - n + 1)])
 
 
-def similar_pairs(rows, threshold=0.4):
-    """All pairs of keys (a < b) at the threshold, with their similarity."""
-    sets = [(k, gram_set(t)) for k, t in rows if k is not None]
-    sets = [(k, s) for k, s in sets if s]
-    out = {}
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[i + 1 :]:
-            if a != b:
-                j = len(x & y) / len(x | y)
-                if j >= threshold - 1e-12:
-                    pair = (min(a, b), max(a, b))
-                    out[pair] = max(j, out.get(pair, 0))
-    return out
+def classes(rows, threshold=0.4):
+    """{key: (class, number of links)} of all keys: each different text of a key is a node of its own."""
+    nodes = sorted({(k, gram_set(t)) for k, t in rows if k is not None}, key=lambda x: (x[0], sorted(x[1])))
+    pairs, count = set(), Counter({k: 0 for k, _ in nodes})
+    for i, (a, x) in enumerate(nodes):
+        for b, y in nodes[i + 1 :]:
+            if x and y and len(x & y) >= threshold * len(x | y) - 1e-12:
+                count[a] += 1
+                count[b] += 1
+                if a != b:
+                    pairs.add((a, b))
+    group = components(pairs)
+    return {k: (group.get(k, k), n) for k, n in count.items()}
 
 
 def components(pairs):

@@ -27,8 +27,8 @@ def test_stages_and_run(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in once.collect())
 
     apart = stages["ngram_jaccard_join"](spark, once, SMALL).persist()
-    group = plain.components(plain.similar_pairs([(r["doc_id"], r["text"]) for r in once.collect()]))
-    assert set(rows(apart)) == {k for k in want if group.get(k, k) == k}
+    group = plain.classes([(r["doc_id"], r["text"]) for r in once.collect()])
+    assert set(rows(apart)) == {k for k in want if group[k][0] == k}
 
     mixed = stages["mix_sources"](spark, apart, SMALL).persist()
     words = {w for r in apart.collect() for w in plain.words(r["text"])}
