@@ -157,13 +157,15 @@ def fit(samples: dict[str, list[str]]) -> Model:
     for j, language in enumerate(model.languages):
         ce, size_of = [], []
         for t in samples[language][::5]:
-            lines = t.split("\n")
-            for part in (t, *lines[:20]):
-                words = part.split()
-                if words:
-                    s = model.word_scores(_codes(_padded(words)), len(words)).sum(axis=0)
-                    ce.append(s[j] / s[-1])
-                    size_of.append(s[-1])
+            lines = [x for x in map(str.split, t.split("\n")) if x]
+            if not lines:
+                continue
+            words = [w for x in lines for w in x]
+            s = model.word_scores(_codes(_padded(words)), len(words))
+            first = np.cumsum([0] + [len(x) for x in lines[:-1]])
+            for part in (s.sum(axis=0), *np.add.reduceat(s, first, axis=0)):
+                ce.append(part[j] / part[-1])
+                size_of.append(part[-1])
         if len(ce) < 3:
             usual.append((3.0, 1.0, 10.0))
             continue
