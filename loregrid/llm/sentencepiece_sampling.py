@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loregrid.llm.common import _BYTES, free_name, mix, text_slices
+from loregrid.llm.common import _BYTES, free_name, mix, text_slices, whole_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longer runs without a space are cut (between characters) before the lattice is built.
-MAX_RUN = 512
+#: A longer run without a space is cut, before its lattice is built, where no piece crosses: there the lattice falls apart anyway.
+LONG_RUN = 512
 SLICE = 1 << 20
 #: The lattices of so many distinct runs are kept from slice to slice of a task.
 KEPT_RUNS = 120_000
@@ -90,8 +90,28 @@ def _trie(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return table, np.array(end, dtype=np.int32)
 
 
-def runs_of(data: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the runs of a slice (a space begins a run, a line feed is one, MAX_RUN cuts), and each run's text."""
+def crossed(data: np.ndarray, pieces: Pieces, step: int = 1 << 18) -> np.ndarray:
+    """Whether a piece, or a character, that begins before a byte goes on through it."""
+    table, ends = _trie(pieces)
+    n = len(data)
+    change = np.zeros(n + 1, dtype=np.int32)
+    for s in range(0, n, step):
+        at = np.arange(s, min(n, s + step))
+        node, depth = np.zeros(len(at), dtype=np.int32), 0
+        while len(at):
+            node = table[node, data[at + depth]]
+            live = (node >= 0) & (at + depth + 1 < n)
+            depth += 1
+            hit = at[(node >= 0) & (ends[node] >= 0)]
+            if depth > 1:
+                change[hit + 1] += 1
+                change[hit + depth] -= 1
+            at, node = at[live], node[live]
+    return (np.cumsum(change[:n]) > 0) | ((data & 0xC0) == 0x80)
+
+
+def runs_of(data: np.ndarray, offset: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of a slice (a space begins a run, a line feed is one, parts of a long run are some), and each run's text."""
     n = len(data)
     begin = np.zeros(n + 1, dtype=bool)
     begin[:-1] |= (data == 32) | (data == 10)
@@ -99,14 +119,18 @@ def runs_of(data: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin[offset] = True
     start = np.flatnonzero(begin[:-1])
     size = np.diff(np.append(start, n))
-    long = np.flatnonzero(size > MAX_RUN)
     extra = []
-    for i in long.tolist():
+    for i in np.flatnonzero(size > LONG_RUN).tolist():
         a, e = int(start[i]), int(start[i] + size[i])
-        while e - a > MAX_RUN:
-            a += MAX_RUN
-            back = next((x for x in range(4) if (data[a - x] & 0xC0) != 0x80), 0)  # bytes that are no UTF-8 are cut anywhere
-            a -= back
+        free = a + np.flatnonzero(~crossed(data[a:e], pieces))
+        while e - a > LONG_RUN:
+            x = int(np.searchsorted(free, a + LONG_RUN, side="right"))
+            if x and free[x - 1] > a:
+                a = int(free[x - 1])
+            elif x < len(free):
+                a = int(free[x])
+            else:
+                break
             extra.append(a)
     if extra:
         start = np.unique(np.concatenate([start, extra]))
@@ -265,7 +289,7 @@ def encode_slice(data: np.ndarray, offset: np.ndarray, keys: np.ndarray, pieces:
     data, offset = body, new
     if not len(data):
         return np.zeros(0, dtype=np.int32), np.zeros(n, dtype=np.int64)
-    start, doc = runs_of(data, offset)
+    start, doc = runs_of(data, offset, pieces)
     length = np.diff(np.append(start, len(data)))
     values, one, inverse = np.unique(_hashes(data, start), return_index=True, return_inverse=True)
     kept = {} if kept is None else kept
@@ -308,7 +332,7 @@ def decode_ids(ids: np.ndarray, count: np.ndarray, pieces: Pieces) -> tuple[np.n
 def sentencepiece_encode(df: DataFrame, key: str = "doc_id", text: str = "text", model_file: str = MODEL, alpha: float = 1.0, seed: int = 42, keep_text: bool = False) -> DataFrame:
     """df with sampled piece ids instead of its text (beside it with keep_text).
 
-    Adds pieces (array of ids), n_pieces and lossless (whether decoding gave back the text, byte for byte), with
+    Keys are whole numbers, else a TypeError is raised. Adds pieces (array of ids), n_pieces and lossless (whether decoding gave back the text, byte for byte), with
     underscores in front where df has such names. A segmentation is drawn with chance proportional to the product of its
     pieces' weights to the power alpha; it depends on seed, key and text only. Defined cases: a null text has null
     pieces, n_pieces 0 and null lossless; an empty text has no pieces; a null key counts as key 0; rows with one key and text
@@ -343,7 +367,7 @@ def sentencepiece_encode(df: DataFrame, key: str = "doc_id", text: str = "text",
                 columns = [c.slice(a, b - a) for i, c in enumerate(batch.columns[:-1]) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(count), pa.array(same, mask=none)], names=[*(f.name for f in fields), *names])
 
-    return df.withColumn(hidden, F.coalesce(F.col(key).cast("long"), F.lit(0))).mapInArrow(run, schema)
+    return df.withColumn(hidden, F.coalesce(whole_key(df, key), F.lit(0))).mapInArrow(run, schema)
 
 
 def sentencepiece_decode(df: DataFrame, pieces_column: str = "pieces", model_file: str = MODEL, text: str = "text") -> DataFrame:
