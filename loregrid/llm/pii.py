@@ -3,8 +3,9 @@
 Stretches of words that could hold an entity are picked out by character classes over whole texts. In each, every
 segment of at most MAX_ATOMS atoms is a candidate, and so is every whole address or key, however long; features of
 the whole segment (its shape, check digits, what stands before it, whether it breaks off in the middle of something)
-score it for each type, and dynamic programming over segments of the whole stretch chooses boundaries and types
-together. Weights are fitted to generated examples by conditional likelihood.
+score it for each type, and so does the type of the entity before it in the stretch. Dynamic programming over segments
+of the whole stretch chooses boundaries and types together. Weights are fitted to generated examples by conditional
+likelihood.
 """
 
 from __future__ import annotations
@@ -147,53 +148,66 @@ def segments(text: str, before: str) -> tuple[list[tuple[int, int]], list[tuple[
     return next(candidates(text, before, len(text) + 1))
 
 
-def decode(m: int, spans: list[tuple[int, int]], score: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best-scoring segmentation of m atoms: (from, to, type) of its entities. An atom outside scores 0."""
-    best, back = np.zeros(m + 1), [None] * (m + 1)
-    ending: list[list[int]] = [[] for _ in range(m + 1)]
+#: Labels that the last entity may have: none yet, then TYPES.
+LAST = len(TYPES) + 1
+
+
+def decode(m: int, spans: list[tuple[int, int]], score: np.ndarray, follow: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best-scoring segmentation of m atoms: (from, to, type) of its entities. An atom outside scores 0 and keeps the last entity's label; follow scores a label and the type after it."""
+    ending: dict[int, list[int]] = {}
     for x, (_, j) in enumerate(spans):
-        ending[j].append(x)
-    top = score.argmax(axis=1) if len(spans) else []
-    for j in range(1, m + 1):
-        best[j] = best[j - 1]
-        for x in ending[j]:
-            v = best[spans[x][0]] + score[x, top[x]]
-            if v > best[j]:
-                best[j], back[j] = v, x
-    out, j = [], m
-    while j:
-        if back[j] is None:
-            j -= 1
-        else:
-            i = spans[back[j]][0]
-            out.append((i, j, int(top[back[j]])))
-            j = i
+        ending.setdefault(j, []).append(x)
+    starts = {i for i, _ in spans}
+    now = np.full(LAST, -np.inf)
+    now[0] = 0
+    at = np.full(LAST, -1)  # the step that gave each label its score
+    held, steps = {0: (now, at)}, []  # steps: (span, type, step before)
+    kinds = np.arange(len(TYPES))
+    for j in sorted(starts | set(ending) | {m}):
+        for x in ending.get(j, ()):
+            before, way = held[spans[x][0]]
+            v = before[:, None] + follow
+            s = v.argmax(axis=0)
+            v = v[s, kinds] + score[x]
+            better = np.flatnonzero(v > now[1:])
+            if len(better):
+                now, at = now.copy(), at.copy()
+                now[1 + better] = v[better]
+                for t in better.tolist():
+                    at[1 + t] = len(steps)
+                    steps.append((x, t, int(way[s[t]])))
+        if j in starts:
+            held[j] = now, at
+    out, step = [], int(at[now.argmax()])
+    while step >= 0:
+        x, t, step = steps[step]
+        out.append((*spans[x], t))
     return out[::-1]
 
 
-def expectations(m: int, spans: list[tuple[int, int]], score: np.ndarray) -> tuple[float, np.ndarray]:
-    """(log partition, chance of every segment and type) by forward and backward sums."""
-    a, b = np.zeros(m + 1), np.zeros(m + 1)
-    whole = np.logaddexp.reduce(score, axis=1) if len(spans) else np.zeros(0)
+def expectations(m: int, spans: list[tuple[int, int]], score: np.ndarray, follow: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log partition, chance of every segment and type, expected number of every label and type after it) by forward and backward sums."""
+    a, b = np.full((m + 1, LAST), -np.inf), np.zeros((m + 1, LAST))
+    a[0, 0] = 0
     ending: list[list[int]] = [[] for _ in range(m + 1)]
     starting: list[list[int]] = [[] for _ in range(m + 1)]
     for x, (i, j) in enumerate(spans):
         ending[j].append(x)
         starting[i].append(x)
     for j in range(1, m + 1):
-        v = a[j - 1]
+        a[j] = a[j - 1]
         for x in ending[j]:
-            v = np.logaddexp(v, a[spans[x][0]] + whole[x])
-        a[j] = v
+            a[j, 1:] = np.logaddexp(a[j, 1:], np.logaddexp.reduce(a[spans[x][0]][:, None] + follow, axis=0) + score[x])
     for i in range(m - 1, -1, -1):
-        v = b[i + 1]
+        b[i] = b[i + 1]
         for x in starting[i]:
-            v = np.logaddexp(v, b[spans[x][1]] + whole[x])
-        b[i] = v
+            b[i] = np.logaddexp(b[i], np.logaddexp.reduce(follow + score[x] + b[spans[x][1], 1:], axis=1))
+    whole = float(np.logaddexp.reduce(a[m]))
     if not len(spans):
-        return float(a[m]), np.zeros((0, len(TYPES)))
-    outer = np.array([a[i] + b[j] for i, j in spans]) - a[m]
-    return float(a[m]), np.exp(np.minimum(outer[:, None] + score, 0))
+        return whole, np.zeros((0, len(TYPES))), np.zeros_like(follow)
+    ends = np.array(spans)
+    each = np.exp(np.minimum(a[ends[:, 0], :, None] + follow[None] + score[:, None, :] + b[ends[:, 1], None, 1:] - whole, 0))
+    return whole, each.sum(axis=1), each.sum(axis=0)
 
 
 def example(rng: np.random.Generator) -> tuple[str, str, list[tuple[int, int, str]]]:
@@ -234,7 +248,9 @@ def example(rng: np.random.Generator) -> tuple[str, str, list[tuple[int, int, st
         return pick(f"20{d(2)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)}", f"{d(1)}.{d(1)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(4)}", f"{d(3)},{d(3)}", f"{d(5)}.{d(2)}", f"#{d(6)}", f"{d(8)}", f"{d(4)}-{d(4)}", f"{300 + int(d(2))}.{d(3)}.999.{d(3)}", word() + "@" + word(), "v" + d(1) + "." + d(2) + "." + d(2), "ISBN 97" + d(1) + "-" + d(1) + "-" + d(2) + "-" + d(6) + "-" + d(1), word() * 3 + word() * 2, f"1{d(9)}"[:10], f"{d(2)}/{d(2)}/{d(4)}", f"{d(5)} {d(5)}", d(20))
 
     lead = {"SECRET": ("token =", "secret", "api key", ""), "PHONE": ("tel", "call", "", ""), "CARD": ("card", "", ""), "SSN": ("ssn", "social", "ssn:"), "IP": ("ip", "from", "", ""), "IBAN": ("iban", "account", "")}
-    kinds = [pick(*TYPES, None, None, None) for _ in range(pick(1, 1, 1, 2))]
+    kinds = [pick(*TYPES, None, None, None) for _ in range(pick(1, 1, 1, 2, 3))]
+    if rng.random() < 0.4:  # a list of one kind
+        kinds = kinds[:1] * len(kinds)
     before = pick(*lead.get(kinds[0], ("",))) or word() + " " + word()
     text, marks = "", []
     for k in kinds:
@@ -253,41 +269,51 @@ def _prepared(rng: np.random.Generator, n: int) -> list:
         before, text, marks = example(rng)
         atoms, spans, x = segments(text, before)
         where = {(atoms[i][0], atoms[j - 1][1]): r for r, (i, j) in enumerate(spans)}
-        gold = np.zeros((len(spans), len(TYPES)))
+        gold, after = np.zeros((len(spans), len(TYPES))), np.zeros((LAST, len(TYPES)))
         if all((a, b) in where for a, b, _ in marks):
+            last = 0
             for a, b, k in marks:
                 gold[where[a, b], TYPES.index(k)] = 1
-            out.append((len(atoms), spans, x, gold))
+                after[last, TYPES.index(k)] += 1
+                last = 1 + TYPES.index(k)
+            out.append((len(atoms), spans, x, gold, after))
     return out
 
 
 @lru_cache(maxsize=4)
-def fit(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 7) -> np.ndarray:
-    """Weights (types by features) that maximise the conditional likelihood of generated examples, by AdaGrad."""
+def fit(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (types by features, and last label by type) that maximise the conditional likelihood of generated examples, by AdaGrad."""
     data = _prepared(np.random.default_rng(seed), examples)
-    w = np.zeros((len(TYPES), N_FEATURES))
-    w[:, 0] = -2
-    square = np.full_like(w, 0.1)
+    w = [np.zeros((len(TYPES), N_FEATURES)), np.zeros((LAST, len(TYPES)))]
+    w[0][:, 0] = -2
+    square = [np.full_like(x, 0.1) for x in w]
     for _ in range(epochs):
         for s in range(0, len(data), 20):
-            g = -1e-3 * w
-            for m, spans, x, gold in data[s : s + 20]:
+            g = [-1e-3 * w[0], -1e-2 * w[1]]
+            for m, spans, x, gold, after in data[s : s + 20]:
                 if len(spans):
-                    g += (gold - expectations(m, spans, x @ w.T)[1]).T @ x / 20
-            square += g * g
-            w += 0.7 * g / np.sqrt(square)
-    return w
+                    _, segment, pair = expectations(m, spans, x @ w[0].T, w[1])
+                    g[0] += (gold - segment).T @ x / 20
+                    g[1] += (after - pair) / 20
+            for i in range(2):
+                square[i] += g[i] * g[i]
+                w[i] = w[i] + 0.7 * g[i] / np.sqrt(square[i])
+    return w[0], w[1]
 
 
-def find(text: str, before: str, w: np.ndarray) -> list[tuple[int, int, str]]:
+def find(text: str, before: str, weights: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, str]]:
     """Entities of a stretch, as character ranges with types."""
+    w, follow = weights
+    # what an entity can gain by the label before it, and at most by changing what the next one follows
+    most = follow.max(axis=0)
+    least = -float((most - follow.min(axis=0)).max())
     chosen, scores = [], [np.zeros((0, len(TYPES)))]
     for atoms, spans, x in candidates(text, before, STEP):
         score = x @ w.T
-        good = score.max(axis=1, initial=0) > 0  # no best segmentation has others
+        good = (score + most).max(axis=1, initial=-np.inf) > least  # no best segmentation has others
         chosen += [spans[r] for r in np.flatnonzero(good)]
         scores.append(score[good])
-    return [(atoms[i][0], atoms[j - 1][1], TYPES[k]) for i, j, k in decode(len(atoms), chosen, np.concatenate(scores))] if chosen else []
+    return [(atoms[i][0], atoms[j - 1][1], TYPES[k]) for i, j, k in decode(len(atoms), chosen, np.concatenate(scores), follow)] if chosen else []
 
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 digit, 2 at sign, 3 letter or joiner
