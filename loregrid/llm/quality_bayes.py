@@ -127,11 +127,11 @@ def _with(df: DataFrame, text: str, name: str, kind: str, of) -> DataFrame:
 
 
 def train(df: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int) -> Logistic:
-    """Fit on labelled documents. Where a key has several labels, the lowest counts; null keys and labels don't."""
+    """Fit on at most max_rows labelled documents, those whose keys have the lowest hashes. Of a key's several labels the lowest counts, of its several texts the one with the lowest hash; null keys and labels don't."""
     wanted = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("lg_k")).agg(F.min(F.col(label)).cast("double").alias("lg_y"))
     wanted = wanted.orderBy(F.xxhash64("lg_k"), "lg_k").limit(max_rows)
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("lg_k2"), F.col(text).alias("lg_t"))
-    rows = docs.join(F.broadcast(wanted), F.col("lg_k2") == F.col("lg_k")).select("lg_k", "lg_y", "lg_t")
+    rows = docs.join(F.broadcast(wanted), F.col("lg_k2") == F.col("lg_k")).groupBy("lg_k", "lg_y").agg(F.min_by("lg_t", F.xxhash64("lg_t")).alias("lg_t"))
     got = _with(rows, "lg_t", "f", "array<double>", features).select("lg_k", "lg_y", "f").toPandas().sort_values("lg_k", kind="stable")
     x = np.array(got["f"].tolist()).reshape(len(got), len(FEATURES))
     return fit(x, got["lg_y"].to_numpy(dtype=float))
