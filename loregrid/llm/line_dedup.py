@@ -108,8 +108,9 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", drop_empt
     else:  # filters stay where they are: only places and hashes go to them, and the texts meet their suspected places
         places = hashed.select("k", "p", "h", "shard").join(filters, "shard").where(seen).groupBy("k").agg(F.collect_set("p").alias("places"))
         texts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-        parts = texts.join(places, "k").select("k", "places", F.posexplode(F.split("t", "\n", -1)).alias("p", "line"))
-        suspects = parts.where(F.array_contains("places", F.col("p"))).select("k", "p", "line", F.xxhash64("line").alias("h"))
+        picked = F.transform(F.array(F.split("t", "\n", -1)), lambda w: F.transform("places", lambda p: F.struct(p.alias("p"), F.get(w, p).alias("line"))))[0]
+        # of rows with one key, a text may have no such line, or a blank one
+        suspects = texts.join(places, "k").select("k", F.inline(picked)).where(F.col("line").rlike(r"\S")).select("k", "p", "line", F.xxhash64("line").alias("h"))
     # The text itself is the grouping key: a hash collision or a false positive ends as a group of its own.
     first = suspects.groupBy("line").agg(F.min(F.struct("k", "p", "h")).alias("f"))
     marks = suspects.select("k", "p", "h", F.lit(True).alias("s")).unionByName(first.select("f.k", "f.p", "f.h", F.lit(False).alias("s")))
@@ -122,7 +123,9 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", drop_empt
     at = free_name(df, "lg_k")
     joined = df.join(drops.select(F.col("k").alias(at), F.col("drop").alias(d)), F.col(key) == F.col(at), "left").drop(at)
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col(d), F.struct(i.alias("p"), F.xxhash64(x).alias("h"))))
+    # numbers of lines are taken away as a set, in one go, after those of another row with this key are left out
+    gone = lambda w: F.transform(F.filter(d, lambda x: F.xxhash64(F.get(w, x["p"])) == x["h"]), lambda x: x["p"])
+    kept = F.transform(F.array(parts), lambda w: F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), gone(w)), lambda i: F.get(w, i)))[0]
     out = joined.withColumn(total, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts))).withColumn(left, F.when(F.col(d).isNotNull() & F.col(text).isNotNull(), kept))
     out = out.withColumn(lost, F.when(F.col(left).isNull(), 0).otherwise(F.col(total) - F.size(left)))
     out = out.withColumn(text, F.when(F.col(left).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
