@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loregrid.llm.common import BROADCAST_LIMIT, cut, mix
+from loregrid.llm.common import cut, mix, small, whole_key
 
-BLOCK_TOKENS, SHARD_SLOTS = 1024, 256
+BLOCK_TOKENS, SHARD_SLOTS, SHARDS_PER_SUM = 1024, 256, 1 << 12
 #: Texts of a source are spread over buckets of about so many characters, whose tokens are then numbered.
 BUCKET_CHARS = 32 << 20
 _SPACE = " \t\n\v\f\r"
@@ -60,12 +60,13 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     has begins again in another order. A source's last block may be short. Defined cases: null and blank texts hold no
     tokens; a null source is a source of its own, named None in weights; null and repeated keys are texts like others,
     equal rows are all packed; without any tokens, or with no weight on what is there, the result is empty; other
-    columns are not carried.
+    columns are not carried. A text longer than a block goes on in the next one, however long it is. Keys are whole
+    numbers, else a TypeError is raised. The driver holds one row for each source, as it does the weights.
     """
     spark = df.sparkSession
     sk = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     body = F.rtrim(F.col(text), F.lit(_SPACE))
-    docs = df.where(F.col(text).rlike(r"[^ \t\n\x0B\f\r]")).select(sk.alias("sk"), F.col(key).cast("long").alias("k"), body.alias("t"), F.col(lang).alias("lang") if lang in df.columns else F.lit(None).cast("string").alias("lang"))
+    docs = df.where(F.col(text).rlike(r"[^ \t\n\x0B\f\r]")).select(sk.alias("sk"), whole_key(df, key).alias("k"), body.alias("t"), F.col(lang).alias("lang") if lang in df.columns else F.lit(None).cast("string").alias("lang"))
     docs = docs.withColumn("n", F.regexp_count("t", F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long"))
     chars = df.agg(F.sum(F.length(text))).first()[0] or 0
     buckets = 1 << max(4, math.ceil(math.log2(max(1, chars / BUCKET_CHARS))))
@@ -74,8 +75,7 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     totals = cut(docs.groupBy("sk", "bucket").agg(F.sum("n").alias("n")))
     whole = totals.groupBy("sk").agg(F.sum("n").alias("tokens"))
     before = totals.select("sk", "bucket", (F.sum("n").over(Window.partitionBy("sk").orderBy("bucket")) - F.col("n")).alias("base"))
-    if totals.count() * 64 <= BROADCAST_LIMIT:
-        before = F.broadcast(before)
+    before = small(before, 64, totals.count())
 
     # where each text's tokens lie in its source
     run = Window.partitionBy("sk", "bucket").orderBy(order, "k", "t", "lang")
@@ -117,10 +117,16 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     shards = -(-slots // shard_slots) if slots else 0
     drawn = spark.range(shards).select(F.col("id").alias("shard")).mapInPandas(draw, "shard long, sk string, c long")
-    drawn = drawn.withColumn("base", F.sum("c").over(Window.partitionBy("sk").orderBy("shard")) - F.col("c"))
+    # running sums by groups of shards, then within each group, so that no task sorts all shards of a source
+    drawn = drawn.withColumn("part", F.floor(F.col("shard") / SHARDS_PER_SUM))
+    parts = drawn.groupBy("sk", "part").agg(F.sum("c").alias("n"))
+    parts = parts.select("sk", "part", (F.sum("n").over(Window.partitionBy("sk").orderBy("part")) - F.col("n")).alias("start"))
+    parts = small(parts, 64, len(sources) * -(-shards // SHARDS_PER_SUM))
+    drawn = drawn.withColumn("base", F.sum("c").over(Window.partitionBy("sk", "part").orderBy("shard")) - F.col("c"))
+    drawn = drawn.join(parts, ["sk", "part"]).withColumn("base", F.col("base") + F.col("start")).drop("part", "start")
     slot = drawn.select("shard", "sk", F.posexplode(F.sequence(F.col("base"), F.col("base") + F.col("c") - 1)).alias("j", "d"))
     sizes = spark.createDataFrame(list(have.items()) or [("", 1)], "sk string, size long")
-    slot = slot.join(F.broadcast(sizes), "sk").withColumn("epoch", F.floor(F.col("d") / F.col("size")))
+    slot = slot.join(small(sizes, 64, len(have)), "sk").withColumn("epoch", F.floor(F.col("d") / F.col("size")))
     slot = slot.withColumn("block", perm(F.col("d") % F.col("size"), "size", "epoch", F.xxhash64("sk")))
     rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "sk", "d"), "sk", "d"))
     slot = slot.select("sk", "shard", "block", "epoch", (F.col("shard") * shard_slots + rank - 1).alias("doc_id"))
