@@ -5,6 +5,9 @@ the window alone, so that equal windows have equal anchors at equal offsets. Suf
 with one anchor hold no repeat and go no further; of the others, only the words around the anchor are moved. Within a
 bucket the suffixes are sorted deep-shallow: multikey quicksort to SHALLOW words, then blind tries for the groups that
 still agree. Suffixes that agree to the full depth are one repeat, of which the first occurrence stays.
+
+An anchor at more than HOT places has no bucket: its places are first reduced to classes with the same words around
+them, and the windows of these meet by a hash of the whole window, so that no task holds all places of an anchor.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loregrid.llm.common import Words, free_name, text_slices
+from loregrid.llm.common import Words, cut, free_name, mix, small, text_slices, whole_key
 
-LENGTH, SHALLOW = 50, 8
+LENGTH, SHALLOW, HOT = 50, 8, 1 << 12
 
 
 def anchors(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,21 +197,25 @@ def _anchor_task(length: int):
     return run
 
 
-def _segment_task(length: int):
-    """The words around each anchor that occurs more than once."""
+def _segment_task(length: int, hot: bool):
+    """The words around each anchor that occurs more than once: of those with a number below 0, which are the hot ones' -1 - number, or of the others."""
 
     def run(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             tied = batch.column(2)
             for a, b, data, offset in text_slices(batch.column(1)):
+                part = tied.slice(a, b - a)
+                flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                owner = np.repeat(np.arange(b - a), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                mine = (flat < 0) == hot
+                if not mine.any():
+                    continue
+                flat, owner = np.where(hot, -1 - flat[mine], flat[mine]), owner[mine]
                 w = Words(data, offset, lower=False)
                 at, h, lo, hi = anchors(w, length)
                 doc = w.doc[at]
                 place = at - w.first[doc]
-                part = tied.slice(a, b - a)
-                flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                owner = np.repeat(np.arange(b - a), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
                 use = np.flatnonzero(np.isin((doc << np.int64(32)) | place, (owner << np.int64(32)) | flat))
                 if not len(use):
                     continue
@@ -220,6 +227,42 @@ def _segment_task(length: int):
     return run
 
 
+def _windows(length: int):
+    """Every window of each class of equal surroundings: the class, the window's offset from the anchor, 128 bits of its words."""
+
+    def run(batches):
+        for batch in batches:
+            rows, offsets, first, second = [], [], [], []
+            for i, (lead, words) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                w = np.lib.stride_tricks.sliding_window_view(np.frombuffer(words, dtype=np.uint32), length).astype(np.uint64)
+                for out, salt in ((first, 0x9E3779B97F4A7C15), (second, 0xC2B2AE3D27D4EB4F)):
+                    out.append(mix((mix(w + np.uint64(salt)) * (np.arange(length, dtype=np.uint64) * np.uint64(2) + np.uint64(salt | 1))).sum(axis=1, dtype=np.uint64)))
+                rows.append(np.full(len(w), i))
+                offsets.append(lead - np.arange(len(w)))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(take) for c in batch.columns), pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64))],
+                    names=["h", "lead", "words", "k0", "p0", "o", "w1", "w2"])
+
+    return run
+
+
+def hot_repeats(places: DataFrame, length: int) -> DataFrame:
+    """(k, s, e) as repeats() gives them, of places (h, k, p, lead, words) of anchors that are too many for a bucket."""
+    surroundings = ["h", "lead", "words"]
+    classes = cut(places.groupBy(*surroundings).agg(F.min(F.struct("k", "p")).alias("f")).select(*surroundings, F.col("f.k").alias("k0"), F.col("f.p").alias("p0")))
+    windows = classes.mapInArrow(_windows(length), "h long, lead int, words binary, k0 long, p0 int, o int, w1 long, w2 long")
+    same = ["h", "o", "w1", "w2"]
+    first = windows.groupBy(*same).agg(F.min(F.struct("k0", "p0")).alias("f"))
+    best = windows.join(first, same).groupBy(*surroundings).agg(F.collect_list(F.struct("o", "f")).alias("b"))
+    best = small(best, 2048, classes.count())  # else the join of the places with their classes is left to the optimiser, which splits a hot one
+    bad = F.filter("b", lambda x: (x["f"]["k0"] != F.col("k")) | (F.col("p") - x["f"]["p0"] >= length))
+    run = lambda s, e: F.struct((F.col("p") - s).alias("s"), (F.col("p") - e + length).alias("e"))
+    runs = F.when(F.size("bad") == F.size("b"), F.array(run(F.array_max("b.o"), F.array_min("b.o")))).otherwise(F.transform("bad", lambda x: run(x["o"], x["o"])))
+    return places.join(best, surroundings).withColumn("bad", bad).where(F.size("bad") > 0).select("k", F.inline(runs))
+
+
 def _repeat_task(length: int):
     """Over rows in order of h, bucket by bucket."""
 
@@ -275,25 +318,35 @@ def cut_words(data: np.ndarray, offset: np.ndarray, starts: list, ends: list) ->
     return texts, gone
 
 
-def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """df's texts without sequences of at least `length` words that occur earlier in the table.
 
-    Words are runs of anything but ASCII white space and are compared exactly. A window of `length` words goes if the
+    Words are runs of anything but ASCII white space and are compared by 32 bits of their hashes each, so a window of 50
+    by 1600 (of 128 bits again where an anchor is at more than `hot` places). A window of `length` words goes if the
     first equal window, by (key, word number), is in another row or does not overlap it; the union of such windows is
     removed, each word with the white space after it. n_repeated (words removed) is added, with underscores in front
     where df has such a name. All rows come back. Defined cases: a null text stays null, and a text with fewer than
     `length` words stays as it is (n_repeated 0); a row with a null key takes no part and stays as it is; rows with one
     key count as one place, so that equal rows with one key stay alike; an empty table gives an empty table; other
-    columns pass through.
+    columns pass through; texts of any length are whole. Keys are whole numbers, else a TypeError is raised.
     """
     gone = free_name(df, "n_repeated")
     keyed = df.where(F.col(key).isNotNull())
-    docs = keyed.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
+    docs = keyed.select(whole_key(df, key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
     found = docs.mapInArrow(_anchor_task(length), "h long, k long, p int")
-    several = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    tied = found.join(several.hint("shuffle_hash"), "h", "left_semi").groupBy("k").agg(F.collect_set("p").alias("tied"))
-    around = docs.join(tied, "k").mapInArrow(_segment_task(length), "h long, k long, p int, lead int, words binary")
+    several = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if several.where(F.col("c") > hot).isEmpty():
+        place, crowded = F.col("p"), None
+        tied = found.join(several.select("h").hint("shuffle_hash"), "h", "left_semi")
+    else:
+        place, crowded = F.when(F.col("c") > hot, -1 - F.col("p")).otherwise(F.col("p")), F.exists("tied", lambda p: p < 0)
+        tied = found.join(several.hint("shuffle_hash"), "h")
+    tied = tied.groupBy("k").agg(F.collect_set(place).alias("tied"))
+    segments = "h long, k long, p int, lead int, words binary"
+    around = docs.join(tied, "k").mapInArrow(_segment_task(length, False), segments)
     runs = around.repartition("h").sortWithinPartitions("h").mapInArrow(_repeat_task(length), "k long, s int, e int")
+    if crowded is not None:
+        runs = runs.unionByName(hot_repeats(cut(docs.join(tied.where(crowded), "k").mapInArrow(_segment_task(length, True), segments)), length))
     own = [free_name(df, x) for x in ("lg_k", "lg_s", "lg_e")]
     lists = runs.groupBy("k").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e")).toDF(*own)
     joined = keyed.join(lists, F.col(key).cast("long") == F.col(own[0]), "left").drop(own[0])
