@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from loregrid.llm import ann, language_id, line_dedup, mixing, ngram_join, pii, quality_bayes, quality_rules, sentencepiece_sampling, suffix_dedup
 from loregrid.llm.common import documents
 
@@ -53,13 +52,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": corpus_pipeline.run,
-} | {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_ngram_jaccard_join, op4_nearest_neighbours, op5_mix_sources, op6_pii, op7_quality_classifier, op8_suffix_array_dedup, op9_language_id, op10_quality_rules)}
+    f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_ngram_jaccard_join, op4_nearest_neighbours, op5_mix_sources, op6_pii, op7_quality_classifier, op8_suffix_array_dedup, op9_language_id, op10_quality_rules)
+}
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE.format(docs="documents", n_chars="d.n_chars"),
     "op3_ngram_jaccard_join": ngram_join.ORACLE,
     "op8_suffix_array_dedup": suffix_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

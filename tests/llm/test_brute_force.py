@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from llm import plain
 from pyspark.sql import functions as F
 
-from loregrid.llm import ann, language_id, line_dedup, mixing, pii, quality_bayes, queries, suffix_dedup
+from loregrid.llm import ann, components, language_id, line_dedup, mixing, pii, quality_bayes, queries, suffix_dedup
 from loregrid.llm import sentencepiece_sampling as sp
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,6 +103,45 @@ def test_pieces_decode_with_the_library_too(spark, docs):
     assert sum(other[r["doc_id"]] != r["pieces"] for r in out) > 0.8 * len(out)
 
 
+@pytest.mark.parametrize("text", ["a" * 3000, "abc" * 1500, "日本語のテキスト" * 300, "0x" + "9f3Ab_" * 700, "é" * 2000 + "the" * 500, "\x00\x01" * 900])
+def test_long_runs_fall_apart_where_no_piece_crosses(text):
+    """Cutting a long run changes no chance: the whole run's forward sums give the edges of its parts the same weights."""
+    pieces = sp.load()
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    start, _ = sp.runs_of(data, np.array([0, len(data)]), pieces)
+    first = np.append(start, len(data))
+    whole, parts = sp.lattice(data, np.array([0, len(data)]), pieces, 1.0), sp.lattice(data, first, pieces, 1.0)
+    node = np.arange(len(data)) + np.repeat(np.arange(len(start)), np.diff(first))  # of a byte, in the parts
+
+    def edges(lat, place):
+        at = {int(x): i for i, x in enumerate(place)}
+        out = {}
+        for t in range(len(lat.first) - 1):
+            before = 0.0
+            for e in range(lat.first[t], lat.first[t + 1]):
+                chance = min(1.0, float(lat.chance[e]))
+                out[at[int(lat.source[e])], int(lat.piece[e])] = chance - before
+                before = chance
+        return out
+
+    one, two = edges(whole, np.arange(len(data))), edges(parts, node)
+    assert set(one) == set(two) and all(abs(one[x] - two[x]) < 1e-4 for x in one)
+    ids, count = sp.encode_slice(data, np.array([0, len(data)]), np.array([1]), pieces, 1.0, 42)
+    assert sp.decode_ids(ids, count, pieces)[0].tobytes() == text.encode()
+
+
+# --- components
+
+
+@pytest.mark.parametrize("limit", [1 << 18, 20, 0])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "EDGES_IN_A_TASK", limit)
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, x) for x in range(1900, 1950)] + [(5, None), (None, 5), (7, 7)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == plain.components([(a, b) for a, b in edges if a is not None and b is not None and a != b])
+
+
 # --- neighbours
 
 
@@ -264,26 +303,43 @@ def test_pii_on_held_out_examples():
 
 
 def test_segments_equal_all_segmentations():
-    """The dynamic programme against every way to choose segments that don't overlap."""
+    """The dynamic programme, and the sums, against every way to choose segments that don't overlap and their types."""
     rng = random.Random(3)
-    for _ in range(50):
-        m = rng.randrange(1, 7)
-        spans = [(i, j) for i in range(m) for j in range(i + 1, m + 1) if rng.random() < 0.5]
-        score = np.array([[rng.uniform(-2, 2) for _ in pii.TYPES] for _ in spans]).reshape(len(spans), len(pii.TYPES))
-
-        def every(at):
+    kinds = range(len(pii.TYPES))
+    for _ in range(60):
+        m = rng.randrange(1, 5)
+        spans = [(i, j) for i in range(m) for j in range(i + 1, m + 1) if rng.random() < 0.5][:5]
+        score = np.array([[rng.uniform(-2, 2) for _ in kinds] for _ in spans]).reshape(len(spans), len(pii.TYPES))
+        follow = np.array([[rng.uniform(-2, 2) for _ in kinds] for _ in range(pii.LAST)])
+
+        def every(at, last):
             yield 0.0, ()
             for x, (i, j) in enumerate(spans):
                 if i >= at:
-                    for rest, chosen in every(j):
-                        yield score[x].max() + rest, ((i, j, int(score[x].argmax())), *chosen)
-
-        best = max(every(0), key=lambda t: t[0])
-        got = pii.decode(m, spans, score)
-        assert abs(sum(score[spans.index((i, j))][t] for i, j, t in got) - best[0]) < 1e-9
-        partition = math.log(sum(math.exp(sum(score[spans.index((i, j))][t] for (i, j), t in zip(c, ts))) for _, segs in every(0) for c in [[s[:2] for s in segs]] for ts in __import__("itertools").product(range(len(pii.TYPES)), repeat=len(c)))) if m < 4 else None
-        if partition is not None:
-            assert abs(pii.expectations(m, spans, score)[0] - partition) < 1e-6
+                    for t in kinds:
+                        for rest, chosen in every(j, 1 + t):
+                            yield score[x, t] + follow[last, t] + rest, ((x, last, t), *chosen)
+
+        ways = list(every(0, 0))
+        want = max(ways, key=lambda t: t[0])
+        got = pii.decode(m, spans, score, follow)
+        assert got == [(*spans[x], t) for x, _, t in want[1]]
+        whole = sum(math.exp(v) for v, _ in ways)
+        log_whole, segment, pair = pii.expectations(m, spans, score, follow)
+        assert abs(log_whole - math.log(whole)) < 1e-9
+        one, two = np.zeros_like(segment), np.zeros_like(pair)
+        for v, chosen in ways:
+            for x, last, t in chosen:
+                one[x, t] += math.exp(v) / whole
+                two[last, t] += math.exp(v) / whole
+        assert np.allclose(segment, one) and np.allclose(pair, two)
+
+
+def test_pii_at_every_offset_of_a_run_of_words(spark):
+    entities = ("+33 1 22 33 44 55", "[PHONE]"), ("+44 20 7946 0958", "[PHONE]"), ("jo.doe@mail.example.com", "[EMAIL]")
+    rows = [(n * 10 + e, " ".join(f"a{i}" for i in range(n)) + f" {x} " + " ".join(f"b{i}" for i in range(100 - n)), " ".join(f"a{i}" for i in range(n)) + f" {y} " + " ".join(f"b{i}" for i in range(100 - n))) for n in range(1, 100) for e, (x, y) in enumerate(entities)]
+    out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, want string"))
+    assert out.where("text <> want").select("doc_id", "text").take(3) == []
 
 
 @pytest.mark.parametrize(("text", "want"), [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from llm import plain
 from pyspark.sql import functions as F
@@ -60,6 +62,20 @@ def test_quality_rules(rows):
     assert quality_rules.quality_rules(rows.where("doc_id = 1")).count() == 2
 
 
+@pytest.mark.parametrize(
+    ("line", "rule"),
+    [
+        ("The design in question was finished in the catalog in spring.", ""), ("We sat down to sign up, one after the other, for all of the long course.", ""), ("The cookie was sweet.", ""),
+        ("Sign in", "boilerplate"), ("Sign up | Log in | Help", "navigation"), ("© 2021 Copyright Acme.", "boilerplate"), ("Read our Privacy Policy before you go on to any other page of ours.", "boilerplate"),
+        ("Tous droits réservés.", "boilerplate"), ("Conditions d’utilisation du site.", "boilerplate"), ("Alle Rechte vorbehalten.", "boilerplate"), ("Zum Impressum.", "boilerplate"), ("Todos los derechos reservados.", "boilerplate"), ("Política de privacidad.", "boilerplate"),
+        ("今天天气很好。", ""), ("A公司今天发布了新的产品和服务内容！", ""), ("今天天气很好", "punctuation"), ("BUY IT ALL NOW!", "shouting"), ("КУПИ ВСЁ СЕЙЧАС!", "shouting"), ("No end to it", "punctuation"),
+    ],
+)
+def test_quality_rules_of_a_line(spark, line, rule):
+    df = spark.createDataFrame([(line,)], "line string").select("line", F.lower("line").alias("low"), F.filter(F.split("line", " "), lambda w: w != "").alias("words"))
+    assert df.select(quality_rules.line_fails(F.col("line"), F.col("low"), F.col("words"))).first()[0] == rule
+
+
 def test_quality_classifier(rows, labels):
     out = quality_bayes.quality_classifier(rows, labels, keep_all=True)
     unharmed(rows, out)
@@ -71,12 +87,15 @@ def test_quality_classifier(rows, labels):
     assert {r["doc_id"] for r in none.collect()} == {1, 5, 6, 7, 8, 9, -3, None}
 
 
+def classes_of(df):
+    out = df.collect()
+    assert len({r["doc_id"] for r in out}) == len(out)
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in out}
+
+
 def test_ngram_join(rows):
-    out = ngram_join.ngram_join(rows)
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in out.collect()}
-    want = plain.similar_pairs([(r["doc_id"], r["text"]) for r in rows.collect()])
-    assert plain.components(got) == plain.components(want)
-    assert all(abs(want[p] - j) < 1e-9 for p, j in got.items())
+    want = plain.classes([(r["doc_id"], r["text"]) for r in rows.collect()])
+    assert classes_of(ngram_join.ngram_join(rows)) == want
     kept = ngram_join.keep_one(rows)
     unharmed(rows, kept)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in rows.collect() if r["doc_id"] != 6)
@@ -84,6 +103,29 @@ def test_ngram_join(rows):
         ngram_join.ngram_join(rows, threshold=0)
 
 
+@pytest.mark.parametrize(("hot", "block", "bytes_"), [(1 << 17, 2048, 64 << 20), (8, 4, 64 << 20), (2, 2048, 2000)])
+def test_ngram_join_with_one_footer_in_every_text(spark, monkeypatch, hot, block, bytes_):
+    """A third of the rows are one text, another third its near copies, and all end alike; hot n-grams, small blocks and small shards change nothing."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", bytes_)
+    monkeypatch.setattr(ngram_join, "ENTRIES_PER_SHARD", 256)
+    monkeypatch.setattr(ngram_join, "FLUSH", 512)
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") + rng.choice("uvwxyz")
+    body = [word() for _ in range(40)]
+    footer = "all of this may be read and copied by everybody who asks"
+
+    def text(i):
+        own = body if i % 3 < 2 else [word() for _ in range(40)]
+        if i % 3 == 1:
+            own = [word() if rng.random() < 0.06 else w for w in own]
+        return " ".join(own) + " " + footer
+
+    table = [(i, text(i)) for i in range(120)] + [(500, None), (501, " "), (502, footer), (503, footer.upper()), (3, text(2) + " with two more words")]
+    got = classes_of(ngram_join.ngram_join(spark.createDataFrame(table, "doc_id long, text string"), block=block, hot=hot))
+    assert got == plain.classes(table)
+    assert sum(n > 30 for _, n in got.values()) > 50
+
+
 def test_mixing(rows):
     out = mixing.mix_sources(rows, block_tokens=100, shard_slots=16)
     got = out.collect()
@@ -111,6 +153,21 @@ def test_suffix_dedup(rows):
     assert got[6]["text"] == "" and got[6]["_n_repeated"] == 17
 
 
+def test_suffix_dedup_with_one_footer_in_every_text(spark):
+    """Whether or not the anchors of a passage are too many for a bucket, the same words go."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst")
+    footer, other = [word() for _ in range(12)], [word() for _ in range(9)]
+
+    def text(i):
+        parts = [[word() for _ in range(rng.randrange(3, 9))], footer if i % 3 else other + footer[:7], [word() for _ in range(2)], *([other, other] if i % 5 == 0 else [])]
+        return " ".join(w for p in parts for w in p)
+
+    df = spark.createDataFrame([(i, text(i)) for i in range(60)], "doc_id long, text string")
+    want, got = ({r["doc_id"]: (r["text"], r["n_repeated"]) for r in suffix_dedup.suffix_dedup(df, length=6, hot=h).collect()} for h in (1000, 3))
+    assert got == want and sum(n > 5 for _, n in got.values()) > 40
+
+
 def test_pii(rows):
     out = pii.find_pii(rows)
     unharmed(rows, out)
@@ -140,6 +197,12 @@ def test_nearest_neighbours(spark):
     assert ann.nearest_neighbours(df.where("vec_id = 1")).count() == 0
 
 
+@pytest.mark.parametrize("f", [ngram_join.ngram_join, ngram_join.keep_one, mixing.mix_sources, sentencepiece_sampling.sentencepiece_encode, suffix_dedup.suffix_dedup])
+def test_keys_that_are_no_numbers(rows, f):
+    with pytest.raises(TypeError, match="whole number"):
+        f(rows.withColumn("doc_id", F.lit("a")))
+
+
 def test_empty_tables(spark, labels):
     none = plain.awkward(spark).limit(0)
     for f in (line_dedup.line_dedup, quality_rules.quality_rules, ngram_join.ngram_join, ngram_join.keep_one, mixing.mix_sources, sentencepiece_sampling.sentencepiece_encode, suffix_dedup.suffix_dedup, pii.find_pii, language_id.language_id):
@@ -151,7 +214,7 @@ def test_empty_tables(spark, labels):
 @pytest.mark.parametrize("number", range(5))
 def test_stages(spark, labels, rows, tmp_path, number, some):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
-    docs = plain.awkward(spark, clash=False)
+    docs = plain.awkward(spark)
     docs = docs if some else docs.limit(0)
     name, stage = corpus_pipeline.STAGES[number]
     out = stage(spark, docs, str(tmp_path))
