@@ -9,6 +9,7 @@ from loregrid import models
 from loregrid.functions import text as X
 from loregrid.operators import canon, changes, facts, graph, overview, search
 from loregrid.operators.chunking import chunk_documents, token_batches
+from loregrid.plans import rule_queries, text_queries  # noqa: F401  (they register their own)
 from loregrid.plans.catalogue import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -332,14 +333,22 @@ def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.consistency(_part_facts(spark, sf_dir), _part_facts(spark, sf_dir))
 
 
-@query("facts_greedy")
+@query("facts_greedy", """
+WITH RECURSIVE f AS (SELECT p_partkey AS n, p_type AS t, p_name || ' ' || p_brand AS s, p_retailprice AS v FROM part),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t, s, v ORDER BY n) AS r FROM f) WHERE r = 1),
+e AS (SELECT b.n, list(a.n) AS early FROM u a JOIN u b ON a.t = b.t AND a.n < b.n AND (contains(a.s, b.s) OR contains(b.s, a.s)) GROUP BY b.n),
+o AS (SELECT u.n, coalesce(early, []) AS early, row_number() OVER (ORDER BY u.n) AS i FROM u LEFT JOIN e ON e.n = u.n),
+g(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.i, CASE WHEN list_has_any(g.kept, o.early) THEN g.kept ELSE list_append(g.kept, o.n) END FROM g JOIN o ON o.i = g.i + 1)
+SELECT n AS ordinal, t AS type, s AS subject, CAST(v AS VARCHAR) AS value FROM u WHERE n IN (SELECT unnest(kept) FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1))""")
 def facts_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that stay when names that hold each other, of one type, count as one statement."""
     f = table(spark, sf_dir, "part").select(F.col("p_type").alias("type"), F.concat_ws(" ", "p_name", F.col("p_brand")).alias("subject"), F.lit("costs").alias("predicate"), F.col("p_retailprice").cast("string").alias("value"), F.lit(1.0).alias("confidence"), F.lit("part").alias("source"), F.col("p_partkey").alias("ordinal"))
     return facts.semantic_dedup(f, dedup="subject_predicate").select("ordinal", "type", "subject", "value")
 
 
-@query("facts_extract")
+@query("facts_extract", """
+SELECT p_partkey::VARCHAR AS source, 'part' AS module, 'constraint' AS type, p_name AS subject, '上限为' AS predicate, p_size::VARCHAR AS value, 1.0::DOUBLE AS confidence, 1::BIGINT AS ordinal FROM part
+UNION ALL SELECT p_partkey::VARCHAR, 'part', 'enum', p_brand, '分为', p_type, CASE WHEN regexp_matches(p_type, '\\d') THEN 1.0 ELSE 0.9 END, 2 FROM part""")
 def facts_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that parts state in a line each."""
     p = table(spark, sf_dir, "part")
@@ -393,7 +402,10 @@ def canon_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("id", "subject", "predicate", "value", "status", "conflict_with")
 
 
-@query("canon_export")
+@query("canon_export", """
+WITH r AS (SELECT p_partkey + 1 AS o, 'canon_' || lpad((p_partkey + 1)::VARCHAR, greatest(4, length((p_partkey + 1)::VARCHAR))::INTEGER, '0') AS id, p_brand AS module, p_type AS type, p_name AS subject, p_retailprice::VARCHAR AS value FROM part),
+l AS (SELECT DISTINCT module, '' AS type, 0 AS kind, 0 AS o, '## ' || module AS line FROM r UNION ALL SELECT DISTINCT module, type, 1, 0, '### ' || type FROM r UNION ALL SELECT module, type, 2, o, '- **' || subject || '** costs ' || value || ' (' || id || ', normal)' FROM r)
+SELECT '1' || module AS part, CAST(row_number() OVER (PARTITION BY module ORDER BY type, kind, o) - 1 AS INTEGER) AS line_no, line FROM l""")
 def canon_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(canon.rule_id(F.col("p_partkey") + 1).alias("id"), F.col("p_brand").alias("module"), F.col("p_type").alias("type"), F.col("p_name").alias("subject"), F.lit("costs").alias("predicate"), F.col("p_retailprice").cast("string").alias("value"), F.lit("active").alias("status"), F.lit("normal").alias("priority"))
     return canon.export_lines(p)
