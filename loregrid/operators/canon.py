@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregrid.functions import text as X
-from loregrid.operators.graph import canonical, components, contains_join, cut
+from loregrid.operators.graph import canonical, components, contains_join, cut, fits, numbered
 
 HISTORY = "array<struct<old_value:string,new_value:string,changed_at:timestamp,reason:string>>"
 RULE = (
@@ -43,30 +43,23 @@ def last_number(rules: DataFrame) -> DataFrame:
     return rules.agg(F.coalesce(F.max(ordinal(F.col("id"))), F.lit(0)).cast("long").alias("last"))
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """df with 1, 2, ... by order, without moving all rows to one task: range-partitioned, counted, offset."""
-    parts = cut(df.orderBy(*order).withColumn("lg_part", F.spark_partition_id()).withColumn("lg_row", F.monotonically_increasing_id()))
-    sizes = parts.groupBy("lg_part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("lg_part", (F.sum("n").over(Window.orderBy("lg_part")) - F.col("n")).alias("lg_before"))
-    within = F.row_number().over(Window.partitionBy("lg_part").orderBy("lg_row"))
-    return parts.withColumn(name, within).join(F.broadcast(before), "lg_part").withColumn(name, (F.col(name) + F.col("lg_before")).cast("long")).drop("lg_part", "lg_row", "lg_before")
-
-
 def suppressed(facts: DataFrame, patterns: DataFrame) -> DataFrame:
     """Facts that a pattern (subject, predicate) holds back: its subject, not empty, stands in theirs, and its predicate is empty or in theirs."""
-    return facts.join(F.broadcast(_patterns(patterns)), _held(), "left_semi")
+    return _by_patterns(facts, patterns, "left_semi")
 
 
 def unsuppressed(facts: DataFrame, patterns: DataFrame) -> DataFrame:
-    return facts.join(F.broadcast(_patterns(patterns)), _held(), "left_anti")
-
+    return _by_patterns(facts, patterns, "left_anti")
 
-def _patterns(patterns: DataFrame) -> DataFrame:
-    return patterns.where(X.text(F.col("subject")) != "").select(F.col("subject").alias("p_subject"), X.text(F.col("predicate")).alias("p_predicate")).distinct()
 
-
-def _held() -> Column:
-    return X.text(F.col("subject")).contains(F.col("p_subject")) & ((F.col("p_predicate") == "") | X.text(F.col("predicate")).contains(F.col("p_predicate")))
+def _by_patterns(facts: DataFrame, patterns: DataFrame, how: str) -> DataFrame:
+    p = patterns.where(X.text(F.col("subject")) != "").select(F.col("subject").alias("p_subject"), X.text(F.col("predicate")).alias("p_predicate")).distinct()
+    by_predicate = (F.col("p_predicate") == "") | X.text(F.col("predicate")).contains(F.col("p_predicate"))
+    if fits(p):
+        return facts.join(F.broadcast(p), X.text(F.col("subject")).contains(F.col("p_subject")) & by_predicate, how)
+    subjects = facts.select(X.text(F.col("subject")).alias("lg_subject")).distinct()
+    met = contains_join(subjects, p, "lg_subject", "p_subject", False)
+    return facts.join(met, (X.text(F.col("subject")) == F.col("lg_subject")) & by_predicate, how)
 
 
 def similar(old_subject: str, old_predicate: str, subject: str, predicate) -> bool:
@@ -96,15 +89,33 @@ def fold(rows: list[dict]) -> Iterator[dict]:
     other value makes the rule a conflict and the fact a pending rule that names it.
     """
     known: list[dict] = []
+    of_subject: dict[str, list[int]] = {}  # numbers in known
+    nested: dict[str, list[str]] = {}  # a subject's nested ones among those of known
+
+    def alike(r: dict) -> dict | None:
+        if r["subject"] not in nested:
+            nested[r["subject"]] = [s for s in of_subject if s in r["subject"] or r["subject"] in s]
+        near = sorted(i for s in nested[r["subject"]] for i in of_subject[s])
+        return next((known[i] for i in near if similar(known[i]["subject"], known[i]["predicate"], r["subject"], r["predicate"])), None)
+
+    def add(k: dict) -> None:
+        if k["subject"] not in of_subject:
+            of_subject[k["subject"]] = []
+            for s, found in nested.items():
+                if s in k["subject"] or k["subject"] in s:
+                    found.append(k["subject"])
+        of_subject[k["subject"]].append(len(known))
+        known.append(k)
+
     for r in sorted(rows, key=lambda r: (r["kind"], r["o"])):
         if r["kind"] == 0:
-            known.append(dict(r, born=None, touched=False))
+            add(dict(r, born=None, touched=False))
             continue
-        like = next((k for k in known if similar(k["subject"], k["predicate"], r["subject"], r["predicate"])), None)
+        like = alike(r)
         outcome, made = "skipped", None
         if like is None:
             outcome, made = "added", dict(r, key=None, born=r["o"], status="active", touched=False)
-            known.append(made)
+            add(made)
         elif like["value"] != r["value"]:
             if _mergeable(like["value"], r["value"]):
                 if len(r["value"]) > len(like["value"]):
@@ -119,11 +130,11 @@ def fold(rows: list[dict]) -> Iterator[dict]:
         yield dict(k, outcome="rule", conflict_key=None, conflict_born=None)
 
 
-def merge(rules: DataFrame, facts: DataFrame, suppressions: DataFrame | None = None, aliases: DataFrame | None = None, now: Name = None, small=False) -> tuple[DataFrame, DataFrame]:
+def merge(rules: DataFrame, facts: DataFrame, suppressions: DataFrame | None = None, aliases: DataFrame | None = None, now: Name = None, small: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(the rules after merging, report rows: ordinal, outcome) of facts in order of their ordinal (unique, with priority).
 
-    Facts meet rules only if one subject holds the other, so clusters of nested subjects are folded apart from each
-    other; ids of new rules go by the order of the facts that made them. Outcomes: added, skipped, conflict, suppressed.
+    Facts meet rules only if one subject holds the other and their predicates are equal or synonymous, so clusters of
+    nested subjects, and in them the predicates that have no synonyms, are folded apart from each other; ids of new rules go by the order of the facts that made them. Outcomes: added, skipped, conflict, suppressed.
     Facts without a subject are left out.
     """
     stamp = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
@@ -139,7 +150,8 @@ def merge(rules: DataFrame, facts: DataFrame, suppressions: DataFrame | None = N
     subjects = rows.select("subject").distinct()
     nested = contains_join(subjects.select(F.col("subject").alias("a")), subjects.select(F.col("subject").alias("b")), "a", "b", small).where("a <> b")
     cluster = components(nested)
-    placed = rows.join(cluster.withColumnRenamed("node", "subject"), "subject", "left").withColumn("cluster", F.coalesce("component", "subject")).drop("component")
+    kind = F.when(X.has_any(X.rule_predicate(F.col("predicate")), " ".join(w for pair in X.pairs(X.SYNONYMS) for w in pair)), "").otherwise(F.concat(F.lit("="), X.rule_predicate(F.col("predicate"))))
+    placed = rows.join(cluster.withColumnRenamed("node", "subject"), "subject", "left").withColumn("cluster", F.coalesce("component", "subject")).withColumn("class", kind).drop("component")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         names = [x.split()[0] for x in FOLDED.split(", ")]
@@ -147,7 +159,7 @@ def merge(rules: DataFrame, facts: DataFrame, suppressions: DataFrame | None = N
         out = pd.DataFrame(list(fold(clean.to_dict("records"))), columns=names)
         return out.astype({"born": "Int64", "conflict_born": "Int64"})
 
-    folded = cut(placed.groupBy("cluster").applyInPandas(run, FOLDED))
+    folded = cut(placed.groupBy("cluster", "class").applyInPandas(run, FOLDED))
     born = numbered(folded.where("outcome IN ('rule', 'conflict') AND born IS NOT NULL"), ["born"], "n").crossJoin(F.broadcast(last_number(rules))).withColumn("id", rule_id(F.col("n") + F.col("last")))
     born = cut(born)
     names = born.select(F.col("born").alias("b2"), F.col("id").alias("conflict_id"))
@@ -206,6 +218,24 @@ def conflict_pairs(rules: DataFrame, top_k: int = 50) -> DataFrame:
     return pairs.withColumn("category", category).withColumn("rank", rank).orderBy("rank", "new_id")
 
 
+def with_context(pairs: DataFrame, chunks: DataFrame, most: int = 200) -> DataFrame:
+    """conflict_pairs with old_context and new_context: the first passage of a rule's source that holds its subject or value, cut to `most` characters; else how the source begins.
+
+    Rules without a source of their own (none, unknown, manual_sync) are looked for in all sources. pairs is as short as conflict_pairs makes it.
+    """
+    sides = [pairs.select("new_id", F.lit(side).alias("side"), *(X.text(F.col(f"{side}_{c}")).alias(f"s_{c}") for c in ("source", "subject", "value"))) for side in ("old", "new")]
+    asked = F.broadcast(sides[0].unionByName(sides[1]))
+    met = chunks.select("source", "chunk_index", "text").join(asked, (F.col("source") == F.col("s_source")) | F.col("s_source").isin("", "unknown", "manual_sync"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.contains(F.col("s_subject")) & (F.col("s_subject") != "") | (F.col("s_value") != "") & x.contains(F.col("s_value")))
+    near = X.strip(F.coalesce(F.get(lines, F.lit(0)), F.when(F.col("source") == F.col("s_source"), F.col("text"))))
+    best = met.withColumn("p", near).where("p IS NOT NULL").groupBy("new_id", "side").agg(F.min(F.struct(F.size(lines) == 0, "source", "chunk_index", "p")).alias("b"))
+    short = F.when(F.length("b.p") > most, F.concat(F.substring("b.p", 1, most), F.lit("..."))).otherwise(F.col("b.p"))
+    out = pairs
+    for side in ("old", "new"):
+        out = out.join(best.where(F.col("side") == side).select("new_id", short.alias(f"{side}_context")), "new_id", "left")
+    return out.orderBy("rank", "new_id")
+
+
 # --- changing
 
 
@@ -224,7 +254,7 @@ def _must_have(rules: DataFrame, id: str) -> None:
 
 def propagate(rules: DataFrame, changed: str, now: Name = None) -> DataFrame:
     """Active dependents of a rule want review; one step only."""
-    near = F.broadcast(rules.where(F.col("id") == changed).select(F.explode("dependents").alias("id")).distinct())
+    near = rules.where(F.col("id") == changed).select(F.explode("dependents").alias("id")).distinct()
     hit = rules.join(near.withColumn("lg_hit", F.lit(True)), "id", "left")
     due = F.col("lg_hit").isNotNull() & (F.col("status") == "active")
     return hit.withColumn("updated_at", F.when(due, _stamp(now)).otherwise(F.col("updated_at"))).withColumn("status", F.when(due, "needs_review").otherwise(F.col("status"))).drop("lg_hit")
@@ -293,7 +323,7 @@ def add_dependencies(rules: DataFrame, edges: DataFrame) -> DataFrame:
     return rules
 
 
-def inferred_dependencies(rules: DataFrame, small: bool = False) -> DataFrame:
+def inferred_dependencies(rules: DataFrame, small: bool | None = None) -> DataFrame:
     """(child, parent) of active rules: the child's value holds the parent's subject, of three characters or more. Of rules with one subject the last stands for it; edges that are there are left out."""
     active = rules.where("status = 'active'")
     subject = active.where(F.length("subject") >= 3).groupBy("subject").agg(F.max_by("id", ordinal(F.col("id"))).alias("parent"))
@@ -304,10 +334,10 @@ def inferred_dependencies(rules: DataFrame, small: bool = False) -> DataFrame:
 
 def purge(rules: DataFrame, facts: DataFrame, sources: DataFrame, now: Name = None) -> tuple[DataFrame, DataFrame]:
     """(rules, facts) without what changed sources said: their facts go, their active rules are deprecated. Nothing is suppressed."""
-    hit = rules.join(F.broadcast(sources.select(F.col("source").alias("lg_s")).distinct()), F.col("source") == F.col("lg_s"), "left")
+    hit = rules.join(sources.select(F.col("source").alias("lg_s")).distinct(), F.col("source") == F.col("lg_s"), "left")
     due = F.col("lg_s").isNotNull() & (F.col("status") == "active")
     out = hit.withColumn("updated_at", F.when(due, _stamp(now)).otherwise(F.col("updated_at"))).withColumn("status", F.when(due, "deprecated").otherwise(F.col("status"))).drop("lg_s")
-    return out, facts.join(F.broadcast(sources.select("source").distinct()), "source", "left_anti")
+    return out, facts.join(sources.select("source").distinct(), "source", "left_anti")
 
 
 def log_rows(before: DataFrame, after: DataFrame, trigger: str, now: Name = None) -> DataFrame:

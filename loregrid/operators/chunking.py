@@ -9,13 +9,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loregrid.functions import text as X
+from loregrid.operators.graph import cut, numbered
 
-BATCH_TEXTS, BATCH_TOKENS = 16, 7000
+BATCH_TEXTS, BATCH_TOKENS, BLOCK_ROWS = 16, 7000, 1 << 16
 CHUNK = "section string, heading_chain string, text string, chunk_index int, total_chunks int"
 
 
@@ -148,16 +151,72 @@ def batch_numbers(tokens: list[int], texts: int = BATCH_TEXTS, most: int = BATCH
     return out
 
 
-def token_batches(df: DataFrame, group: str, order: str, text: str = "text", texts: int = BATCH_TEXTS, most: int = BATCH_TOKENS) -> DataFrame:
-    """(group, order, tokens, batch): batches of a model's size within each group, by a fold over its rows in order."""
-    tokens = X.estimated_tokens(X.truncated(F.col(text), most))
-    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), tokens.alias("t")))).alias("r"))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0).alias("u"), F.array().cast("array<int>").alias("out"))
+def next_starts(tokens: np.ndarray, texts: int, most: int) -> np.ndarray:
+    """For a batch that begins at each place, where the next one begins: a batch takes one text at least."""
+    upto = np.concatenate([[0], np.cumsum(tokens)])
+    n = len(tokens)
+    return np.minimum(np.maximum(np.searchsorted(upto, upto[:-1] + most, side="right") - 1, np.arange(n) + 1), np.arange(n) + texts)
 
-    def step(s, x):
-        full = (s["n"] > 0) & ((s["n"] >= texts) | (s["u"] + x["t"] > most))
-        b = F.when(full, s["b"] + 1).otherwise(s["b"])
-        return F.struct(b.alias("b"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, x["t"]).otherwise(s["u"] + x["t"]).alias("u"), F.concat(s["out"], F.array(b)).alias("out"))
 
-    folded = rows.select(group, "r", F.aggregate("r", start, step, lambda s: s["out"]).alias("b"))
-    return folded.select(group, F.inline(F.arrays_zip("r", "b"))).select(group, F.col("r.o").alias(order), F.col("r.t").alias("tokens"), F.col("b").alias("batch"))
+def _walk(tokens: np.ndarray, begin: int, end: int, texts: int, most: int) -> list[int]:
+    """Starts of the batches from place begin up to end, and of the one behind them."""
+    step = next_starts(tokens, texts, most)
+    out = [begin]
+    while out[-1] < end:
+        out.append(int(step[out[-1]]))
+    return out
+
+
+def token_batches(df: DataFrame, group: str, order: str, text: str = "text", texts: int = BATCH_TEXTS, most: int = BATCH_TOKENS, block: int = BLOCK_ROWS) -> DataFrame:
+    """(group, order, tokens, batch): batches of a model's size within each group, in order.
+
+    Where batches begin depends on all that is before, but a batch has at most `texts` texts: so each block of rows is
+    gone through once for every place at which its first batch may begin, the blocks' results are chained by group,
+    and then each block is numbered. No task holds more than a block, or a few numbers for each block of a group.
+    """
+    tokens = F.coalesce(X.estimated_tokens(X.truncated(F.col(text), most)), F.lit(0))
+    rows = numbered(df.select(group, order, tokens.alias("tokens")), [group, order], "lg_n")
+    least = rows.groupBy(F.col(group).alias("lg_g")).agg(F.min("lg_n").alias("lg_first"))
+    rows = rows.join(least, F.col(group).eqNullSafe(F.col("lg_g"))).withColumn("lg_at", F.col("lg_n") - F.col("lg_first")).drop("lg_n", "lg_g")
+    rows = cut(rows)
+    placed_rows = rows.select(F.col("lg_first").alias("g"), F.floor(F.col("lg_at") / block).alias("block"), F.col("lg_at").alias("i"), "tokens")
+    # a block sees the texts behind it that its last batch may take
+    ahead = placed_rows.where((F.col("block") > 0) & (F.col("i") % block < texts)).withColumn("block", F.col("block") - 1)
+    seen = placed_rows.unionByName(ahead)
+
+    def summed(table: pa.Table) -> pa.Table:
+        g, b = table.column("g")[0].as_py(), table.column("block")[0].as_py()
+        place = np.argsort(table.column("i").to_numpy())
+        t, n = table.column("tokens").to_numpy()[place].astype(np.int64), len(place)
+        end = min(block, n)
+        out = []
+        for e in range(min(texts, end)) if b else (0,):
+            starts = _walk(t, e, end, texts, most)
+            out.append((g, b, e, starts[-1] - block, len(starts) - 1))
+        return pa.table([pa.array(x, pa.int64()) for x in zip(*out)], names=["g", "block", "entry", "leave", "batches"])
+
+    def chained(table: pa.Table) -> pa.Table:
+        """The place in each block at which its first batch begins, and that batch's number."""
+        g = table.column("g")[0].as_py()
+        ways = {(b, e): (x, n) for b, e, x, n in zip(*(table.column(c).to_pylist() for c in ("block", "entry", "leave", "batches")))}
+        b, entry, batch, out = 0, 0, 0, []
+        while (b, 0) in ways:
+            out.append((g, b, entry, batch))
+            entry, n = ways.get((b, entry), (entry, 0))  # a last block may lie within a batch as a whole
+            b, batch = b + 1, batch + n
+        return pa.table([pa.array(x, pa.int64()) for x in zip(*out)], names=["g", "block", "entry", "batch"])
+
+    def placed(table: pa.Table) -> pa.Table:
+        g, b = table.column("g")[0].as_py(), table.column("block")[0].as_py()
+        place = np.argsort(table.column("i").to_numpy())
+        t, i = table.column("tokens").to_numpy()[place].astype(np.int64), table.column("i").to_numpy()[place]
+        end, entry, first = min(block, len(t)), table.column("entry")[0].as_py(), table.column("batch")[0].as_py()
+        starts = np.array(_walk(t, entry, end, texts, most)[:-1])
+        number = first - 1 + np.searchsorted(starts, np.arange(end), side="right")  # texts before the entry belong to the batch before
+        return pa.table({"g": pa.array(np.full(end, g)), "i": pa.array(i[:end]), "lg_batch": pa.array(number.astype(np.int32))})
+
+    ways = seen.groupBy("g", "block").applyInArrow(summed, "g long, block long, entry long, leave long, batches long")
+    entries = ways.groupBy("g").applyInArrow(chained, "g long, block long, entry long, batch long")
+    numbers = seen.join(entries, ["g", "block"]).groupBy("g", "block").applyInArrow(placed, "g long, i long, lg_batch int")
+    out = rows.join(numbers.toDF("lg_g", "lg_i", "lg_batch"), (F.col("lg_first") == F.col("lg_g")) & (F.col("lg_at") == F.col("lg_i")))
+    return out.select(group, order, "tokens", F.col("lg_batch").alias("batch"))

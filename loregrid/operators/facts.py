@@ -6,17 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loregrid.functions import text as X
-from loregrid.operators.graph import contains_join, cut
+from loregrid.models import cached
+from loregrid.operators.graph import contains_join, cut, numbered
 
 CONFIDENCE, CANON_CONFIDENCE, FALLBACK_CONFIDENCE = 0.7, 0.8, 0.9
 #: What the built-in extractor looks for in a line: type>predicate.
 PATTERNS = "constraint>上限为 constraint>下限为 constraint>不超过 constraint>最多 constraint>最少 enum>分为 enum>包括 enum>类型包括 rule>规则为 rule>必须 rule>禁止 dependency>依赖"
 
 
+#: What a model is told to look for, by type of document.
+HINTS = "需求分析文档>找业务规则、数值的上下限和流程要求 后端设计文档>找数据约束、接口规则和配置结构 前端设计文档>找交互规则和显示约束 后台设计文档>找权限规则和校验规则 功能概述>找核心规则、分类和流程约束"
+
+
+def hint(doc_type: Column) -> Column:
+    return F.coalesce(*(F.when(doc_type == k, v) for k, v in X.pairs(HINTS)), F.lit(""))
+
+
 def extract(chunks: DataFrame) -> DataFrame:
     """Facts stated in a line as 'subject predicate value', by the first predicate in it; the stand-in for a model.
 
-    chunks: source, module, chunk_index, text. ordinal follows source, chunk and line.
+    chunks: source, module, chunk_index, text, and for a model's use heading_chain and hint. ordinal follows source, chunk
+    and line.
     """
     lines = chunks.select("source", "module", "chunk_index", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line"))
     clean = F.regexp_replace(X.strip(F.col("line")), r"^([-*#>|\d.、\s]+)", "")
@@ -36,6 +46,27 @@ def extract(chunks: DataFrame) -> DataFrame:
     return distinct_facts(valid(out), ["source"])
 
 
+def extract_cached(chunks: DataFrame, cache: DataFrame | None, extract, model: str = "default") -> tuple[DataFrame, DataFrame]:
+    """(facts of chunks, new cache entries): extract sees each heading and text once; that nothing was found is remembered too.
+
+    cache: (cache_key, facts). Facts of a document are numbered in order of its chunks and their own order there.
+    """
+    one = "array<struct<ordinal:bigint,type:string,subject:string,predicate:string,value:string,confidence:double>>"
+
+    def compute(missing: DataFrame) -> DataFrame:
+        asked = missing.select(F.col("cache_key").alias("source"), F.lit("").alias("module"), F.lit(0).alias("chunk_index"), "text", "heading_chain", "hint")
+        found = extract(asked).groupBy(F.col("source").alias("cache_key")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "type", "subject", "predicate", "value", "confidence"))).cast(one).alias("facts"))
+        return missing.select("cache_key").join(found, "cache_key", "left").withColumn("facts", F.coalesce("facts", F.array().cast(one)))
+
+    told = chunks.select("source", "module", "chunk_index", "text", X.text(F.col("heading_chain")).alias("heading_chain"), hint(F.col("doc_type")).alias("hint"))
+    key = X.cache_key(F.concat_ws("\n", "hint", "heading_chain", "text"), "facts", model)
+    known, new = cached(told, cache, key, compute, ["facts"])
+    rows = known.select("source", "module", "chunk_index", F.inline("facts"))
+    order = F.row_number().over(Window.partitionBy("source").orderBy("chunk_index", "ordinal"))
+    rows = rows.withColumn("ordinal", order.cast("long")).drop("chunk_index")
+    return distinct_facts(valid(rows), ["source"]), new
+
+
 def valid(facts: DataFrame) -> DataFrame:
     """With subject and value, confident, and not of the kinds that are worth nothing."""
     filled = (X.strip(X.text(F.col("subject"))) != "") & (X.strip(X.text(F.col("value"))) != "")
@@ -83,7 +114,7 @@ def greedy_survivors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return kept
 
 
-def alike_pairs(facts: DataFrame, small: bool = False) -> DataFrame:
+def alike_pairs(facts: DataFrame, small: bool | None = None) -> DataFrame:
     """(early, late) ordinals of facts of one type with nested subjects (two characters at least) and equal or nested predicates; values don't matter."""
     f = facts.where((X.text(F.col("subject")) != "") & (X.text(F.col("predicate")) != "")).withColumn("p", X.dedup_predicate(F.col("predicate"))).where("p <> ''")
     long = f.select(F.col("ordinal").alias("o1"), F.col("type").alias("t1"), F.col("subject").alias("s1"), F.col("p").alias("p1"))
@@ -93,14 +124,14 @@ def alike_pairs(facts: DataFrame, small: bool = False) -> DataFrame:
     return met.select(F.least("o1", "o2").alias("early"), F.greatest("o1", "o2").alias("late")).distinct()
 
 
-def semantic_dedup(facts: DataFrame, existing: DataFrame | None = None, dedup: str = "content", small: bool = False) -> DataFrame:
+def semantic_dedup(facts: DataFrame, existing: DataFrame | None = None, dedup: str = "content", small: bool | None = None) -> DataFrame:
     """New facts that stay, in order of ordinal: by content, or with dedup='subject_predicate' also without those alike to an earlier or stored one."""
     new = by_content(facts)
     if dedup != "subject_predicate":
         return new
     pool = new.select("ordinal", "type", "subject", "predicate")
     if existing is not None:  # stored facts come before all new ones
-        old = existing.select((-1 - F.row_number().over(Window.orderBy("id"))).cast("long").alias("ordinal"), "type", "subject", "predicate")
+        old = numbered(existing.select("id", "type", "subject", "predicate"), ["id"], "n").select((-1 - F.col("n")).alias("ordinal"), "type", "subject", "predicate")
         pool = pool.unionByName(old)
     kept = greedy_survivors(pool.select(F.col("ordinal").alias("n")), alike_pairs(pool, small))
     return new.join(kept.withColumnRenamed("n", "ordinal"), "ordinal", "left_semi")
@@ -114,11 +145,11 @@ def upsert(table: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def without_sources(table: DataFrame, sources: DataFrame, column: str = "source") -> DataFrame:
-    return table.join(F.broadcast(sources.select(F.col(column))), column, "left_anti")
+    return table.join(sources.select(F.col(column)), column, "left_anti")
 
 
 def of_sources(table: DataFrame, sources: DataFrame, column: str = "source") -> DataFrame:
-    return table.join(F.broadcast(sources.select(F.col(column))), column, "left_semi")
+    return table.join(sources.select(F.col(column)), column, "left_semi")
 
 
 def audit_groups(facts: DataFrame) -> DataFrame:
@@ -146,9 +177,9 @@ def compliance(new: DataFrame, rules: DataFrame) -> DataFrame:
 
 def related_facts(new: DataFrame, facts: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Stored facts on the same subjects, and those that near (id) gives; without repeats."""
-    same = facts.join(F.broadcast(new.select("subject").distinct()), "subject", "left_semi")
+    same = facts.join(new.select("subject").distinct(), "subject", "left_semi")
     if near is not None:
-        same = same.unionByName(facts.join(F.broadcast(near.select("id").distinct()), "id", "left_semi"))
+        same = same.unionByName(facts.join(near.select("id").distinct(), "id", "left_semi"))
     return same.dropDuplicates(["subject", "predicate", "value"])
 
 

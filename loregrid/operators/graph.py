@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,37 +11,60 @@ from pyspark.sql import functions as F
 from loregrid.functions import text as X
 
 
+#: A side of a join that has no equal keys is broadcast only if its measured size is below this.
+BROADCAST_LIMIT = 32 << 20
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, kept in the folder that spark.checkpoint.dir names (a temporary one where the session names none)."""
+    """df, kept in the folder that spark.checkpoint.dir names. Where the session names none, in a temporary one, in local mode only: executors elsewhere couldn't read it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loregrid-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loregrid-"))
     return df.checkpoint(eager=True)
 
 
+def fits(df: DataFrame, row_bytes: int = 256) -> bool:
+    """Whether df, counted, is small enough to be sent to every executor."""
+    most = BROADCAST_LIMIT // row_bytes
+    return df.limit(most + 1).count() <= most
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with 1, 2, ... by order, without moving all rows to one task: range-partitioned, counted, offset."""
+    parts = cut(df.orderBy(*order).withColumn("lg_part", F.spark_partition_id()).withColumn("lg_row", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("lg_part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("lg_part", (F.sum("n").over(Window.orderBy("lg_part")) - F.col("n")).alias("lg_before"))  # a row for each partition
+    within = F.row_number().over(Window.partitionBy("lg_part").orderBy("lg_row"))
+    return parts.withColumn(name, within).join(F.broadcast(before), "lg_part").withColumn(name, (F.col(name) + F.col("lg_before")).cast("long")).drop("lg_part", "lg_row", "lg_before")
+
+
 def canonical(name: Column, aliases: DataFrame | None, df: DataFrame, out: str = "module") -> DataFrame:
     """df with `out`: the canonical name of `name`, by a table (canonical, alias); a name without an entry is its own."""
     if aliases is None:
         return df.withColumn(out, name)
     look = aliases.groupBy(F.col("alias").alias("lg_alias")).agg(F.min("canonical").alias("lg_canonical"))
-    joined = df.join(F.broadcast(look), name == F.col("lg_alias"), "left")
+    joined = df.join(look, name == F.col("lg_alias"), "left")
     return joined.withColumn(out, F.coalesce("lg_canonical", name)).drop("lg_alias", "lg_canonical")
 
 
-def contains_join(long: DataFrame, short: DataFrame, body: str, part: str, small: bool = True) -> DataFrame:
-    """Rows of long and short where `body` holds `part` as a substring.
+def contains_join(long: DataFrame, short: DataFrame, body: str, part: str, small: bool | None = None) -> DataFrame:
+    """Rows of long and short where `body` holds `part`, which isn't empty, as a substring.
 
-    With a small second table, it is broadcast. Otherwise both meet on two-character pieces: the first two characters of
-    part must stand in body, which is checked as a whole afterwards; parts of one character are broadcast.
+    A second table that is small, as counted, is broadcast. Otherwise both meet on the first two characters of part,
+    which must stand in body, and on the one that it has; that part stands there as a whole is checked afterwards.
     """
-    if small:
+    short = short.where(F.col(part) != "")
+    if fits(short) if small is None else small:
         return long.join(F.broadcast(short), F.col(body).contains(F.col(part)))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(body) - 1), lambda i: F.substr(F.col(body), i, F.lit(2))))
-    left = long.withColumn("lg_gram", F.explode(F.when(F.length(body) >= 2, grams)))
-    right = short.where(F.length(part) >= 2).withColumn("lg_head", F.substring(part, 1, 2))
-    met = left.join(right, F.col("lg_gram") == F.col("lg_head")).where(F.col(body).contains(F.col(part))).drop("lg_gram", "lg_head")
-    single = long.join(F.broadcast(short.where(F.length(part) < 2)), F.col(body).contains(F.col(part)))
-    return met.unionByName(single)
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(body) - (n - 1)), lambda i: F.substr(F.col(body), i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    both = F.array_distinct(F.concat(*(F.when(F.length(body) >= n, grams(n)).otherwise(none) for n in (1, 2))))
+    left = long.withColumn("lg_gram", F.explode(both))
+    right = short.withColumn("lg_head", F.substring(part, 1, 2))
+    return left.join(right, F.col("lg_gram") == F.col("lg_head")).where(F.col(body).contains(F.col(part))).drop("lg_gram", "lg_head")
 
 
 def module_refs(chunks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -49,7 +73,7 @@ def module_refs(chunks: DataFrame, aliases: DataFrame | None = None) -> DataFram
     return named.select("module", F.explode("cross_refs").alias("ref")).distinct()
 
 
-def relations(refs: DataFrame, modules: DataFrame, small: bool = True) -> DataFrame:
+def relations(refs: DataFrame, modules: DataFrame, small: bool | None = None) -> DataFrame:
     """(from, to, ref): module `from` has a reference that holds the name of `to`; of several, the first by name."""
     names = modules.where(X.text(F.col("module")) != "").select(F.col("module").alias("to")).distinct()
     met = contains_join(refs.select(F.col("module").alias("from"), "ref"), names, "ref", "to", small)

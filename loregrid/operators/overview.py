@@ -44,7 +44,7 @@ def expanded(names: DataFrame, aliases: DataFrame, column: str = "module") -> Da
     both = F.array_distinct(F.array(F.col(column), F.col("lg_name")))
     c = canonical(F.col(column), aliases, names.select(column).distinct(), "lg_name")
     own = c.select(column, F.explode(both).alias("name"))
-    other = c.join(F.broadcast(aliases.select("canonical", "alias")), F.col("lg_name") == F.col("canonical")).select(column, F.col("alias").alias("name"))
+    other = c.join(aliases.select("canonical", "alias"), F.col("lg_name") == F.col("canonical")).select(column, F.col("alias").alias("name"))
     return own.unionByName(other).distinct()
 
 

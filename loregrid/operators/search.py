@@ -34,6 +34,12 @@ def vocabulary(chunks: DataFrame, text: str = "text") -> DataFrame:
     return words.select(F.inline(F.concat(F.array(whole), each))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
 
 
+def changed_vocabulary(words: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """A vocabulary after some chunks went and others came, by theirs."""
+    signed = lambda v, n: v.select("term", (n * F.col("df")).alias("df"), (n * F.col("dl")).alias("dl"))
+    return signed(words, 1).unionByName(signed(gone, -1)).unionByName(signed(new, 1)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).where("df > 0")
+
+
 def corpus_stats(words: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length in tokens."""
     return words.where("term IS NULL").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))

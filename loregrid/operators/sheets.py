@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from loregrid.functions import text as X
 from loregrid.sources.workbooks import Picture, Sheet, visible_sheets
 
 EMPTY = "*(空表)*"
+#: What a formatter is given at once.
+FORMAT_CHARS = 100_000
 #: Words in a sheet's name that settle its type, in the order in which types are tried.
 NAMED = (
     ("version_log", "版本 更新 变更 changelog version log 记录"),
@@ -184,6 +187,51 @@ def sheets(files: DataFrame, source: str = "source", content: str = "content") -
     return files.select(source, content).mapInPandas(run, SHEETS)
 
 
+def split_content(content: str, most: int = FORMAT_CHARS) -> list[str]:
+    """Pieces of at most `most` characters, cut between paragraphs, then between lines where a paragraph is longer."""
+    out: list[str] = []
+    for sep, pieces in (("\n\n", [content]), ("\n", None)):
+        pieces, out = (out if pieces is None else pieces), []
+        for piece in pieces:
+            held = ""
+            for part in piece.split(sep) if len(piece) > most else [piece]:
+                if held and len(held) + len(sep) + len(part) > most:
+                    out.append(held)
+                    held = part
+                else:
+                    held = f"{held}{sep}{part}" if held else part
+            out.append(held)
+    return out
+
+
+def formatted(sheet_rows: DataFrame, formatter: Callable[[str, str, str], str], waits: tuple[float, ...] = (5, 10, 15), most: int = FORMAT_CHARS) -> DataFrame:
+    """sheet_rows with Markdown by a model: formatter(name, type, piece of content). A call that fails is made again after each wait but the last; a PermissionError isn't. A sheet for which it fails keeps what the rules made of it."""
+
+    def call(name: str, kind: str, piece: str) -> str:
+        for n, wait in enumerate(waits):
+            try:
+                return formatter(name, kind, piece)
+            except PermissionError:
+                raise
+            except Exception:
+                if n == len(waits) - 1:
+                    raise
+                time.sleep(wait)
+        raise ValueError("there has to be a wait for each call")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for name, kind, content, old in zip(frame["name"], frame["type"], frame["content"], frame["markdown"]):
+                try:
+                    made.append(old if content is None or content == EMPTY else "\n\n".join(call(name, kind, piece) for piece in split_content(content, most)))
+                except Exception:
+                    made.append(old)
+            yield frame.assign(markdown=made)
+
+    return sheet_rows.mapInPandas(run, SHEETS)
+
+
 def image_path(source, name, index, data):
     """Where a sheet's picture goes, relative to the Markdown file."""
     return F.concat(F.lit("images/"), X.safe_name(name), F.lit("_"), index.cast("string"), F.lit("."), X.image_kind(data))

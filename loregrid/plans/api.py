@@ -13,36 +13,47 @@ from loregrid import models
 from loregrid.functions import text as X
 from loregrid.operators import canon, changes, facts as fact_ops, graph, overview, search as searching, sheets
 from loregrid.operators.chunking import chunk_documents
-from loregrid.sources import files
+from loregrid.sources import chunk_store, files
 from loregrid.sources.tables import Tables
 
 CHUNKS = (
     "id string, text string, embedding array<float>, module string, doc_type string, source string, section string, heading_chain string, cross_refs array<string>, tags array<string>, "
     "doc_id string, chunk_index int, total_chunks int, doc_version string, doc_mtime timestamp, indexed_at timestamp"
 )
-FACTS = "id string, type string, subject string, predicate string, value string, confidence double, source string, module string, ordinal long"
+FACTS = "id string, type string, subject string, predicate string, value string, confidence double, source string, module string, ordinal long, embedding array<float>"
 META = "path string, mtime double, size long, indexed_at timestamp"
 SUPPRESSIONS = "subject string, predicate string, reason string, added_at timestamp"
 LOG = "timestamp timestamp, action string, rule_id string, subject string, detail string, trigger string, old_value string, new_value string"
 
+RULES_AS_TOLD = canon.RULE.replace("timestamp", "string")
+
 Name = str | None
 
 
 class KnowledgeBase:
     """Documents below settings.md_dir, tables below settings.data_dir.
 
-    embed (Column to Column), embed_query, rewrite, reranker and extract stand for models; all but reranker and rewrite
-    have deterministic defaults. One job writes at a time; readers may be many.
+    embed (Column to Column), embed_query, rewrite, reranker, extract and formatter (of sheets) stand for models; all but
+    reranker, rewrite and formatter have deterministic defaults. What embed and extract give is kept by content, under
+    the name `model`. One job writes at a time; readers may be many. settings may be a function that loads them: then
+    they are loaded again before each index run.
     """
 
-    def __init__(self, spark: SparkSession, settings: files.Settings, embed=None, embed_query: Callable[[str], list[float]] | None = None, rewrite=None, reranker=None,
-                 extract: Callable[[DataFrame], DataFrame] = fact_ops.extract, dedup="content", alias_file: Name = None) -> None:
-        self.spark, self.settings, self.tables = spark, settings, Tables(spark, settings.data_dir)
+    def __init__(self, spark: SparkSession, settings: files.Settings | Callable[[], files.Settings], embed=None, embed_query: Callable[[str], list[float]] | None = None, rewrite=None, reranker=None,
+                 extract: Callable[[DataFrame], DataFrame] = fact_ops.extract, dedup="content", alias_file: Name = None, formatter: Callable[[str, str, str], str] | None = None, model: str = "default") -> None:
+        self.spark, self._load, self._alias_file = spark, settings if callable(settings) else lambda: settings, alias_file
+        self.formatter, self.model = formatter, model
+        self.reload()
         self.embed, self.embed_query = embed or models.embedder(), embed_query or models.query_embedder()
         self.rewrite, self.reranker, self.extract, self.dedup = rewrite, reranker, extract, dedup
-        self.alias_file = alias_file or f"{settings.data_dir}/module_aliases.json"
         self.timings: dict[str, float] = {}
 
+    def reload(self) -> None:
+        """The settings as they are now."""
+        self.settings = self._load()
+        self.tables = Tables(self.spark, self.settings.data_dir)
+        self.alias_file = self._alias_file or f"{self.settings.data_dir}/module_aliases.json"
+
     @contextmanager
     def _timed(self, name: str):
         began = time.monotonic()
@@ -57,8 +68,8 @@ class KnowledgeBase:
 
     @property
     def vocabulary(self) -> DataFrame | None:
-        """Counted when chunks are written, so that a search only scores."""
-        return self.tables.read("vocabulary") if self.tables.version("vocabulary") else None
+        """Kept with the chunks, so that a search only scores."""
+        return chunk_store.vocabulary_of(self.tables)
 
     @property
     def facts(self) -> DataFrame:
@@ -100,10 +111,10 @@ class KnowledgeBase:
         top_k = min(max(top_k, 1), 20)
         names = self.names_of(module) if module else None
         if target == "facts":
-            table = self.facts.withColumn("embedding", self.embed(X.fact_text(F.col("subject"), F.col("predicate"), F.col("value"))))
+            table = self.facts
             where = X.all_of(*([F.col("module").isin(*names)] if names else []), *([F.col("type") == fact_type] if fact_type else []))
             best = searching.vector_top(table, self.embed_query(query), top_k, where)
-            return self.facts.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
+            return table.drop("embedding").join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
         alias = {module: names} if module else None
         return searching.search(self.chunks, query, self.embed_query, top_k, include_context, module, doc_type, alias, self.rules.where(F.col("status").isin("active", "conflict")), self.rewrite if rewrite else None, self.reranker, multi_hop, words=self.vocabulary)
 
@@ -114,13 +125,18 @@ class KnowledgeBase:
         return overview.suggest(self.chunks, partial, most)
 
     def document(self, path: str) -> DataFrame:
-        return files.document(files.markdown(self.spark, self.settings.md_dir), path)
+        """By a path relative to the documents or to the folder above them, or an absolute one, wherever it points."""
+        below = path.replace("\\", "/").startswith(self.settings.md_dir.rstrip("/") + "/")
+        if (path.startswith("/") or "://" in path) and not below:
+            return files.one_file(self.spark, path)
+        return files.document(files.markdown(self.spark, self.settings.md_dir), path, self.settings.md_dir)
 
     # --- index
 
     def index(self, mode="incremental", path: Name = None, skip_facts=False, clear_canon=False, confirm=False) -> dict:
         """incremental: what changed; full: everything anew; single: one path; cleanup: orphans (removed only with confirm)."""
         self.timings = {}
+        self.reload()
         if mode == "cleanup":
             return self.cleanup(dry_run=not confirm)
         if mode not in ("incremental", "full", "single"):
@@ -144,10 +160,11 @@ class KnowledgeBase:
         gone = diff.where("change = 'removed'").select(F.col("path").alias("source"))
         touched = graph.cut(good.select("source").unionByName(gone))
         with self._timed("parse"):
-            made = graph.cut(chunk_documents(good.withColumn("mtime", F.col("seconds").cast("timestamp")), self.embed))
+            made = graph.cut(chunk_documents(good.withColumn("mtime", F.col("seconds").cast("timestamp"))))
+        with self._timed("embedding"):
+            made = graph.cut(self._embedded(made))
         with self._timed("batch_index"):
-            self.tables.replace_sources("chunks", made, touched)
-            self.tables.write("vocabulary", searching.vocabulary(self.chunks))
+            chunk_store.replace_chunks(self.tables, made, touched)
         report = {f"files_{r['change']}": r["n"] for r in diff.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()} | {"chunks": made.count()}
         if not skip_facts:
             with self._timed("fact_extraction"):
@@ -170,21 +187,42 @@ class KnowledgeBase:
         there = files.scan(self.spark, self.settings.md_dir, "*.md").select("path", "mtime")
         due = graph.cut(changes.to_convert(found, there, force).select("path", "suffix"))
         raw = files.scan(self.spark, self.settings.original_dir, "*.{xlsx,xlsm,md}").join(due.select("path"), "path", "left_semi")
+        there = files.scan(self.spark, self.settings.md_dir, "*").select(F.col("path").alias("there"), F.col("mtime").alias("there_mtime"))
+        found = files.resources(self.spark, self.settings.original_dir)
+        stale = F.col("there").isNull() | (F.col("there_mtime") < F.col("mtime"))
+        beside = files.write_files(found.join(there, F.col("path") == F.col("there"), "left").where(stale).select("path", F.col("content").alias("data")), self.settings.md_dir)
         copied = files.write_files(raw.where("suffix = 'md'").select("path", F.col("content").alias("data")), self.settings.md_dir)
         rows = graph.cut(sheets.sheets(raw.where("suffix <> 'md'").select(F.col("path").alias("source"), "content")))
+        if self.formatter:
+            rows = graph.cut(sheets.formatted(rows, self.formatter))
         folder = F.regexp_replace(X.converted_path(F.col("source")), "/[^/]*$", "")
         pictures = files.write_files(sheets.images(rows).select(F.concat(folder, F.lit("/"), F.col("path")).alias("path"), "data"), self.settings.md_dir)
         made = files.write_files(sheets.converted(rows).select(F.col("target").alias("path"), F.col("text").alias("data")), self.settings.md_dir)
         bad = rows.where("error IS NOT NULL").select("source", "error").orderBy("source").limit(100).collect()
-        return {"copied": copied, "converted": made, "pictures": pictures, "errors": [(r["source"], r["error"]) for r in bad]}
+        return {"copied": copied, "resources": beside, "converted": made, "pictures": pictures, "errors": [(r["source"], r["error"]) for r in bad]}
+
+    def _cache(self, name: str, new: DataFrame | None = None) -> DataFrame | None:
+        """A cache as a table, after new entries were added."""
+        if new is not None and not new.isEmpty():
+            self.tables.append(name, new)
+        return self.tables.read(name) if self.tables.version(name) is not None else None
+
+    def _embedded(self, made: DataFrame) -> DataFrame:
+        key = X.cache_key(F.col("text"), "embedding", self.model)
+        out, new = models.cached(made.drop("embedding"), self._cache("embedding_cache"), key, lambda df: df.withColumn("embedding", self.embed(F.col("text"))), ["embedding"])
+        out = out.select(*made.columns)
+        self._cache("embedding_cache", new)
+        return out
 
     def _facts_of(self, made: DataFrame, touched: DataFrame) -> dict:
         rules, stored = canon.purge(self.rules, self.facts, touched)
         rules, stored = graph.cut(rules), graph.cut(stored)
-        found = self.extract(made)
-        order = F.row_number().over(graph.Window.orderBy("source", "ordinal"))
-        found = graph.cut(found.withColumn("ordinal", order.cast("long")))
-        fresh = graph.cut(fact_ops.semantic_dedup(found, stored, self.dedup))
+        found, new = fact_ops.extract_cached(made, self._cache("facts_cache"), self.extract, self.model)
+        found = graph.cut(found)
+        self._cache("facts_cache", new)
+        found = graph.cut(graph.numbered(found, ["source", "ordinal"], "ordinal"))
+        said = X.fact_text(F.col("subject"), F.col("predicate"), F.col("value"))
+        fresh = graph.cut(fact_ops.semantic_dedup(found, stored, self.dedup).withColumn("embedding", self.embed(said)))
         self.tables.write("facts", fact_ops.upsert(stored, fresh.select(*[c.split()[0] for c in FACTS.split(", ")])))
         worthy = fact_ops.canon_candidates(overview.normalized(fresh, self.aliases))
         merged, report = canon.merge(rules, worthy, self.suppressions, self.aliases)
@@ -201,8 +239,7 @@ class KnowledgeBase:
             gone = graph.cut(plan.select(F.col("path").alias("source")))
             rules, facts = canon.purge(self.rules, self.facts, gone)
             rules, facts = graph.cut(rules), graph.cut(facts)
-            self.tables.write("chunks", self.chunks.join(gone, "source", "left_anti"))
-            self.tables.write("vocabulary", searching.vocabulary(self.chunks))
+            chunk_store.replace_chunks(self.tables, self.chunks.limit(0), gone)
             self.tables.write("facts", facts)
             self._write_rules(rules, "cleanup")
             self.tables.write("index_meta", self.meta.join(gone.withColumnRenamed("source", "path"), "path", "left_anti"))
@@ -269,7 +306,7 @@ class KnowledgeBase:
         if action == "export":
             return canon.export_lines(self.rules, self.log, module)
         if action == "classify":
-            return canon.conflict_pairs(self.rules, top_k)
+            return canon.with_context(canon.conflict_pairs(self.rules, top_k), self.chunks)
         if action == "sync":
             table = overview.normalized(self.facts, self.aliases)
             table = table.where(F.col("module").isin(*names)) if names else table
@@ -325,7 +362,37 @@ class KnowledgeBase:
         plan = {name: changes.remapped(table, old, new, column) for name, table, column in (("index_meta", self.meta, "path"), ("chunks", self.chunks, "source"), ("facts", self.facts, "source"))}
         counts = {name: n.first().asDict() for name, (_, n) in plan.items()}
         if not dry_run:
-            staged = {name: graph.cut(df) for name, (df, _) in plan.items()}
-            for name, df in staged.items():
-                self.tables.write(name, df)
+            staged, before = {name: graph.cut(df) for name, (df, _) in plan.items()}, {name: self.tables.version(name) for name in plan}
+            try:
+                for name, df in staged.items():
+                    if name == "chunks":
+                        self.tables.write(name, df, "source")
+                    else:
+                        self.tables.write(name, df)
+            except Exception:
+                for name, version in before.items():
+                    if version is not None and self.tables.version(name) != version:
+                        self.tables.restore(name, version)
+                raise
         return {"old": old, "new": new, "dry_run": dry_run, **counts}
+
+    # --- what another installation left
+
+    def import_json(self, folder: str) -> dict:
+        """Records, rules, changelog and suppressions from index_meta.json, canon.json, canon_changelog.json and canon_suppressions.json in a folder, in place of those that are here; files that are missing or broken change nothing. Gives the numbers of rows."""
+        at = lambda name: f"{folder.rstrip('/')}/{name}.json"
+        told = RULES_AS_TOLD
+        meta = files.json_map(self.spark, at("index_meta"), "mtime double, size long, indexed_at string").withColumn("indexed_at", F.try_to_timestamp("indexed_at"))
+        rules = files.json_rows(self.spark, at("canon"), told, "rules")
+        times = {c: F.try_to_timestamp(c) for c in ("added_at", "updated_at")}
+        rules = rules.withColumns(times).withColumn("history", F.transform(F.coalesce("history", F.array().cast("array<struct<old_value:string,new_value:string,changed_at:string,reason:string>>")), lambda h: h.withField("changed_at", F.try_to_timestamp(h["changed_at"]))))
+        rules = rules.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("depends_on", "dependents")}).withColumn("confidence", F.coalesce("confidence", F.lit(0.5)))
+        log = files.json_rows(self.spark, at("canon_changelog"), LOG.replace("timestamp timestamp", "timestamp string"), "entries").withColumn("timestamp", F.try_to_timestamp("timestamp"))
+        held = files.json_rows(self.spark, at("canon_suppressions"), SUPPRESSIONS.replace("added_at timestamp", "added_at string"), "suppressions").withColumn("added_at", F.try_to_timestamp("added_at"))
+        out = {}
+        for name, df in (("index_meta", meta), ("rules", rules), ("changelog", log), ("suppressions", held)):
+            df = graph.cut(df)
+            out[name] = df.count()
+            if out[name]:
+                self.tables.write(name, df)
+        return out

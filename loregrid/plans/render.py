@@ -67,6 +67,9 @@ def conflicts(df: DataFrame, most: int = 50) -> str:
             last = r["category"]
             out.append(f"### {last}")
         out.append(f"- {r['old_id']} / {r['new_id']}: {r['old_subject']} {r['old_predicate']}: {r['old_value']} ({r['old_source']}) or {r['new_value']} ({r['new_source']})")
+        for side in ("old", "new"):
+            if f"{side}_context" in df.columns and r[f"{side}_context"]:
+                out.append(f"  > {r[f'{side}_context']}")
     return _section("Conflicts", out, more)
 
 

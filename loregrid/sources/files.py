@@ -74,10 +74,28 @@ def write_files(df: DataFrame, root: str) -> int:
     return df.select("path", F.col("data").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def document(docs: DataFrame, path: str) -> DataFrame:
-    """The document of a path, which may be relative, have a leading md_file folder, or a backslash for a slash."""
-    p = path.replace("\\", "/").lstrip("/")
-    return docs.where(F.col("source").isin(p, p.removeprefix("md_file/")))
+def document(docs: DataFrame, path: str, root: str = "") -> DataFrame:
+    """The document of a path: absolute and below root, or relative to root or to the folder that root is in; a backslash counts as a slash."""
+    p, r = path.replace("\\", "/"), root.replace("\\", "/").rstrip("/")
+    if r and p.startswith(r + "/"):
+        p = p[len(r) + 1 :]
+    folder = r.rpartition("/")[2] or "md_file"
+    return docs.where(F.col("source").isin(p, p.removeprefix(f"{folder}/")))
+
+
+def one_file(spark: SparkSession, path: str) -> DataFrame:
+    """A Markdown file anywhere, as markdown() gives those below a root; source is its path."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "source string, text string, mtime double, size long, error string")
+    f = spark.read.format("binaryFile").load(path)
+    good = F.is_valid_utf8(F.col("content").cast("string"))
+    return f.select(F.lit(path).alias("source"), X.normalize_newlines(F.when(good, F.col("content").cast("string"))).alias("text"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), F.when(~good, "not UTF-8").alias("error"))
+
+
+def resources(spark: SparkSession, root: str) -> DataFrame:
+    """(path, mtime, content) of what lies below root in folders named resources: the pictures that Markdown shows."""
+    inside = F.array_contains(F.slice(X.parts_of(F.col("path")), F.lit(1), F.size(X.parts_of(F.col("path"))) - 1), "resources")
+    return scan(spark, root, "*").where(inside).select("path", "mtime", "content")
 
 
 def json_map(spark: SparkSession, path: str, value: str, key: str = "path") -> DataFrame:
@@ -114,9 +132,19 @@ def aliases(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("canonical", F.explode(F.array_union(F.array("canonical"), "names")).alias("alias")).distinct()
 
 
+def dotenv(path: str) -> dict[str, str]:
+    """NAME=value lines of a file; blank lines, # lines and lines without = don't count, quotes around a value go."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        lines = (x.strip() for x in f)
+        parts = (x.split("=", 1) for x in lines if "=" in x and not x.startswith("#"))
+        return {k.strip(): v.strip().strip("\"'") for k, v in parts}
+
+
 @dataclass(frozen=True)
 class Settings:
-    """Where a knowledge base is. Environment variables (KB_ROOT and so on) win over the file, the file over defaults."""
+    """Where a knowledge base is. Environment variables (KB_ROOT and so on) win over those of a .env file beside the settings file, these over the file, the file over defaults."""
 
     kb_root: str = "."
     md_dir: str = "md_file"
@@ -125,7 +153,9 @@ class Settings:
 
     @classmethod
     def load(cls, path: str | None = None, env: dict[str, str] | None = None) -> Settings:
-        env = dict(os.environ) if env is None else env
+        given_env = dict(os.environ) if env is None else env
+        env = dotenv(os.path.join(os.path.dirname(os.path.abspath(path)), ".env")) if path else {}
+        env |= {k: v for k, v in given_env.items() if v}
         out = cls()
         if path and os.path.exists(path):
             try:

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loregrid.functions import text as X
 from loregrid.operators.chunking import chunk_documents
+from loregrid.operators.graph import cut
+from loregrid.sources.chunk_store import replace_chunks
 from loregrid.sources.files import qualified
 
 _BINARY = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -27,13 +29,15 @@ def new_documents(spark: SparkSession, root: str) -> DataFrame:
 def index_new(spark: SparkSession, root: str, tables, checkpoint: str, embed=None, name: str = "chunks", done: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Chunks of the files that are there and not yet indexed, into a table of `tables`; ends when all are done.
 
-    A batch replaces its own sources, so that one that is run again after a failure leaves no row twice.
+    A batch replaces its own sources, so that one that is run again after a failure leaves no row twice, and changes the
+    vocabulary by what is new in it.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        made = chunk_documents(batch, embed)
-        tables.replace_sources(name, made, batch.select("source"))
+        batch = batch.persist()
+        replace_chunks(tables, cut(chunk_documents(batch, embed)), batch.select("source"), name)
         if done:
             done(batch, number)
+        batch.unpersist()
 
     return new_documents(spark, root).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,3 +69,15 @@ def test_batches(spark):
     got = token_batches(spark.createDataFrame(rows, "g string, i int, text string"), "g", "i").orderBy("g", "i").collect()
     tokens = [r["tokens"] for r in got if r["g"] == "a"]
     assert [r["batch"] for r in got if r["g"] == "a"] == batch_numbers(tokens)
+
+
+@pytest.mark.parametrize("block", [16, 20, 50, 1 << 16])
+def test_token_batches_in_blocks(spark, block):
+    rng = random.Random(block)
+    sizes = {"a": 203, "b": 1, "c": 16, "d": 51, None: 40}
+    rows = [(g, i, "x" * rng.choice([0, 3, 900, 4000, 9000])) for g, n in sizes.items() for i in range(n)] + [("e", 0, None)]
+    got = token_batches(spark.createDataFrame(rows, "g string, i int, text string"), "g", "i", block=block).collect()
+    assert len(got) == len(rows)
+    for g in sizes:
+        mine = sorted((r["i"], r["tokens"], r["batch"]) for r in got if r["g"] == g)
+        assert [b for _, _, b in mine] == batch_numbers([t for _, t, _ in mine])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import io
 import zipfile
 
@@ -99,3 +101,34 @@ def test_sheet_table(spark):
     [doc] = sheets.converted(rows).collect()
     assert doc["target"] == "表/表[xlsx转换].md"
     assert "| 甲 | 1 |\n![表](images/表_0.png)\n| 乙 | 2 |" in doc["text"] and doc["text"].startswith("# 表\n\n## 表")
+
+
+def test_split_content():
+    text = "\n\n".join(f"p{i} " + "x" * 30 + "\n" + "y" * 20 for i in range(9))
+    parts = sheets.split_content(text, 100)
+    assert all(len(p) <= 100 for p in parts) and "\n\n".join(parts) == text
+    long = "\n".join("z" * 30 for _ in range(9))
+    assert all(len(p) <= 100 for p in sheets.split_content(long, 100)) and "\n".join(sheets.split_content(long, 100)) == long
+    assert sheets.split_content("short") == ["short"]
+
+
+def test_formatters_are_tried_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a.xlsx", 0, "s", "data_table", "c" * 25, "old", 1, 1, [], None)], sheets.SHEETS)
+    log = str(tmp_path / "calls")
+
+    def formatter(kind):
+        def call(name, sheet_type, piece):
+            with open(log, "a") as f:
+                f.write("x")
+            if kind == "never" or kind == "late" and os.path.getsize(log) < 3:
+                raise OSError("busy")
+            if kind == "denied":
+                raise PermissionError("key")
+            return f"[{len(piece)}]"
+
+        return call
+
+    for kind, want, calls in (("late", "[25]", 3), ("never", "old", 3), ("denied", "old", 1)):
+        got = sheets.formatted(rows, formatter(kind), (0, 0, 0)).first()["markdown"]
+        assert (got, os.path.getsize(log)) == (want, calls)
+        os.remove(log)
