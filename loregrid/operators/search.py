@@ -28,10 +28,13 @@ def postings(chunks: DataFrame, key: str = "id", text: str = "text") -> DataFram
 
 def vocabulary(chunks: DataFrame, text: str = "text") -> DataFrame:
     """(term, df, dl): in how many chunks a term is. The row with a null term counts the chunks, and dl their tokens. One scan, combined before the shuffle."""
-    words = chunks.select(X.tokens(F.col(text)).alias("w"))
-    whole = F.struct(F.lit(None).cast("string").alias("term"), F.size("w").cast("long").alias("dl"))
-    each = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl")))
-    return words.select(F.inline(F.concat(F.array(whole), each))).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
+    mark = "\0"  # no term begins so: a chunk's length in tokens goes along as a term
+    words = chunks.select(F.explode(F.array(X.tokens(F.col(text)))).alias("w"))
+    terms = words.select(F.explode(F.concat(F.array(F.concat(F.lit(mark), F.size("w").cast("string"))), F.array_distinct("w"))).alias("term"))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    length = F.substring("term", 2, 20).try_cast("long")
+    whole = counts.where(F.col("term").startswith(mark)).agg(F.sum("df").alias("df"), F.sum(F.col("df") * length).alias("dl")).where("df > 0")
+    return counts.where(~F.col("term").startswith(mark)).select("term", "df", F.lit(0).cast("long").alias("dl")).unionByName(whole.select(F.lit(None).cast("string").alias("term"), "df", "dl"))
 
 
 def changed_vocabulary(words: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def raw_scores(chunks: DataFrame, query: str, words: DataFrame, key: str, text:
     q = X.tokens(F.lit(query))
     asked = chunks.sparkSession.range(1).select(F.explode(F.array_distinct(q)).alias("term"))
     weights = idf(words).join(F.broadcast(asked), "term", "left_semi").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("weights"))
-    held = chunks.select(F.col(key).alias("id"), X.tokens(F.col(text)).alias("w"))
+    held = chunks.select(F.col(key).alias("id"), F.explode(F.array(X.tokens(F.col(text)))).alias("w"))  # a generator, so that words are not made again for each use
     held = held.select("id", F.size("w").alias("dl"), F.filter("w", lambda t: F.array_contains(q, t)).alias("w")).where(F.size("w") > 0)
     held = held.crossJoin(F.broadcast(corpus_stats(words).crossJoin(weights)))
     length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
