@@ -125,9 +125,9 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.highlight(F.col("text"), F.lit(ASKED)).alias("marked"))
 
 
-@query("citation", "SELECT page_id, '[参考自: ' || CASE WHEN url = '' THEN '未知来源' ELSE string_split(url, '/')[-1] END || ' > ' || left(html, 10) || ' (2024-01-02)]' AS cited FROM pages")
+@query("citation", "SELECT page_id, '[参考自: ' || CASE WHEN url = '' THEN '未知来源' ELSE string_split(url, '/')[-1] END || ' > ' || md5(html) || ' (2024-01-02)]' AS cited FROM pages")
 def citation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cite = X.citation(F.col("url"), F.substring("html", 1, 10), F.lit("m"), F.lit("v"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    cite = X.citation(F.col("url"), F.md5("html"), F.lit("m"), F.lit("v"), F.lit("2024-01-02 03:04:05").cast("timestamp"))
     return table(spark, sf_dir, "pages").select("page_id", cite["formatted"].alias("cited"))
 
 
@@ -394,7 +394,19 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.conflict_pairs(rules, 50).select("new_id", "old_id", "old_value", "new_value", "category")
 
 
-@query("canon_merge")
+@query("canon_merge", r"""
+WITH RECURSIVE f AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS o, p_name AS s, p_brand AS v FROM part),
+g(i, o, s, v, known, h, outcome) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', '', CAST([] AS STRUCT(s VARCHAR, v VARCHAR, st VARCHAR, o BIGINT)[]), CAST(0 AS BIGINT), ''
+  UNION ALL SELECT i, o, s, v, CASE outcome WHEN 'added' THEN list_append(known, {'s': s, 'v': v, 'st': 'active', 'o': o})
+    WHEN 'conflict' THEN list_transform(known, lambda k, n: CASE WHEN n = h THEN {'s': k.s, 'v': k.v, 'st': 'conflict', 'o': k.o} ELSE k END)
+    WHEN 'longer' THEN list_transform(known, lambda k, n: CASE WHEN n = h THEN {'s': k.s, 'v': v, 'st': k.st, 'o': k.o} ELSE k END) ELSE known END, h, outcome
+  FROM (SELECT *, CASE WHEN h = 0 THEN 'added' WHEN known[h].v = v THEN 'skipped' WHEN NOT ((contains(known[h].v, v) OR contains(v, known[h].v)) AND least(length(v), length(known[h].v)) >= 5 AND NOT regexp_matches(trim(v), '^[\d.,\s]+$')) THEN 'conflict' WHEN length(v) > length(known[h].v) THEN 'longer' ELSE 'skipped' END AS outcome
+    FROM (SELECT f.i, f.o, f.s, f.v, g.known, CAST(coalesce(list_position(list_transform(g.known, lambda k: contains(k.s, f.s) OR contains(f.s, k.s)), true), 0) AS BIGINT) AS h FROM g JOIN f ON f.i = g.i + 1))),
+r AS (SELECT unnest(known) AS k FROM (SELECT known FROM g ORDER BY i DESC LIMIT 1)),
+b AS (SELECT k.o AS o, k.s AS subject, k.v AS value, k.st AS status, CAST(NULL AS BIGINT) AS against FROM r UNION ALL SELECT o, s, v, 'pending', known[h].o FROM g WHERE outcome = 'conflict'),
+n AS (SELECT *, row_number() OVER (ORDER BY o) AS n FROM b), d AS (SELECT *, 'canon_' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INTEGER, '0') AS id FROM n)
+SELECT d.id, d.subject, 'brand' AS predicate, d.value, d.status, t.id AS conflict_with FROM d LEFT JOIN d t ON t.o = d.against""")
 def canon_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules that parts make when each states its brand under its name, in order of their keys."""
     f = _part_facts(spark, sf_dir).withColumn("priority", F.lit("normal"))
