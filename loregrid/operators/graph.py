@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loregrid.functions import text as X
@@ -15,14 +15,20 @@ from loregrid.functions import text as X
 BROADCAST_LIMIT = 32 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, kept in the folder that spark.checkpoint.dir names. Where the session names none, in a temporary one, in local mode only: executors elsewhere couldn't read it."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where the session names none, a temporary one, in local mode only: executors elsewhere couldn't read it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loregrid-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

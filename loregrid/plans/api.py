@@ -296,8 +296,8 @@ class KnowledgeBase:
 
     # --- rules
 
-    def canon(self, action="get", module: Name = None, status: Name = None, priority: Name = None, rule_id: Name = None, new_value: Name = None, reason="", top_k=50) -> DataFrame:
-        """get, status, export, classify give tables; sync, resolve_conflict, update_value and deprecate change the rule base and give it."""
+    def canon(self, action="get", module: Name = None, status: Name = None, priority: Name = None, rule_id: Name = None, new_value: Name = None, reason="", top_k=50, days=7) -> DataFrame:
+        """get, status, export, classify, log (of the last days) give tables; sync, resolve_conflict, update_value and deprecate change the rule base and give it."""
         names = self.names_of(module) if module else None
         if action == "get":
             return canon.select_rules(self.rules, names, None, priority, status)
@@ -305,6 +305,8 @@ class KnowledgeBase:
             return canon.status_counts(self.rules)
         if action == "export":
             return canon.export_lines(self.rules, self.log, module)
+        if action == "log":
+            return canon.recent_log(self.log, days, F.current_timestamp()).orderBy(F.desc("timestamp"), "rule_id")
         if action == "classify":
             return canon.with_context(canon.conflict_pairs(self.rules, top_k), self.chunks)
         if action == "sync":

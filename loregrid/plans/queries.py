@@ -9,7 +9,7 @@ from loregrid import models
 from loregrid.functions import text as X
 from loregrid.operators import canon, changes, facts, graph, overview, search
 from loregrid.operators.chunking import chunk_documents, token_batches
-from loregrid.plans import rule_queries, text_queries  # noqa: F401  (they register their own)
+from loregrid.plans import base_queries, rule_queries, text_queries  # noqa: F401  (they register their own)
 from loregrid.plans.catalogue import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loregrid.functions import text as X
-from loregrid.operators import canon, facts
+from loregrid.operators import canon, facts, graph
 
 NOW = "2024-05-01 00:00:00"
 FACT = "ordinal long, type string, priority string, subject string, predicate string, value string, module string, source string, confidence double"
@@ -145,3 +145,33 @@ def test_greedy_dedup_equals_a_plain_scan(spark, seed):
     df = spark.createDataFrame(rows, "ordinal long, type string, subject string, predicate string, value string, confidence double, source string")
     got = facts.semantic_dedup(df, dedup="subject_predicate")
     assert sorted(r["ordinal"] for r in got.collect()) == [k[0] for k in kept]
+
+
+def test_suppressions_too_many_to_broadcast(spark, monkeypatch):
+    f = spark.createDataFrame([(1, "VIP等级", "上限为"), (2, "背包", "分为"), (3, None, "x"), (4, "包", None), (5, "背包格", "上限为"), (6, "别的", "为")], "ordinal int, subject string, predicate string")
+    p = spark.createDataFrame([("VIP", ""), ("包", "上限"), ("", "为"), (None, None), ("背", "分"), ("背", "分")], "subject string, predicate string")
+    want = [sorted(r["ordinal"] for r in g(f, p).collect()) for g in (canon.suppressed, canon.unsuppressed)]
+    assert want == [[1, 2, 5], [3, 4, 6]]
+    monkeypatch.setattr(graph, "BROADCAST_LIMIT", 0)
+    assert [sorted(r["ordinal"] for r in g(f, p).collect()) for g in (canon.suppressed, canon.unsuppressed)] == want
+
+
+def test_long_folds_are_indexed(spark):
+    """A thousand facts whose subjects all hold one short subject, against the plain fold over all rules."""
+    rng = random.Random(2)
+    rows = [{"kind": 1, "o": i, "subject": rng.choice(["包", "背包", "包裹", "大背包", "书"]) + rng.choice(["", "甲", "乙"]), "predicate": rng.choice(["上限为", "最高为", "分为", "包括", "为"]), "value": rng.choice(["1", "2", "很长的一个值", "很长的一个值和更多"]), "module": "m"} for i in range(400)]
+    known, want = [], []
+    for r in rows:
+        like = next((k for k in known if canon.similar(k["subject"], k["predicate"], r["subject"], r["predicate"])), None)
+        if like is None:
+            known.append(dict(r))
+            want.append("added")
+        elif like["value"] == r["value"]:
+            want.append("skipped")
+        elif canon._mergeable(like["value"], r["value"]):
+            like["value"] = max(like["value"], r["value"], key=len)
+            want.append("skipped")
+        else:
+            want.append("conflict")
+    got = [x for x in canon.fold(rows) if x["outcome"] != "rule"]
+    assert [x["outcome"] for x in sorted(got, key=lambda x: x["born"])] == want

@@ -71,7 +71,7 @@ def test_life_of_a_knowledge_base(kb, tmp_path):
     kb.index("cleanup", confirm=True)
     assert not (tmp_path / "md_file/商城/商城 - 需求.md").exists()
     assert {r["source"] for r in kb.chunks.select("source").collect()} == {"表/表[xlsx转换].md"}
-    assert kb.log.count() > 3
+    assert kb.log.count() > 3 and kb.canon("log", days=1).count() == kb.log.count()
 
 
 def test_tables_swap_versions(spark, tmp_path):
