@@ -231,28 +231,30 @@ def _windows(length: int):
     """Every window of each class of equal surroundings: the class, the window's offset from the anchor, 128 bits of its words."""
 
     def run(batches):
-        for batch in batches:
-            rows, offsets, first, second = [], [], [], []
-            for i, (lead, words) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                w = np.lib.stride_tricks.sliding_window_view(np.frombuffer(words, dtype=np.uint32), length).astype(np.uint64)
-                for out, salt in ((first, 0x9E3779B97F4A7C15), (second, 0xC2B2AE3D27D4EB4F)):
-                    out.append(mix((mix(w + np.uint64(salt)) * (np.arange(length, dtype=np.uint64) * np.uint64(2) + np.uint64(salt | 1))).sum(axis=1, dtype=np.uint64)))
-                rows.append(np.full(len(w), i))
-                offsets.append(lead - np.arange(len(w)))
-            if rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows, offsets, first, second = [], [], [], []
+                for i, (lead, words) in enumerate(zip(batch.column(1).to_pylist(), batch.column(6).to_pylist())):
+                    w = np.lib.stride_tricks.sliding_window_view(np.frombuffer(words, dtype=np.uint32), length).astype(np.uint64)
+                    for out, salt in ((first, 0x9E3779B97F4A7C15), (second, 0xC2B2AE3D27D4EB4F)):
+                        out.append(mix((mix(w + np.uint64(salt)) * (np.arange(length, dtype=np.uint64) * np.uint64(2) + np.uint64(salt | 1))).sum(axis=1, dtype=np.uint64)))
+                    rows.append(np.full(len(w), i))
+                    offsets.append(lead - np.arange(len(w)))
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.take(take) for c in batch.columns), pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64))],
-                    names=["h", "lead", "words", "k0", "p0", "o", "w1", "w2"])
+                    [*(c.take(take) for c in batch.columns[:6]), pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64))],
+                    names=["h", "lead", "c1", "c2", "k0", "p0", "o", "w1", "w2"])
 
     return run
 
 
 def hot_repeats(places: DataFrame, length: int) -> DataFrame:
     """(k, s, e) as repeats() gives them, of places (h, k, p, lead, words) of anchors that are too many for a bucket."""
-    surroundings = ["h", "lead", "words"]
-    classes = cut(places.groupBy(*surroundings).agg(F.min(F.struct("k", "p")).alias("f")).select(*surroundings, F.col("f.k").alias("k0"), F.col("f.p").alias("p0")))
-    windows = classes.mapInArrow(_windows(length), "h long, lead int, words binary, k0 long, p0 int, o int, w1 long, w2 long")
+    named = places.select("h", "lead", F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2"), "k", "p", "words")
+    surroundings = ["h", "lead", "c1", "c2"]
+    classes = cut(named.groupBy(*surroundings).agg(F.min(F.struct("k", "p")).alias("f"), F.first("words").alias("words")).select(*surroundings, F.col("f.k").alias("k0"), F.col("f.p").alias("p0"), "words"))
+    windows = classes.mapInArrow(_windows(length), "h long, lead int, c1 long, c2 long, k0 long, p0 int, o int, w1 long, w2 long")
     same = ["h", "o", "w1", "w2"]
     first = windows.groupBy(*same).agg(F.min(F.struct("k0", "p0")).alias("f"))
     best = windows.join(first, same).groupBy(*surroundings).agg(F.collect_list(F.struct("o", "f")).alias("b"))
@@ -260,7 +262,7 @@ def hot_repeats(places: DataFrame, length: int) -> DataFrame:
     bad = F.filter("b", lambda x: (x["f"]["k0"] != F.col("k")) | (F.col("p") - x["f"]["p0"] >= length))
     run = lambda s, e: F.struct((F.col("p") - s).alias("s"), (F.col("p") - e + length).alias("e"))
     runs = F.when(F.size("bad") == F.size("b"), F.array(run(F.array_max("b.o"), F.array_min("b.o")))).otherwise(F.transform("bad", lambda x: run(x["o"], x["o"])))
-    return places.join(best, surroundings).withColumn("bad", bad).where(F.size("bad") > 0).select("k", F.inline(runs))
+    return named.drop("words").join(best, surroundings).withColumn("bad", bad).where(F.size("bad") > 0).select("k", F.inline(runs))
 
 
 def _repeat_task(length: int):
@@ -334,7 +336,7 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     keyed = df.where(F.col(key).isNotNull())
     docs = keyed.select(whole_key(df, key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
     found = docs.mapInArrow(_anchor_task(length), "h long, k long, p int")
-    several = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    several = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     if several.where(F.col("c") > hot).isEmpty():
         place, crowded = F.col("p"), None
         tied = found.join(several.select("h").hint("shuffle_hash"), "h", "left_semi")
@@ -342,6 +344,7 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length:
         place, crowded = F.when(F.col("c") > hot, -1 - F.col("p")).otherwise(F.col("p")), F.exists("tied", lambda p: p < 0)
         tied = found.join(several.hint("shuffle_hash"), "h")
     tied = tied.groupBy("k").agg(F.collect_set(place).alias("tied"))
+    tied = tied if crowded is None else cut(tied)
     segments = "h long, k long, p int, lead int, words binary"
     around = docs.join(tied, "k").mapInArrow(_segment_task(length, False), segments)
     runs = around.repartition("h").sortWithinPartitions("h").mapInArrow(_repeat_task(length), "k long, s int, e int")
