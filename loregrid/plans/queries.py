@@ -351,7 +351,7 @@ SELECT p_partkey::VARCHAR AS source, 'part' AS module, 'constraint' AS type, p_n
 UNION ALL SELECT p_partkey::VARCHAR, 'part', 'enum', p_brand, '分为', p_type, CASE WHEN regexp_matches(p_type, '\\d') THEN 1.0 ELSE 0.9 END, 2 FROM part""")
 def facts_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that parts state in a line each."""
-    p = table(spark, sf_dir, "part")
+    p = graph.spread(table(spark, sf_dir, "part"))
     body = F.concat(F.lit("- "), F.col("p_name"), F.lit("上限为"), F.col("p_size").cast("string"), F.lit("。\n"), F.col("p_brand"), F.lit("分为"), F.col("p_type"))
     return facts.extract(p.select(F.col("p_partkey").cast("string").alias("source"), F.lit("part").alias("module"), F.lit(0).alias("chunk_index"), body.alias("text")))
 
