@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loregrid.operators import canon, changes, facts, search, sheets
 from loregrid.operators.chunking import chunk_documents
+from loregrid.operators.graph import once, spread
 from loregrid.plans.catalogue import query
 from loregrid.plans.text_queries import bare, made
 from loregrid.sources.workbooks import Sheet
@@ -226,8 +227,9 @@ LINES = "SELECT p_partkey AS id, 'a' || p_partkey || '.md' AS source, '## h' ||
 SELECT source, CAST(3200 + id % 500 AS BIGINT) AS characters, CAST(1500 + CASE WHEN 200 + id % 500 < 350 THEN 200 + id % 500 ELSE 0 END AS INTEGER) AS longest FROM ({bare(LINES)})""")
 def lines_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line that is too long is cut at 1500 characters, and no character of it is lost; a short rest joins the piece before it."""
-    c = chunk_documents(made(spark, sf_dir, LINES), now=NOW)
-    return c.groupBy("source").agg(F.sum(F.length(F.regexp_replace("text", "[^k]", ""))).alias("characters"), F.max(F.length(F.regexp_replace("text", "[^k]", ""))).alias("longest"))
+    c = chunk_documents(made(spark, sf_dir, LINES, spread), now=NOW)
+    held = c.select("source", once(F.length(F.regexp_replace("text", "[^k]", ""))).alias("n"))
+    return held.groupBy("source").agg(F.sum("n").alias("characters"), F.max("n").alias("longest"))
 
 
 # --- sheets
