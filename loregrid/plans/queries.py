@@ -131,12 +131,12 @@ def citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", cite["formatted"].alias("cited"))
 
 
-def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a Markdown document with a section for each turn, cut into chunks, with vectors."""
+def conversation_chunks(spark: SparkSession, sf_dir: str, embed=None) -> DataFrame:
+    """Every conversation as a Markdown document with a section for each turn, cut into chunks, with vectors if embed is given."""
     turn = F.concat(F.lit("## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.col("text"))
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t"))))["t"], "\n\n").alias("body"))
     docs = c.select(F.concat(F.lit("talk/"), F.col("conv_id").cast("string"), F.lit("-talk.md")).alias("source"), F.concat(F.lit("# Talk\n\n"), F.col("body")).alias("text"))
-    return chunk_documents(docs, models.embedder(), now="2024-01-01 00:00:00")
+    return chunk_documents(docs, embed, now="2024-01-01 00:00:00")
 
 
 @query("chunk_documents")
@@ -146,7 +146,9 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("search")
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(conversation_chunks(spark, sf_dir), ASKED, models.query_embedder(), 10, include_context=True)
+    made = graph.cut(conversation_chunks(spark, sf_dir))  # chunks and vectors once, one after the other: a task has one Python worker at a time
+    made = graph.cut(made.withColumn("embedding", models.embedder()(F.col("text"))))
+    return search.search(made, ASKED, models.query_embedder(), 10, include_context=True)
 
 
 # --- overview
